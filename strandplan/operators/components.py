@@ -47,7 +47,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     state = None
     for _ in range(max_rounds):
         now = cut(_small_star(_large_star(now)))
-        seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum("v").cast("decimal(38,0)")).first()
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
         state = seen
