@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import cut
+from strandplan.plans.session import remove, written, written_at
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,13 +40,15 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     loops = pairs.where(F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b")))
     alone = loops.select(F.coalesce("a", "b").alias("u")).where("u is not null")
-    now = cut(
-        pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    everyone = written(
+        pairs.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
-    everyone = now
-    state = None
+    now, state, last = everyone, None, None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
+        now, path = written_at(_small_star(_large_star(now)), "stars")
+        if last:
+            remove(edges.sparkSession, last)
+        last = path
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break

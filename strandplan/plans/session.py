@@ -29,8 +29,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/strandplan/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet below the shared folder; the table read back, and its path.
 
     The lineage ends there, so a lost executor costs a re-read, and Catalyst knows the exact size, so it
     broadcasts the table only below ``spark.sql.autoBroadcastJoinThreshold``.
@@ -38,13 +38,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``written_at`` without the path."""
+    return written_at(df, label)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:
