@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandplan.llm import bpe, linededup, mixing, secrets, simhash, warc
+from strandplan.llm import bpe, linededup, mixing, secrets, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +42,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(toxicity.in_training(F.col("doc_id")))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup)}
+    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
