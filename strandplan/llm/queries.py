@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandplan.llm import bpe, linededup, mixing, secrets, simhash, toxicity, warc
+from strandplan.llm import bpe, licenses, linededup, mixing, secrets, simhash, toxicity, tsmedia, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_secrets(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest_licenses(licenses.find_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_pages(_table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,9 +54,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = tsmedia.media_features(tsmedia.text_media(_table(spark, sf_dir, "documents")))
+    return read.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_secrets, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity)}
+    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity, op10_transport_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
