@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandplan.llm import bpe, licenses, linededup, mixing, secrets, simhash, toxicity, tsmedia, warc
+from strandplan.llm import bpe, hnsw, licenses, linededup, mixing, secrets, simhash, toxicity, tsmedia, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hnsw.written(hnsw.usable(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "hnsw-rows")
+    index, shards = hnsw.build_index(vectors)
+    return hnsw.search(index, shards, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = tsmedia.media_features(tsmedia.text_media(_table(spark, sf_dir, "documents")))
     return read.withColumnRenamed("id", "doc_id")
@@ -61,7 +67,7 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity, op10_transport_stream)}
+    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity, op9_hnsw, op10_transport_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
