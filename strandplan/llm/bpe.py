@@ -196,29 +196,37 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def _coder(spec, digests: bool) -> Callable:
+#: What encoding can return, as (Spark type, Arrow type).
+OUTPUTS = {
+    "n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()),
+    "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()),
+}
+
+
+def _coder(spec, outputs: tuple) -> Callable:
+    def told(coder: Encoder, code: bytes) -> tuple:
+        back = coder.decode(code) if {"decoded", "decoded_sha256"} & {*outputs} else ""
+        every = {
+            "n_tokens": lambda: len(code) // 4, "ids": lambda: np.frombuffer(code, "<u4").astype(np.int32), "decoded": lambda: back,
+            "ids_sha256": lambda: hashlib.sha256(code).hexdigest(), "decoded_sha256": lambda: hashlib.sha256(back.encode()).hexdigest(),
+        }
+        return tuple(every[k]() for k in outputs)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(spec.value)
         for batch in batches:
-            ids, n, hashes, back, at = [], [], [], [], 0
-            for group in _groups([t or "" for t in batch.column(1).to_pylist()]):
-                for code in coder.encode(group):
-                    n.append(len(code) // 4)
-                    if digests:
-                        hashes.append(hashlib.sha256(code).hexdigest())
-                        back.append(hashlib.sha256(coder.decode(code).encode()).hexdigest())
-                    else:
-                        ids.append(np.frombuffer(code, "<u4").astype(np.int32))
-                        back.append(coder.decode(code))
-                at += len(group)
-            first = pa.array(hashes, pa.string()) if digests else pa.array(ids, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), first, pa.array(back, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            rows = [told(coder, code) for group in _groups(texts) for code in coder.encode(group)]
+            columns = [pa.array([r[k] for r in rows], OUTPUTS[o][1]) for k, o in enumerate(outputs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *outputs])
 
     return run
 
 
-def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """``(id_col, n_tokens, ids, decoded)``: ids and the text they decode to, or with ``digests`` their SHA-256.
+def encode_texts(
+    docs: DataFrame, path: str | None = None, text_col: str = "text", keep: tuple = ("doc_id",), outputs: tuple = ("n_tokens", "ids", "decoded")
+) -> DataFrame:
+    """``keep`` columns and ``outputs`` (of ``OUTPUTS``): ids, the text they decode to, or digests of them.
 
     Strings of special tokens in a text become their ids, as the vocabulary file asks. Null texts are empty: no
     ids, an empty text. Rows repeat as given and no other column is read. No shuffle: a task keeps what it has
@@ -227,6 +235,5 @@ def encode_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     small_batches(docs.sparkSession, 2000)
     with open(path or public_tokenizers.path(DEFAULT), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    kind = "string" if digests else "array<int>"
-    out = docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(_coder(spec, digests), f"id long, n_tokens long, ids {kind}, decoded string")
-    return out.withColumnRenamed("id", id_col)
+    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{o} {OUTPUTS[o][0]}" for o in outputs]
+    return docs.select(*keep, F.col(text_col).alias("_encoded")).mapInArrow(_coder(spec, tuple(outputs)), ", ".join(schema))

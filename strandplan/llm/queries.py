@@ -26,8 +26,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_texts(_table(spark, sf_dir, "documents"), digests=True)
-    return coded.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+    docs = _table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return bpe.encode_texts(docs, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
