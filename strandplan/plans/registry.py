@@ -2,12 +2,524 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from strandplan.functions import exprs as X
+from strandplan.operators import components as cc
+from strandplan.operators import graph, provision, spatial
+from strandplan.plans.network import DESIGN_SQL, Network, kept_drops
+from strandplan.rules import CABINETS, RULES, TERMINALS
+from strandplan.sources.synthetic import NETWORK_SQL
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, tables: str = NETWORK_SQL, name: str | None = None):
+    """Register a query function taking a Network; ``sql`` is its SELECT over the shared tables."""
+
+    def add(f):
+        key = name or f.__name__
+        _QUERIES[key] = lambda spark, sf_dir: f(Network(spark, sf_dir))
+        if sql is not None:
+            _SQL[key] = f"WITH RECURSIVE {tables.strip()} {sql}" if tables else sql
+        return f
+
+    return add
+
+
+DESIGN = NETWORK_SQL.rstrip() + "," + DESIGN_SQL
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Whole numbers as longs, so that both sides' types agree."""
+    return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+# --- graph basics ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT edge_id, len_m, surface::BIGINT AS surface FROM elen")
+def edge_lengths(net):
+    return longs(net.lengths.select("edge_id", "len_m", "surface"))
+
+
+@query("SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1")
+def node_degrees(net):
+    return graph.degrees(net.edges)
+
+
+def _order_edges(net):
+    """Edges drawn from orders: with duplicates, self-loops and ends that are no node."""
+    o = net.table("orders")
+    return o.select(
+        F.col("o_orderkey").alias("edge_id"), (F.col("o_custkey") % 930).alias("src"), (F.col("o_orderkey") * 7 % 910).alias("dst"), (F.col("o_orderkey") % 2).cast("int").alias("surface")
+    )
+
+
+ORDER_EDGES = "oe AS (SELECT o_orderkey AS edge_id, o_custkey % 930 AS src, o_orderkey * 7 % 910 AS dst, o_orderkey % 2 AS surface FROM orders)"
+
+
+@query("SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM oe GROUP BY 1, 2 HAVING count(*) > 1", ORDER_EDGES)
+def duplicate_edges(net):
+    return graph.duplicate_edges(_order_edges(net))
+
+
+@query("SELECT least(src, dst) AS src, greatest(src, dst) AS dst, min(surface)::BIGINT AS surface FROM oe WHERE src <> dst GROUP BY 1, 2", ORDER_EDGES)
+def distinct_edges(net):
+    return longs(graph.distinct_edges(_order_edges(net)))
+
+
+@query("SELECT edge_id, src, dst FROM oe WHERE src >= 900 OR dst >= 900", ORDER_EDGES)
+def dangling_edges(net):
+    return graph.dangling_edges(_order_edges(net), net.nodes).select("edge_id", "src", "dst")
+
+
+@query(
+    "SELECT node, min(node) OVER (PARTITION BY g) AS component FROM (SELECT DISTINCT o_custkey AS node, o_custkey // 10 AS g FROM orders UNION SELECT 10000000 + o_orderkey, o_custkey // 10 FROM orders "
+    "UNION SELECT 1000000000 + o_custkey // 10, o_custkey // 10 FROM orders)", "",
+)
+def components(net):
+    """Components of orders, their customers and the customers' groups of ten."""
+    o = net.table("orders")
+    e = o.select(F.col("o_custkey").alias("src"), (F.lit(10_000_000) + F.col("o_orderkey")).alias("dst"))
+    e = e.union(o.select("o_custkey", F.lit(1_000_000_000) + X.div("o_custkey", F.lit(10))))
+    return cc.connected_components(e, "src", "dst")
+
+
+@query("SELECT 1740 AS edges, 900 AS nodes, 1 AS components, 841 AS rings", "")
+def grid_rings(net):
+    return graph.cycle_count(net.edges)
+
+
+@query(
+    "SELECT n.node_id, abs(n.x - 1400) + abs(n.y - 1400) AS dist FROM nodes n"
+)
+def grid_distances(net):
+    start = net.spark.createDataFrame([(0, 434)], "source int, node_id long")
+    return graph.shortest_paths(net.lengths, start, F.col("len_m")).select("node_id", "dist")
+
+
+@query("SELECT n.node_id, min(abs(n.x - s.x) + abs(n.y - s.y)) AS dist FROM nodes n, nodes s WHERE s.node_id IN (SELECT s_suppkey * 37 % 900 FROM supplier) GROUP BY 1")
+def multi_source_distances(net):
+    start = net.table("supplier").select(F.lit(0).alias("source"), (F.col("s_suppkey") * 37 % 900).alias("node_id"))
+    return graph.shortest_paths(net.lengths, start, F.col("len_m")).select("node_id", "dist")
+
+
+#: On a comb (row 0 and all columns) every node has one way to node 0.
+COMB = NETWORK_SQL.rstrip() + """,
+comb AS (SELECT node_id, CASE WHEN node_id = 0 THEN NULL WHEN node_id < 30 THEN node_id - 1 ELSE node_id - 30 END AS parent, node_id % 30 + node_id // 30 AS depth,
+    (node_id % 30 + node_id // 30) * 100 AS path_m FROM nodes),
+load AS (SELECT node_id, sum(units)::BIGINT AS value FROM drops GROUP BY node_id),
+sub AS (SELECT a.node_id, coalesce(sum(l.value), 0)::BIGINT AS total FROM comb a JOIN comb b ON CASE WHEN a.node_id >= 30 THEN b.node_id % 30 = a.node_id % 30 AND b.node_id >= a.node_id
+    ELSE b.node_id % 30 >= a.node_id END LEFT JOIN load l ON l.node_id = b.node_id GROUP BY 1)
+"""
+
+
+def _comb(net):
+    e = net.lengths.where((F.col("edge_id") < 29) | (F.col("edge_id") >= 870))
+    return graph.rooted_tree(e, 0)
+
+
+@query("SELECT node_id, parent, depth::BIGINT AS depth, path_m::BIGINT AS path_m FROM comb", COMB)
+def tree_rooting(net):
+    return longs(_comb(net).select("node_id", "parent", "depth", "path_m"))
+
+
+@query("SELECT node_id, total FROM sub", COMB)
+def subtree_units(net):
+    load = kept_drops(net).groupBy("node_id").agg(F.sum("units").alias("value"))
+    return graph.subtree_sums(_comb(net), load)
+
+
+@query("SELECT CASE WHEN c.node_id < 30 THEN c.node_id - 1 ELSE 870 + c.parent END AS edge_id, total AS fibers FROM comb c JOIN sub USING (node_id) WHERE parent IS NOT NULL AND total > 0", COMB)
+def fibers_per_edge(net):
+    load = kept_drops(net).groupBy("node_id").agg(F.sum("units").alias("value"))
+    tree = _comb(net)
+    sums = graph.subtree_sums(tree, load)
+    return tree.join(sums, "node_id").where("parent is not null and total > 0").select(F.col("parent_edge").alias("edge_id"), F.col("total").alias("fibers"))
+
+
+@query("SELECT 899 AS edges, 900 AS nodes, 1 AS components, 0 AS rings, 0 AS missing, true AS ok", "")
+def tree_invariant(net):
+    e = net.edges.where((F.col("edge_id") < 29) | (F.col("edge_id") >= 870))
+    return graph.tree_check(e, kept_drops(net).select("node_id"))
+
+
+@query("SELECT node_id FROM (SELECT node_id, count(*) AS d FROM (SELECT src AS node_id, edge_id FROM edges UNION ALL SELECT dst, edge_id FROM edges) WHERE edge_id < 29 OR edge_id >= 870 GROUP BY 1) WHERE d <> 2 "
+       "UNION SELECT node_id FROM terminals WHERE used = 12", name="key_nodes")
+def key_nodes(net):
+    e = net.edges.where((F.col("edge_id") < 29) | (F.col("edge_id") >= 870))
+    return graph.key_nodes(e, net.terminals(net.drops()).where("used = 12"))
+
+
+# --- spatial joins --------------------------------------------------------------------------------------------
+
+
+@query("SELECT prem_id, node_id, sq, floor(sqrt(sq))::BIGINT AS drop_m FROM snap")
+def snap_nearest(net):
+    return longs(spatial.nearest(net.premises, net.nodes, "prem_id"))
+
+
+@query("SELECT p.prem_id, n.node_id, (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) AS sq FROM premises p JOIN nodes n ON n.x BETWEEN p.x - 150 AND p.x + 150 "
+       "AND n.y BETWEEN p.y - 150 AND p.y + 150 WHERE (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) <= 22500")
+def drops_within_150(net):
+    return spatial.within(net.premises, net.nodes, 150).select("prem_id", "node_id", "sq")
+
+
+CROSS = NETWORK_SQL.rstrip() + """,
+o AS (SELECT * FROM drops),
+sx AS (SELECT d.prem_id, d.node_id * 1000 + d.batch AS term_id, e.edge_id FROM drops d JOIN elen e ON e.src <> d.node_id AND e.dst <> d.node_id
+    AND least(e.ax, e.bx) <= greatest(d.x, d.nx) AND greatest(e.ax, e.bx) >= least(d.x, d.nx) AND least(e.ay, e.by_) <= greatest(d.y, d.ny) AND greatest(e.ay, e.by_) >= least(d.y, d.ny)
+    WHERE sign((d.nx - d.x) * (e.ay - d.y) - (d.ny - d.y) * (e.ax - d.x)) * sign((d.nx - d.x) * (e.by_ - d.y) - (d.ny - d.y) * (e.bx - d.x)) < 0
+    AND sign((e.bx - e.ax) * (d.y - e.ay) - (e.by_ - e.ay) * (d.x - e.ax)) * sign((e.bx - e.ax) * (d.ny - e.ay) - (e.by_ - e.ay) * (d.nx - e.ax)) < 0),
+dx AS (SELECT d.prem_id AS a, e.prem_id AS b FROM drops d JOIN drops e ON d.prem_id < e.prem_id
+    AND least(e.x, e.nx) <= greatest(d.x, d.nx) AND greatest(e.x, e.nx) >= least(d.x, d.nx) AND least(e.y, e.ny) <= greatest(d.y, d.ny) AND greatest(e.y, e.ny) >= least(d.y, d.ny)
+    WHERE sign((d.nx - d.x) * (e.y - d.y) - (d.ny - d.y) * (e.x - d.x)) * sign((d.nx - d.x) * (e.ny - d.y) - (d.ny - d.y) * (e.nx - d.x)) < 0
+    AND sign((e.nx - e.x) * (d.y - e.y) - (e.ny - e.y) * (d.x - e.x)) * sign((e.nx - e.x) * (d.ny - e.y) - (e.ny - e.y) * (d.nx - e.x)) < 0)
+"""
+
+
+def _far_drops(net):
+    """Drops sent to the node one row and one column on, so that they do cross streets."""
+    d = kept_drops(net)
+    far = net.nodes.select(F.col("node_id").alias("far_id"), F.col("x").alias("fx"), F.col("y").alias("fy"))
+    to = F.col("node_id") + F.when((F.col("node_id") % 30 < 29) & (F.col("node_id") < 870), 31).otherwise(0)
+    return d.join(far, to == F.col("far_id")).select(F.col("prem_id").alias("id"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("fx").alias("x2"), F.col("fy").alias("y2"), F.col("far_id").alias("node_id"), "term_id", "units")
+
+
+FAR = CROSS.replace("o AS (SELECT * FROM drops),", "near AS (SELECT * FROM drops), far AS (SELECT d.prem_id, d.x, d.y, d.units, d.batch, n.node_id AS node_id, n.x AS nx, n.y AS ny, d.node_id AS old FROM near d JOIN nodes n ON n.node_id = d.node_id + "
+                    "CASE WHEN d.node_id % 30 < 29 AND d.node_id < 870 THEN 31 ELSE 0 END),").replace("FROM drops d JOIN elen", "FROM far d JOIN elen").replace("FROM drops d JOIN drops e", "FROM far d JOIN far e").replace("d.node_id * 1000 + d.batch", "d.old * 1000 + d.batch")
+
+
+@query("SELECT term_id, count(*) AS crossings FROM sx GROUP BY term_id", FAR)
+def drop_street_crossings(net):
+    """Streets crossed by the drops of each terminal, streets at the drop's own node left out."""
+    own = (F.col("a_node_id") == F.col("b_src")) | (F.col("a_node_id") == F.col("b_dst"))
+    pairs = spatial.segment_crossings(_far_drops(net), net.streets(), skip=own)
+    return pairs.groupBy(F.col("a_term_id").alias("term_id")).agg(F.count("*").alias("crossings"))
+
+
+@query("SELECT a, b FROM dx", FAR)
+def drop_drop_crossings(net):
+    return spatial.self_crossings(_far_drops(net)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+@query("SELECT DISTINCT n.node_id FROM premises p JOIN nodes n ON n.x BETWEEN p.x - 60 AND p.x + 60 AND n.y BETWEEN p.y - 60 AND p.y + 60 WHERE (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) <= 3600")
+def candidate_nodes(net):
+    return spatial.within(net.premises, net.nodes, 60).select("node_id").distinct()
+
+
+@query("SELECT p.prem_id FROM premises p WHERE NOT EXISTS (SELECT 1 FROM snap s WHERE s.prem_id = p.prem_id AND s.sq <= 1600)")
+def unreachable_premises(net):
+    near = spatial.within(net.premises, net.nodes, 40).select("prem_id").distinct()
+    return net.premises.join(near, "prem_id", "left_anti").select("prem_id")
+
+
+def _sites(net):
+    """Supplier sites scattered over the field, in five groups."""
+    k = F.col("s_suppkey")
+    return net.table("supplier").select(k.alias("id"), (k * 7907 % 2900).alias("x"), (k * 104729 % 2900).alias("y"), (k % 5).alias("grp"))
+
+
+SITES = "sites AS (SELECT s_suppkey AS id, s_suppkey * 7907 % 2900 AS x, s_suppkey * 104729 % 2900 AS y, s_suppkey % 5 AS grp FROM supplier), prs AS (SELECT a.grp, a.id AS a, b.id AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS sq FROM sites a JOIN sites b ON a.grp <> b.grp)"
+
+
+@query("SELECT grp, sq, a, b FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY sq, a, b) AS rn FROM prs WHERE sq <= 400 * 400) WHERE rn = 1", SITES)
+def nearest_between_groups(net):
+    return spatial.nearest_between(_sites(net), "id", "grp", 400)
+
+
+@query("SELECT sq, a, b FROM prs WHERE a < b AND sq <= 90000 ORDER BY sq, a, b LIMIT 500", SITES)
+def pairs_between_groups(net):
+    """The 500 nearest pairs: the converters' own limit."""
+    return spatial.pairs_between(_sites(net), "id", "grp", 300, 500)
+
+
+@query("SELECT p.prem_id, n.node_id, floor(sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)))::BIGINT AS dist_m FROM premises p JOIN nodes n ON n.x BETWEEN p.x - 150 AND p.x + 150 AND n.y BETWEEN p.y - 150 AND p.y + 150 "
+       "WHERE (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) <= 22500 QUALIFY row_number() OVER (PARTITION BY p.prem_id ORDER BY n.node_id) <= 384")
+def packing_candidates(net):
+    return longs(spatial.ranked_candidates(net.premises, net.nodes, "prem_id", RULES.max_drop_m, 384).select("prem_id", "node_id", "dist_m"))
+
+
+# --- aggregates and windows -----------------------------------------------------------------------------------
+
+
+@query("SELECT area_id, sum(units)::BIGINT AS units, count(*) AS premises FROM drops GROUP BY 1")
+def area_units(net):
+    return net.drops().groupBy("area_id").agg(F.sum("units").alias("units"), F.count("*").alias("premises"))
+
+
+@query("SELECT area_id, sum(units * (abs(nx - fdh % 30 * 100) + abs(ny - fdh // 30 * 100)))::BIGINT AS cost FROM (SELECT *, (area_id // 3 * 10 + 5) * 30 + area_id % 3 * 10 + 5 AS fdh FROM drops) GROUP BY 1")
+def assignment_cost(net):
+    from strandplan.plans.network import fdh_node
+
+    fdh = fdh_node("area_id")
+    way = F.abs(F.col("nx") - fdh % 30 * 100) + F.abs(F.col("ny") - X.div(fdh, F.lit(30)) * 100)
+    return net.drops().groupBy("area_id").agg(F.sum(F.col("units") * way).alias("cost"))
+
+
+ARCS = NETWORK_SQL.rstrip() + ", dd AS (SELECT d.prem_id, d.units, d.area_id AS j, t.t, abs(nx - tx) + abs(ny - ty) AS there, abs(nx - jx) + abs(ny - jy) AS here FROM drops d JOIN (SELECT unnest(range(0, 9)) AS t) t ON t.t <> d.area_id " \
+    "JOIN (SELECT a, ((a // 3 * 10 + 5) * 100) AS ty, (a % 3 * 10 + 5) * 100 AS tx FROM (SELECT unnest(range(0, 9)) AS a)) q ON q.a = t.t JOIN (SELECT a, ((a // 3 * 10 + 5) * 100) AS jy, (a % 3 * 10 + 5) * 100 AS jx FROM (SELECT unnest(range(0, 9)) AS a)) r ON r.a = d.area_id)"
+
+
+@query("SELECT j, t, units * (there - here) AS delta, prem_id FROM dd QUALIFY row_number() OVER (PARTITION BY j, t ORDER BY units * (there - here), prem_id) = 1", ARCS)
+def transport_arc_costs(net):
+    """Cheapest single move from each area to each other: the arcs that the exchange search works on."""
+    d = net.drops()
+    areas = net.spark.range(9).select(F.col("id").alias("t"), ((F.col("id") % 3) * 1000 + 500).alias("tx"), (X.div("id", F.lit(3)) * 1000 + 500).alias("ty"))
+    own = areas.select(F.col("t").alias("area_id"), F.col("tx").alias("jx"), F.col("ty").alias("jy"))
+    pairs = d.join(F.broadcast(own), "area_id").join(F.broadcast(areas), F.col("t") != F.col("area_id"))  # nine areas by construction
+    way = lambda px, py: F.abs(F.col("nx") - F.col(px)) + F.abs(F.col("ny") - F.col(py))
+    delta = F.col("units") * (way("tx", "ty") - way("jx", "jy"))
+    best = pairs.groupBy(F.col("area_id").alias("j"), "t").agg(F.min(F.struct(delta.alias("delta"), "prem_id")).alias("m"))
+    return best.select("j", "t", "m.delta", "m.prem_id")
+
+
+@query("SELECT area_id, node_id, cost FROM (SELECT a.area_id, c.node_id, sum(d.units * (abs(d.nx - c.nx) + abs(d.ny - c.ny)))::BIGINT AS cost, row_number() OVER (PARTITION BY a.area_id ORDER BY sum(d.units * (abs(d.nx - c.nx) + abs(d.ny - c.ny))), c.node_id) AS rn "
+       "FROM (SELECT DISTINCT area_id FROM drops) a JOIN (SELECT DISTINCT area_id, node_id, nx, ny FROM drops) c USING (area_id) JOIN drops d USING (area_id) GROUP BY 1, 2) WHERE rn = 1")
+def area_medoids(net):
+    """Unit-weighted medoid of each area over its own nodes; loads are summed per node before they meet."""
+    d = kept_drops(net)
+    load = d.groupBy("area_id", "node_id", "nx", "ny").agg(F.sum("units").alias("units"))
+    site = load.select("area_id", F.col("node_id").alias("site"), F.col("nx").alias("sx"), F.col("ny").alias("sy"))
+    cost = F.sum(F.col("units") * (F.abs(F.col("nx") - F.col("sx")) + F.abs(F.col("ny") - F.col("sy"))))
+    priced = load.join(site, "area_id").groupBy("area_id", "site").agg(cost.alias("cost"))
+    return priced.groupBy("area_id").agg(F.min(F.struct("cost", "site")).alias("m")).select("area_id", F.col("m.site").alias("node_id"), "m.cost")
+
+
+@query("SELECT node_id FROM (SELECT a.fdh_node AS node_id, row_number() OVER (ORDER BY sum(b.splitters * (abs(a.fdh_node % 30 - b.fdh_node % 30) + abs(a.fdh_node // 30 - b.fdh_node // 30))), a.fdh_node) AS rn FROM area a, area b GROUP BY 1) WHERE rn = 1", DESIGN)
+def head_end_median(net):
+    """Splitter-weighted median over cabinet sites; as many rows as areas on either side."""
+    a = provision.provision_areas(net.areas(net.drops())).select("fdh_node", "splitters")
+    b = a.select(F.col("fdh_node").alias("to_node"), "splitters")
+    way = F.abs(F.col("fdh_node") % 30 - F.col("to_node") % 30) + F.abs(X.div("fdh_node", F.lit(30)) - X.div("to_node", F.lit(30)))
+    sites = a.select("fdh_node").withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k")
+    cost = sites.groupBy("fdh_node").agg(F.sum(F.col("splitters") * way).alias("cost"))
+    return cost.agg(F.min(F.struct("cost", "fdh_node")).alias("m")).select(F.col("m.fdh_node").alias("node_id"))
+
+
+@query("SELECT node_id, prem_id, k, prefix_m FROM (SELECT node_id, prem_id, row_number() OVER w AS k, sum(floor(sqrt(sq))::BIGINT) OVER (PARTITION BY node_id ORDER BY floor(sqrt(sq)), prem_id ROWS UNBOUNDED PRECEDING)::BIGINT AS prefix_m FROM "
+       "(SELECT p.prem_id, n.node_id, (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) AS sq FROM premises p JOIN nodes n ON n.x BETWEEN p.x - 150 AND p.x + 150 AND n.y BETWEEN p.y - 150 AND p.y + 150 WHERE (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) <= 22500) "
+       "WINDOW w AS (PARTITION BY node_id ORDER BY floor(sqrt(sq)), prem_id)) WHERE k <= 12")
+def pack_prefix_costs(net):
+    """The twelve nearest premises of each node (a terminal's ports) with the running drop length."""
+    pairs = spatial.within(net.premises, net.nodes, RULES.max_drop_m).withColumn("dist_m", X.int_sqrt("sq"))
+    order = Window.partitionBy("node_id").orderBy("dist_m", "prem_id")
+    ranked = pairs.withColumns({"k": F.row_number().over(order).cast("long"), "prefix_m": F.sum("dist_m").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return ranked.where("k <= 12").select("node_id", "prem_id", "k", "prefix_m")
+
+
+@query("SELECT term_id, string_agg(prem_id::VARCHAR, ',' ORDER BY prem_id) AS members FROM (SELECT node_id * 1000 + batch AS term_id, prem_id FROM drops) GROUP BY 1")
+def terminal_buckets(net):
+    """Members of each terminal in id order (at most twelve)."""
+    ids = F.transform(F.sort_array(F.collect_list("prem_id")), lambda p: p.cast("string"))
+    return net.drops().groupBy("term_id").agg(F.array_join(ids, ",").alias("members"))
+
+
+@query("SELECT node_id, n, coalesce(sum(n) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM (SELECT node_id, count(*) AS n FROM drops GROUP BY 1)")
+def prefix_offsets(net):
+    """Where each node's members start in a flat array; the window runs over node counts only."""
+    n = net.drops().groupBy("node_id").agg(F.count("*").alias("n"))
+    before = Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    return n.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+@query("SELECT area_id, node_id, r FROM (SELECT area_id, node_id, row_number() OVER (PARTITION BY area_id ORDER BY first) AS r, count(*) OVER (PARTITION BY area_id) AS n FROM (SELECT area_id, node_id, min(prem_id) AS first FROM drops GROUP BY 1, 2) QUALIFY r <= 256) "
+       "WHERE (r - 1) % ((least(n, 256) + 63) // 64) = 0")
+def stride_candidates(net):
+    """Candidate sites: of an area's first 256 nodes in the order seen, every n-th, so that at most 64 remain."""
+    seen = net.drops().groupBy("area_id", "node_id").agg(F.min("prem_id").alias("first"))
+    by = Window.partitionBy("area_id")
+    ranked = seen.withColumns({"r": F.row_number().over(by.orderBy("first")).cast("long"), "n": F.least(F.count("*").over(by), F.lit(256))}).where("r <= 256")
+    return ranked.where((F.col("r") - 1) % X.ceil_div("n", F.lit(64)) == 0).select("area_id", "node_id", "r")
+
+
+@query("SELECT x, y, row_number() OVER (ORDER BY first) - 1 AS node_id FROM (SELECT floor(x / 50)::BIGINT AS x, floor(y / 50)::BIGINT AS y, min(prem_id) AS first FROM premises GROUP BY 1, 2)")
+def first_seen_numbering(net):
+    """Dense ids of distinct points in the order first seen."""
+    p = net.premises.groupBy(X.cell("x", 50).alias("x"), X.cell("y", 50).alias("y")).agg(F.min("prem_id").alias("first"))
+    return p.select("x", "y", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("node_id"))
+
+
+@query("SELECT edge_id, cost, row_number() OVER (ORDER BY cost DESC, edge_id) AS rank FROM (SELECT edge_id, len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END AS cost FROM usage WHERE trench)", DESIGN)
+def edge_cost_order(net):
+    e = net.edge_usage().where("trench").select("edge_id", (F.col("len_m") * X.cost_of("surface", ((0, 4_500), (1, 15_000)))).alias("cost"))
+    return e.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cost").desc(), "edge_id")).cast("long"))
+
+
+@query("SELECT cx, cy, n, row_number() OVER (ORDER BY n DESC, cx, cy) AS rank FROM (SELECT floor(x / 200)::BIGINT AS cx, floor(y / 200)::BIGINT AS cy, count(*) AS n FROM premises GROUP BY 1, 2)")
+def cell_density(net):
+    n = net.premises.groupBy(X.cell("x", 200).alias("cx"), X.cell("y", 200).alias("cy")).agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "cx", "cy")).cast("long"))
+
+
+@query("SELECT count(*) AS n, min(p) AS low, max(p) AS high, count(*) FILTER (p > 100000) AS over, (SELECT p FROM (SELECT p, row_number() OVER (ORDER BY p) AS rn, count(*) OVER () AS n FROM pr) WHERE rn = (n + 1) // 2) AS median FROM pr",
+       DESIGN + ", pr AS (SELECT edge_id, len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END + edge_id % 97 * 1000 AS p FROM usage)")
+def price_stats(net):
+    """Count, extremes, count over a threshold and the exact lower median."""
+    p = net.edge_usage().select((F.col("len_m") * X.cost_of("surface", ((0, 4_500), (1, 15_000))) + F.col("edge_id") % 97 * 1000).alias("p"))
+    return p.agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.count(F.when(F.col("p") > 100_000, 1)).alias("over"), F.expr("percentile_disc(0.5) within group (order by p)").cast("long").alias("median"))
+
+
+@query("SELECT leg, max(v) FILTER (rn = (n - 1) * 50 // 100 + 1) AS p50, max(v) FILTER (rn = (n - 1) * 90 // 100 + 1) AS p90, max(v) FILTER (rn = (n - 1) * 99 // 100 + 1) AS p99 FROM (SELECT leg, v, row_number() OVER (PARTITION BY leg ORDER BY v) AS rn, count(*) OVER (PARTITION BY leg) AS n FROM "
+       "(SELECT 'drop' AS leg, drop_m AS v FROM drops UNION ALL SELECT 'path', path_m FROM term JOIN drops d ON term.term_id = d.node_id * 1000 + d.batch UNION ALL SELECT 'feeder', feeder_m FROM area JOIN drops USING (area_id))) GROUP BY leg", DESIGN)
+def leg_percentiles(net):
+    """Exact percentiles of each leg of the route, by rank ((n-1)*q div 100)."""
+    d = kept_drops(net)
+    legs = d.select(F.lit("drop").alias("leg"), F.col("drop_m").alias("v"))
+    legs = legs.union(d.join(net.terminals(d).select("term_id", "path_m"), "term_id").select(F.lit("path"), "path_m"))
+    legs = legs.union(d.join(net.areas(d).select("area_id", "feeder_m"), "area_id").select(F.lit("feeder"), "feeder_m"))
+    counts = legs.groupBy("leg", "v").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("leg")
+    upto = counts.withColumns({"upto": F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    at = lambda q: F.min(F.when(F.col("upto") >= X.div((F.col("n") - 1) * q, F.lit(100)) + 1, F.col("v"))).alias(f"p{q}")
+    return upto.groupBy("leg").agg(at(50), at(90), at(99))
+
+
+@query("SELECT area_id, max(path_m + drop_m) AS worst, count(*) FILTER (feeder_m + path_m + drop_m > 2500) AS over, sum(greatest(0, feeder_m + path_m + drop_m - 2500))::BIGINT AS excess FROM drops d JOIN (SELECT term_id, path_m FROM term) t ON t.term_id = d.node_id * 1000 + d.batch JOIN (SELECT area_id, feeder_m FROM area) a USING (area_id) GROUP BY 1", DESIGN)
+def worst_tails(net):
+    """Longest tail of each area, and what goes over a budget of 2,500 m."""
+    d = kept_drops(net)
+    r = d.join(net.terminals(d).select("term_id", "path_m"), "term_id").join(net.areas(d).select("area_id", "feeder_m"), "area_id")
+    route = F.col("feeder_m") + F.col("path_m") + F.col("drop_m")
+    return r.groupBy("area_id").agg(F.max(F.col("path_m") + F.col("drop_m")).alias("worst"), F.count(F.when(route > 2500, 1)).alias("over"), F.sum(F.greatest(F.lit(0), route - 2500)).alias("excess"))
+
+
+# --- provisioning, cost, QA -----------------------------------------------------------------------------------
+
+
+@query("SELECT term_id, used, ports::BIGINT AS ports, CASE ports WHEN 2 THEN 8000 WHEN 4 THEN 12000 WHEN 6 THEN 15000 WHEN 8 THEN 18000 ELSE 25000 END::BIGINT AS cost FROM terminals")
+def cover_terminal_size(net):
+    t = net.terminals(net.drops())
+    return t.select("term_id", "used", "ports", X.cost_of("ports", TERMINALS).alias("cost"))
+
+
+@query("SELECT area_id, units, take_units, cabinet_units::BIGINT AS cabinet_units, split_32, split_16, split_8, split_4, split_2, splitters FROM area", DESIGN)
+def area_provisioning(net):
+    a = provision.provision_areas(net.areas(net.drops()))
+    return a.select("area_id", "units", "take_units", "cabinet_units", "split_32", "split_16", "split_8", "split_4", "split_2", "splitters")
+
+
+@query("SELECT n AS units, greatest(1, (n * 65 + 99) // 100) AS take, CASE " + " ".join(f"WHEN n <= {s} THEN {s}" for s, _ in CABINETS) + " ELSE 432 END::BIGINT AS cabinet FROM (SELECT p_partkey % 500 + 1 AS n FROM part)", "")
+def cover_cabinet(net):
+    n = net.table("part").select((F.col("p_partkey") % 500 + 1).alias("units"))
+    return n.select("units", X.take_units("units").alias("take"), X.covering("units", CABINETS).cast("long").alias("cabinet"))
+
+
+@query("SELECT 0::BIGINT AS he_idx, ports, c16 AS card_16, c8 AS card_8, c4 AS card_4, c2 AS card_2, c1 AS card_1, cards, chassis, installed FROM oltp", DESIGN)
+def olt_cards(net):
+    a = provision.provision_areas(net.areas(net.drops()))
+    return longs(provision.olt_plan(provision.pon_ports(a, net.head_ends())).select("he_idx", "ports", "card_16", "card_8", "card_4", "card_2", "card_1", "cards", "chassis", "installed"))
+
+
+@query("SELECT edge_id, demand, (demand - 1) // 288 AS under, CASE WHEN r <= 12 THEN 12 WHEN r <= 24 THEN 24 WHEN r <= 48 THEN 48 WHEN r <= 96 THEN 96 WHEN r <= 144 THEN 144 ELSE 288 END::BIGINT AS size FROM (SELECT *, demand - (demand - 1) // 288 * 288 AS r FROM "
+       "(SELECT edge_id, (dist_fibers * 110 + 99) // 100 AS demand FROM usage WHERE dist_fibers > 0))", DESIGN)
+def cable_sizing(net):
+    e = net.edge_usage().where("dist_fibers > 0").select("edge_id", X.cable_demand("dist_fibers", F.lit("distribution")).alias("demand"))
+    under, last = X.cable_stack("demand")
+    return e.select("edge_id", "demand", under.alias("under"), last.cast("long").alias("size"))
+
+
+@query("SELECT role, size::BIGINT AS size, metres FROM cab", DESIGN)
+def cable_metres(net):
+    return longs(provision.cables(net.edge_usage()))
+
+
+@query("SELECT surface::BIGINT AS surface, sum(len_m)::BIGINT AS metres FROM usage WHERE trench GROUP BY 1", DESIGN)
+def trench_metres(net):
+    return longs(net.edge_usage().where("trench").groupBy("surface").agg(F.sum("len_m").alias("metres")))
+
+
+BOM = DESIGN.rstrip() + """,
+lines AS (SELECT 1 + s AS ord, CASE s WHEN 0 THEN 'trench_soft' ELSE 'trench_asphalt' END AS item, coalesce((SELECT sum(len_m) FROM usage WHERE trench AND surface = s), 0) AS qty, 'm' AS unit, CASE s WHEN 0 THEN 4500 ELSE 15000 END AS unit_cost FROM (SELECT unnest([0, 1]) AS s)
+  UNION ALL SELECT CASE role WHEN 'feeder' THEN 20 ELSE 10 END + list_position([12, 24, 48, 96, 144, 288], size), CASE role WHEN 'feeder' THEN 'feeder_cable_' ELSE 'dist_cable_' END || size || 'f', metres, 'm', CASE size WHEN 12 THEN 95 WHEN 24 THEN 130 WHEN 48 THEN 210 WHEN 96 THEN 340 WHEN 144 THEN 470 ELSE 780 END FROM cab
+  UNION ALL SELECT 30, 'drop_cable', coalesce(sum(drop_m), 0), 'm', 150 FROM drops UNION ALL SELECT 31, 'drop_assembly', count(*), 'each', 12000 FROM drops
+  UNION ALL SELECT 40 + list_position([12, 24, 48, 96, 144, 288, 432], cabinet_units), 'fdh_cabinet_' || cabinet_units, count(*), 'each', CASE cabinet_units WHEN 12 THEN 30000 WHEN 24 THEN 45000 WHEN 48 THEN 65000 WHEN 96 THEN 90000 WHEN 144 THEN 120000 WHEN 288 THEN 180000 ELSE 250000 END FROM area GROUP BY cabinet_units
+  UNION ALL SELECT 50 + list_position([2, 4, 8, 16, 32], s), 'splitter_1_' || s, n, 'each', CASE s WHEN 2 THEN 4000 WHEN 4 THEN 6000 WHEN 8 THEN 9000 WHEN 16 THEN 12000 ELSE 18000 END FROM (SELECT 2 AS s, sum(split_2) AS n FROM area UNION ALL SELECT 4, sum(split_4) FROM area UNION ALL SELECT 8, sum(split_8) FROM area UNION ALL SELECT 16, sum(split_16) FROM area UNION ALL SELECT 32, sum(split_32) FROM area) WHERE n > 0
+  UNION ALL SELECT 60 + list_position([2, 4, 6, 8, 12], ports), 'terminal_' || ports || 'p', count(*), 'each', CASE ports WHEN 2 THEN 8000 WHEN 4 THEN 12000 WHEN 6 THEN 15000 WHEN 8 THEN 18000 ELSE 25000 END FROM terminals GROUP BY ports
+  UNION ALL SELECT 70 + list_position([1, 2, 4, 8, 16], s), 'olt_card_' || s || 'p', n, 'each', CASE s WHEN 1 THEN 15000 WHEN 2 THEN 22000 WHEN 4 THEN 40000 WHEN 8 THEN 70000 ELSE 120000 END FROM (SELECT 1 AS s, c1 AS n FROM oltp UNION ALL SELECT 2, c2 FROM oltp UNION ALL SELECT 4, c4 FROM oltp UNION ALL SELECT 8, c8 FROM oltp UNION ALL SELECT 16, c16 FROM oltp) WHERE n > 0
+  UNION ALL SELECT 80, 'olt_port_optics', ports, 'each', 8500 FROM oltp UNION ALL SELECT 81, 'olt_chassis', chassis, 'each', 1800000 FROM oltp UNION ALL SELECT 82, 'head_end_site', 1, 'each', 12000000),
+bomt AS (SELECT ord::BIGINT AS ord, item, qty::BIGINT AS qty, unit, unit_cost::BIGINT AS unit_cost, (qty * unit_cost)::BIGINT AS ext FROM lines)
+"""
+
+
+def _design(net):
+    d = kept_drops(net)
+    return provision.provision_areas(net.areas(d)), net.terminals(d), d, net.edge_usage(), net.head_ends()
+
+
+@query("SELECT * FROM bomt", BOM)
+def bill_of_materials(net):
+    return longs(provision.bom(*_design(net)))
+
+
+@query("SELECT total, units, total // units AS per_unit, trench_m, cable_m, cable_m * 100 // trench_m AS sharing_x100, (total // 100)::VARCHAR || '.' || lpad((total % 100)::VARCHAR, 2, '0') AS total_text FROM (SELECT (SELECT sum(ext)::BIGINT FROM bomt) AS total, (SELECT sum(units)::BIGINT FROM drops) AS units, "
+       "(SELECT sum(len_m)::BIGINT FROM usage WHERE trench) AS trench_m, (SELECT (coalesce(sum(len_m) FILTER (dist_fibers > 0), 0) + coalesce(sum(len_m) FILTER (feeder_fibers > 0), 0))::BIGINT FROM usage) AS cable_m)", BOM)
+def cost_rollup(net):
+    areas, terminals, drops, usage, ends = _design(net)
+    return longs(provision.cost_rollup(provision.bom(areas, terminals, drops, usage, ends), drops, usage))
+
+
+UTIL = DESIGN.rstrip() + """,
+ut AS (SELECT 8 AS ord, 'terminal_utilization' AS "check", sum(used)::BIGINT AS used, sum(ports)::BIGINT AS installed FROM terminals
+  UNION ALL SELECT 9, 'splitter_utilization', sum(take_units)::BIGINT, sum(split_32 * 32 + split_16 * 16 + split_8 * 8 + split_4 * 4 + split_2 * 2)::BIGINT FROM area
+  UNION ALL SELECT 10, 'fdh_utilization', sum(units)::BIGINT, sum(cabinet_units)::BIGINT FROM area UNION ALL SELECT 11, 'olt_utilization', ports, installed FROM oltp),
+uu AS (SELECT ord::BIGINT AS ord, "check", used, installed, CASE WHEN installed > 0 THEN used * 1000 // installed ELSE 0 END AS permille FROM ut),
+qac AS (SELECT 1 AS ord, 'premises_served' AS "check", 0 AS failures UNION ALL SELECT 2, 'drop_length', count(*) FILTER (drop_m > 150) FROM drops
+  UNION ALL SELECT 3, 'fdh_capacity', count(*) FILTER (units > cabinet_units) FROM area UNION ALL SELECT 4, 'terminal_ports', count(*) FILTER (used > ports) FROM terminals
+  UNION ALL SELECT 5, 'splitter_capacity', count(*) FILTER (split_32 * 32 + split_16 * 16 + split_8 * 8 + split_4 * 4 + split_2 * 2 < take_units) FROM area
+  UNION ALL SELECT 6, 'route_length_budget', count(*) FILTER (feeder_m + path_m + drop_m > 20000) FROM drops d JOIN (SELECT term_id, path_m FROM term) t ON t.term_id = d.node_id * 1000 + d.batch JOIN (SELECT area_id, feeder_m FROM area) a USING (area_id)
+  UNION ALL SELECT 7, 'feeder_routed', count(*) FILTER (feeder_m = 0 AND fdh_node <> 434) FROM area),
+qat AS (SELECT ord::BIGINT AS ord, "check", failures::BIGINT AS failures, failures = 0 AS ok FROM qac UNION ALL SELECT ord, "check", CASE WHEN permille >= 950 THEN 0 ELSE 1 END, permille >= 950 FROM uu)
+"""
+
+
+@query('SELECT *, permille >= 950 AS ok, (permille // 10)::VARCHAR || \'.\' || (permille % 10)::VARCHAR AS text FROM uu', UTIL)
+def utilization(net):
+    areas, terminals, _, _, ends = _design(net)
+    return longs(provision.utilization(areas, terminals, ends))
+
+
+@query("SELECT * FROM qat", UTIL)
+def qa_checks(net):
+    areas, terminals, drops, _, ends = _design(net)
+    return longs(provision.qa(areas, terminals, drops, ends))
+
+
+@query("SELECT sum(failures)::BIGINT AS errors, count(*) FILTER (NOT ok) AS failing_checks, CASE WHEN sum(failures) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM qat", UTIL)
+def qa_verdict(net):
+    areas, terminals, drops, _, ends = _design(net)
+    return provision.qa_verdict(provision.qa(areas, terminals, drops, ends))
+
+
+SCORE = BOM.rstrip() + "," + UTIL[len(DESIGN.rstrip()) + 1 :].rstrip() + "," + FAR[len(NETWORK_SQL.rstrip()) + 1 :]
+
+
+@query("SELECT capex, street, dropx, odd, failing, capex + street * 50000 + dropx * 20000 + odd * 100000 + failing * 1000000 AS score FROM (SELECT (SELECT sum(ext)::BIGINT FROM bomt) AS capex, (SELECT count(*) FROM sx) AS street, (SELECT count(*) FROM dx) AS dropx, "
+       "(SELECT count(*) FILTER (used < 4 OR used > 12) FROM terminals) AS odd, (SELECT count(*) FILTER (NOT ok) FROM qat) AS failing)", SCORE)
+def composite_score(net):
+    """The score of the static design, its drops sent one node on (rings left out: its trench is no single tree)."""
+    areas, terminals, drops, usage, ends = _design(net)
+    far = _far_drops(net)
+    own = (F.col("a_node_id") == F.col("b_src")) | (F.col("a_node_id") == F.col("b_dst"))
+    parts = provision.bom(areas, terminals, drops, usage, ends).agg(F.sum("ext").alias("capex"))
+    parts = parts.crossJoin(spatial.segment_crossings(far, net.streets(), skip=own).agg(F.count("*").alias("street")))
+    parts = parts.crossJoin(spatial.self_crossings(far).agg(F.count("*").alias("dropx")))
+    parts = parts.crossJoin(terminals.agg(F.count(F.when((F.col("used") < 4) | (F.col("used") > 12), 1)).alias("odd")))
+    parts = parts.crossJoin(provision.qa_verdict(provision.qa(areas, terminals, drops, ends)).select(F.col("failing_checks").alias("failing")))
+    score = provision.composite_score(F.col("capex"), F.col("failing"), F.col("street"), F.col("dropx"), F.col("odd"), F.lit(0))
+    return parts.withColumn("score", score)
+
 
 def queries() -> dict:
     """Query functions by name."""
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return dict(_SQL)
