@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = groups.join(distinct, groups["node"] == distinct["fp"]).select("fp", "component", "low")
     lows = members.groupBy("component").agg(F.min("low").alias("component_low"))
     linked = members.join(lows, "component").select("fp", "component_low")
-    final = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
+    # Written, so that the last join stands between two exchanges and adaptive execution can split a hot fingerprint.
+    final = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id")), "simhash-final")
     return prints.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
