@@ -30,7 +30,7 @@ SHINGLE = 4
 SEED = 42
 #: Fingerprints compared with each other inside one bucket; larger buckets are dealt again.
 BUCKET = 4096
-LEVELS = 5
+LEVELS = 12
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -60,12 +60,27 @@ def _prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
 
 
+def _vectors(width: int) -> Iterator[int]:
+    """Nonzero vectors in the order of a maximal shift register, over and over.
+
+    Any stretch of them has odd and even inner products with every vector in fair shares, and no five in a row
+    are all even, so a table fixes bits as long as five or more are free.
+    """
+    taps = {3: 0b011, 4: 0b0011, 5: 0b00101, 6: 0b000011}[width]  # x^3+x+1, x^4+x+1, x^5+x^2+1, x^6+x+1
+    v = 1
+    while True:
+        yield v
+        v <<= 1
+        if v >> width:
+            v = v & (1 << width) - 1 ^ taps
+
+
 @cache
 def masks(free: int, radius: int = RADIUS) -> tuple[int, ...]:
     """Which bits of the mask ``free`` each covering table keeps."""
     bits = [i for i in range(64) if free >> i & 1]
     count = (1 << (radius + 1)) - 1
-    vector = {b: k % count + 1 for k, b in enumerate(bits)}
+    vector = dict(zip(bits, _vectors(radius + 1), strict=False))
     tables = (sum(1 << b for b in bits if (vector[b] & v).bit_count() & 1) for v in range(1, count + 1))
     return tuple(sorted(set(tables)))
 
@@ -173,8 +188,11 @@ def _dealer(level: int, radius: int):
 def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints ``fp`` that join all that are within the radius of each other.
 
-    All tables' links together have the same components as all pairs within the radius have.
+    All tables' links together have the same components as all pairs within the radius have. Tables fix
+    bits until at most four are free, so ``bucket`` is 16 or more.
     """
+    if bucket < 16:
+        raise ValueError("a bucket holds 16 fingerprints or more")
     rows = prints.select(F.lit(0).cast("long").alias("path"), "fp")
     links = None
     for level in range(LEVELS):
@@ -188,7 +206,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
         rows = found.where("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("fp"))
         if rows.isEmpty():
             return links
-    raise RuntimeError("buckets did not shrink")  # each level halves the free bits, so the last has at most a few
+    raise RuntimeError("buckets did not shrink")  # can't be: twelve levels leave at most four bits free
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

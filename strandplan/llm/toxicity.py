@@ -32,14 +32,14 @@ class FtrlRules:
     """Parameters of the model."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 0.7
     beta: float = 1.0
-    l1: float = 6.0
+    l1: float = 16.0
     l2: float = 1.0
     #: Passes over the training rows: ``epochs``, and with few rows as many more as make ``steps`` updates.
     epochs: int = 3
     steps: int = 24_000
-    most_epochs: int = 40
+    most_epochs: int = 15
     least_texts: int = 3
     stem: int = 4
     skips: tuple = (1, 2)
@@ -48,7 +48,7 @@ class FtrlRules:
 class Hasher:
     """Words to 64-bit numbers, with a bounded memory of those seen."""
 
-    def __init__(self, stem: int, keep: int = 500_000):
+    def __init__(self, stem: int, keep: int = 200_000):
         self.stem, self.keep = stem, keep
         self.seen: dict[str, tuple[int, int]] = {}
 
