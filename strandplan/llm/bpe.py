@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from strandplan.plans.session import small_batches
 
 DEFAULT = "byte_bpe_50k.json"
-#: Encoded pre-tokens a task keeps; it then starts afresh, so memory doesn't grow with the input.
-CACHE = 600_000
+#: Encoded pre-tokens, and judged pairs of tokens, that a task keeps; it then starts afresh, so memory doesn't grow.
+CACHE, PAIRS = 300_000, 400_000
 NEVER = 1 << 62
 
 
@@ -96,7 +96,7 @@ class Encoder:
         """Whether the text of both tokens is encoded as just these two."""
         got = self.follows.get((left, right))
         if got is None:
-            if len(self.follows) > 4 * CACHE:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
             got = self.follows[left, right] = self._undo(left, right)
         return got
@@ -181,7 +181,7 @@ def _encoder(spec: str) -> Encoder:
 
 
 #: Texts whose words share one trie: as many as hold so many characters, or one longer text.
-GROUP = 4 << 20
+GROUP = 1 << 20
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
