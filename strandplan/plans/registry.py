@@ -515,6 +515,237 @@ def composite_score(net):
     return parts.withColumn("score", score)
 
 
+# --- formats --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT section, start, rows, width FROM (SELECT 'NODES' AS section, 4::BIGINT AS start, 900::BIGINT AS rows, 3::BIGINT AS width UNION ALL SELECT 'EDGES', 4 + 2700 + 2, 1740, 4 UNION ALL SELECT 'PREMISES', 4 + 2700 + 2 + 6960 + 2, (SELECT count(*) FROM premises), 4)")
+def interchange_sections(net):
+    """The network written as interchange text and cut into sections again."""
+    from strandplan.plans.session import shared_path
+    from strandplan.sources import interchange
+
+    path = shared_path(net.spark, "interchange")
+    interchange.write_lines(interchange.interchange_lines(net.nodes, net.edges, net.premises), path)
+    return longs(interchange.sections(_one_text(net, path)))
+
+
+def _one_text(net, path):
+    """Tokens of a folder of part files, in order, through one file."""
+    from strandplan.plans.session import shared_path
+    from strandplan.sources import interchange
+
+    whole = shared_path(net.spark, "interchange")
+    net.spark.read.text(path).coalesce(1).write.text(whole)
+    return interchange.tokens(net.spark, whole)
+
+
+@query("SELECT 'sections' AS rule, 0 AS n WHERE false", "")
+def interchange_violations(net):
+    """No rule is broken by the network's own text."""
+    from strandplan.plans.session import shared_path
+    from strandplan.sources import interchange
+
+    path = shared_path(net.spark, "interchange")
+    lines = interchange.interchange_lines(net.nodes, net.edges, net.premises)
+    lines.coalesce(1).sortWithinPartitions("part", "ord").select("line").write.text(path)
+    return interchange.violations(interchange.read_raw(net.spark, path))
+
+
+@query("SELECT 'G term ' || term_id || ' ' || node_id || ' ' || area_id || ' ' || ports || ' ' || used || ' ' || path_m AS line FROM term UNION ALL SELECT 'G prem ' || prem_id || ' ' || area_id || ' ' || (node_id * 1000 + batch) || ' ' || drop_m FROM drops "
+       "UNION ALL SELECT 'G fdh ' || area_id || ' ' || fdh_node || ' ' || cabinet_units || ' ' || splitters || ' ' || units || ' ' || take_units || ' ' || feeder_m FROM area UNION ALL SELECT 'G edge ' || edge_id || ' ' || CASE WHEN trench THEN 1 ELSE 0 END || ' ' || dist_fibers || ' ' || feeder_fibers FROM usage WHERE trench "
+       "UNION ALL SELECT 'G co 434' UNION ALL SELECT 'GEOM 1' UNION ALL SELECT 'END'", DESIGN)
+def geometry_dump(net):
+    from strandplan.sources import geometry
+
+    areas, terminals, drops, usage, ends = _design(net)
+    return geometry.geometry_lines(ends, areas, terminals, drops, usage).select("line")
+
+
+@query("SELECT kind, n FROM (SELECT 'co' AS kind, 1 AS n UNION ALL SELECT 'fdh', count(*) FROM area UNION ALL SELECT 'term', count(*) FROM term UNION ALL SELECT 'prem', count(*) FROM drops UNION ALL SELECT 'edge', count(*) FILTER (trench) FROM usage)", DESIGN)
+def geometry_round_trip(net):
+    """The dump parsed again, rows by kind."""
+    from functools import reduce
+
+    from strandplan.sources import geometry
+
+    areas, terminals, drops, usage, ends = _design(net)
+    lines = geometry.geometry_lines(ends, areas, terminals, drops, usage).select(F.col("line").alias("value"))
+    back = geometry.parse_geometry(lines)
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in back.items()])
+
+
+@query("SELECT '  ' || item || ' qty=' || qty || ' ' || unit || ' unit=$' || (unit_cost // 100) || '.' || lpad((unit_cost % 100)::VARCHAR, 2, '0') || ' ext=$' || (ext // 100) || '.' || lpad((ext % 100)::VARCHAR, 2, '0') AS line FROM bomt", BOM)
+def bom_text(net):
+    from strandplan.sources import report
+
+    return _report(net).where("part = 2 and ord >= 0").select("line")
+
+
+def _report(net):
+    from strandplan.sources import report
+
+    areas, terminals, drops, usage, ends = _design(net)
+    bom = provision.bom(areas, terminals, drops, usage, ends)
+    checks = provision.qa(areas, terminals, drops, ends)
+    summary = drops.agg(F.count("*").alias("premises"), F.sum("units").alias("units")).crossJoin(areas.agg(F.count("*").alias("serving_areas"))).crossJoin(terminals.agg(F.count("*").alias("terminals")))
+    return report.report_lines(summary, areas, provision.utilization(areas, terminals, ends), bom, provision.cost_rollup(bom, drops, usage), checks, provision.qa_verdict(checks))
+
+
+@query("SELECT (SELECT sum(ext)::BIGINT FROM bomt) AS capex_cents, (SELECT count(*) FILTER (NOT ok) FROM qat) AS qa_errors, (SELECT CASE WHEN sum(failures) = 0 THEN 'PASS' ELSE 'FAIL' END FROM qat) AS verdict", BOM.rstrip() + "," + UTIL[len(DESIGN.rstrip()) + 1 :])
+def report_scrape(net):
+    """The report written as text and scraped again."""
+    from strandplan.sources import report
+
+    return report.scrape_report(_report(net).select(F.col("line").alias("value")))
+
+
+def _layers(net):
+    from strandplan.sources import geojson
+
+    areas, terminals, drops, usage, ends = _design(net)
+    return geojson.layers(net.nodes, net.edges, ends, areas, terminals, drops, usage, geojson.Projection(-81.9, 26.5, 99_600.0, 110_800.0))
+
+
+@query("SELECT layer, n FROM (SELECT 'central_office' AS layer, 1 AS n UNION ALL SELECT 'cabinets', count(*) FROM area UNION ALL SELECT 'terminals', count(*) FROM term UNION ALL SELECT 'premises', count(*) FROM drops UNION ALL SELECT 'drops', count(*) FROM drops "
+       "UNION ALL SELECT 'fiber_feeder', count(*) FILTER (feeder_fibers > 0) FROM usage UNION ALL SELECT 'fiber_distribution', count(*) FILTER (dist_fibers > 0) FROM usage UNION ALL SELECT 'trench', count(*) FILTER (trench) FROM usage UNION ALL SELECT 'serving_areas', count(*) FROM area)", DESIGN)
+def geojson_layers(net):
+    """Features of each of the nine layers that parse as JSON objects of type Feature."""
+    from functools import reduce
+
+    good = F.count(F.when(F.get_json_object("feature", "$.type") == "Feature", 1)).alias("n")
+    return reduce(DataFrame.unionByName, [df.agg(good).select(F.lit(k).alias("layer"), "n") for k, df in _layers(net).items()])
+
+
+@query("SELECT prem_id, units, area_id, node_id * 1000 + batch AS term_id, drop_m, 'served' AS status FROM drops")
+def geojson_properties(net):
+    """Properties of the premises layer, read back from its JSON."""
+    schema = "properties struct<premises:bigint,units:bigint,serving_area:bigint,terminal:bigint,drop_m:bigint,status:string>"
+    p = _layers(net)["premises"].select(F.from_json("feature", schema).alias("f")).select("f.properties.*")
+    return p.select(F.col("premises").alias("prem_id"), "units", F.col("serving_area").alias("area_id"), F.col("terminal").alias("term_id"), "drop_m", "status")
+
+
+@query()
+def area_hulls(net):
+    from strandplan.sources import geojson
+
+    h = geojson.area_hulls(net.drops(), "area_id", "x", "y")
+    return h.select("area_id", "n", F.to_json("ring").alias("ring"))
+
+
+@query("SELECT e, count(*)::BIGINT AS n, min(g) AS low, max(g) FILTER (rn = (c - 1) * 50 // 100 + 1) AS p50, max(g) AS high, count(*) FILTER (g <= 10) * 1000 // count(*) AS within_permille FROM (SELECT e, g, row_number() OVER (PARTITION BY e ORDER BY g) AS rn, count(*) OVER (PARTITION BY e) AS c FROM "
+       "(SELECT c_nationkey::BIGINT AS e, pos - lag(pos) OVER (PARTITION BY c_nationkey ORDER BY pos) AS g FROM (SELECT c_nationkey, c_custkey * 31 % 50021 AS pos FROM customer)) WHERE g IS NOT NULL) GROUP BY e")
+def crossing_spacing(net):
+    """Gaps between crossings along each way: extremes, median and the share within ten metres."""
+    from strandplan.operators import diagnostics
+
+    k = F.col("c_custkey")
+    at = net.table("customer").select(F.col("c_nationkey").cast("long").alias("e"), (k * 31 % 50_021).alias("pos"))
+    return diagnostics.crossing_gaps(at, "e", "pos", 10).select("e", "n", "low", "p50", "high", "within_permille")
+
+
+@query("SELECT iteration, total, total - lag(total) OVER (ORDER BY iteration) AS change FROM (SELECT year(o_orderdate)::BIGINT AS iteration, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1)", "")
+def iteration_ledger(net):
+    from strandplan.operators import diagnostics
+
+    return diagnostics.ledger(net.table("orders").select(F.year("o_orderdate").cast("long").alias("iteration"), F.col("o_orderkey").alias("score")))
+
+
+# --- searches -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 9190 AS premises, 9919 AS units, 23 AS k, 7485700 AS seeds, 5999300 AS sites, 5769900 AS exact, 138 AS cycles, 559 AS moved, 2 AS stop", "")
+def town_assignment(net):
+    """Serving areas of the seeded town: unit metres of the seed, site and repaired assignments, against published values."""
+    from strandplan.kernels import assign
+    from strandplan.kernels.net import Net
+    from strandplan.rules import TRENCH
+    from strandplan.sources import town
+
+    def run(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            nodes, edges, premises = town.town()
+            a, _, _ = assign.serve(Net(nodes, edges, dict(TRENCH)), town.snap(nodes, premises), premises[:, 2], RULES.max_area_units)
+            row = {"premises": len(premises), "units": int(premises[:, 2].sum()), **{k: a.trace[k] for k in ("k", "seeds", "sites", "exact", "cycles", "moved", "stop")}}
+            yield pa.RecordBatch.from_pylist([row])
+
+    return net.spark.range(1).coalesce(1).mapInArrow(run, "premises long, units long, k long, seeds long, sites long, exact long, cycles long, moved long, stop long")
+
+
+def _solved(net):
+    from strandplan.plans import design
+
+    zero = F.lit(0).cast("long").alias("network")
+    return design.one(design.design_networks(net.nodes.select("*", zero), net.edges.select("*", zero), net.premises.select("*", zero)))
+
+
+@query()
+def design_areas(net):
+    return _solved(net)[0]
+
+
+@query()
+def design_terminals(net):
+    return _solved(net)[1]
+
+
+@query()
+def design_bom(net):
+    return provision.bom(*_solved(net))
+
+
+@query("SELECT true AS all_served, true AS drops_in_reach, true AS ports_hold, true AS areas_agree, true AS no_rings, true AS fibers_trenched, true AS cabinets_hold, true AS banks_hold, (SELECT count(*) FROM customer) AS premises, (SELECT sum(units)::BIGINT FROM premises) AS units")
+def design_invariants(net):
+    """What every design must keep, whatever the search found."""
+    areas, terminals, premises, usage, _ = _solved(net)
+    used = net.edges.join(usage.where("trench").select("edge_id"), "edge_id", "left_semi")
+    joined = premises.join(terminals.select("term_id", F.col("area_id").alias("t_area"), "ports"), "term_id", "left")
+    counts = premises.groupBy("term_id").agg(F.count("*").alias("n")).join(terminals, "term_id")
+    row = joined.agg(
+        (F.count(F.when(F.col("term_id").isNull(), 1)) == 0).alias("all_served"), (F.max("drop_m") <= RULES.max_drop_m).alias("drops_in_reach"),
+        (F.count(F.when(F.col("t_area") != F.col("area_id"), 1)) == 0).alias("areas_agree"), F.count("*").alias("premises"), F.sum("units").alias("units"),
+    )
+    row = row.crossJoin(counts.agg((F.count(F.when((F.col("n") != F.col("used")) | (F.col("used") > F.col("ports")), 1)) == 0).alias("ports_hold")))
+    row = row.crossJoin(graph.cycle_count(used).select((F.col("rings") == 0).alias("no_rings")))
+    row = row.crossJoin(usage.agg((F.count(F.when(~F.col("trench") & ((F.col("dist_fibers") > 0) | (F.col("feeder_fibers") > 0)), 1)) == 0).alias("fibers_trenched")))
+    bank = sum(F.col(f"split_{s}") * s for s in (2, 4, 8, 16, 32))
+    return row.crossJoin(areas.agg((F.count(F.when(F.col("units") > F.col("cabinet_units"), 1)) == 0).alias("cabinets_hold"), (F.count(F.when((bank < F.col("take_units")) | (bank >= F.col("take_units") + 2), 1)) == 0).alias("banks_hold")))
+
+
+@query()
+def design_score(net):
+    """The sixteen metrics of a searched design."""
+    from strandplan.operators import diagnostics
+
+    areas, terminals, premises, usage, ends = _solved(net)
+    return diagnostics.score_design(net.nodes, net.edges, net.premises, areas, terminals, premises, usage, ends)
+
+
+@query()
+def design_budget(net):
+    """Percentiles of each leg of the routes of a searched design."""
+    from strandplan.operators import diagnostics
+
+    areas, terminals, premises, _, _ = _solved(net)
+    return diagnostics.budget_report(areas, terminals, premises)
+
+
+@query("SELECT n.node_id, 0 AS source, min(d) AS dist FROM nodes n JOIN (SELECT node_id, abs(node_id % 30 - 14) * 100 + abs(node_id // 30 - 14) * 100 AS d FROM nodes) USING (node_id) WHERE d <= 800 GROUP BY 1")
+def bounded_distances(net):
+    """Shortest paths cut off at 800 m."""
+    start = net.spark.createDataFrame([(0, 434)], "source int, node_id long")
+    return longs(graph.shortest_paths(net.lengths, start, F.col("len_m"), limit=800).select("source", "node_id", "dist"))
+
+
+@query()
+def trench_distances(net):
+    """Civil cents from the head-end to every node over soft and asphalt streets."""
+    start = net.spark.createDataFrame([(0, 434)], "source int, node_id long")
+    cents = X.edge_weight("trench", "len_m", X.cost_of("surface", ((0, 4_500), (1, 15_000))), F.lit(False))
+    return graph.shortest_paths(net.lengths, start, cents).select("node_id", "dist")
+
+
 def queries() -> dict:
     """Query functions by name."""
     return dict(_QUERIES)

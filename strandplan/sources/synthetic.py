@@ -35,7 +35,7 @@ def customer_premises(customer: DataFrame, w: int = 30, h: int = 30, spacing: in
     total = across + w * (h - 1)
     k = F.col("c_custkey").cast("long")
     p = customer.select(
-        (k - 1).alias("prem_id"), (k * 7919 % total).alias("e"), (25 + k * 31 % 51).alias("along"), F.when(k % 2 == 0, 16).otherwise(-16).alias("off"),
+        k.alias("prem_id"), (k * 7919 % total).alias("e"), (25 + k * 31 % 51).alias("along"), F.when(k % 2 == 0, 16).otherwise(-16).alias("off"),
         F.when(k % 17 == 0, 4 + F.col("c_nationkey").cast("long") % 13).otherwise(1).cast("long").alias("units"),
     )
     level, v = F.col("e") < across, F.col("e") - across
@@ -51,7 +51,7 @@ edges AS (SELECT i AS edge_id, i // 29 * 30 + i % 29 AS src, i // 29 * 30 + i %
     FROM (SELECT unnest(range(0, 870)) AS i)
   UNION ALL SELECT 870 + i, i // 30 * 30 + i % 30, (i // 30 + 1) * 30 + i % 30, CASE WHEN i % 30 IN (10, 20) THEN 1 ELSE 0 END
     FROM (SELECT unnest(range(0, 870)) AS i)),
-slots AS (SELECT c_custkey - 1 AS prem_id, c_custkey * 7919 % 1740 AS e, 25 + c_custkey * 31 % 51 AS along, CASE WHEN c_custkey % 2 = 0 THEN 16 ELSE -16 END AS off,
+slots AS (SELECT c_custkey AS prem_id, c_custkey * 7919 % 1740 AS e, 25 + c_custkey * 31 % 51 AS along, CASE WHEN c_custkey % 2 = 0 THEN 16 ELSE -16 END AS off,
     CASE WHEN c_custkey % 17 = 0 THEN 4 + c_nationkey % 13 ELSE 1 END AS units FROM customer),
 premises AS (SELECT prem_id, CASE WHEN e < 870 THEN e % 29 * 100 + along ELSE (e - 870) % 30 * 100 + off END AS x,
     CASE WHEN e < 870 THEN e // 29 * 100 + off ELSE (e - 870) // 30 * 100 + along END AS y, units FROM slots),
