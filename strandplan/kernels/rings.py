@@ -27,9 +27,9 @@ def hull(points) -> list | None:
 
 
 def dedupe(ring: list) -> list:
-    """Without points that repeat the one before, around the ring."""
-    out = [p for i, p in enumerate(ring) if p != ring[i - 1]] if len(ring) > 1 else list(ring)
-    return out or ring[:1]
+    """Without points that repeat the one before, around the ring; the first of them stays."""
+    out = [p for p, before in zip(ring, [None, *ring], strict=False) if p != before]
+    return out[:-1] if len(out) > 1 and out[-1] == out[0] else out
 
 
 def drop_collinear(ring: list) -> list:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +59,73 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(lost, "edge_id", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: Column, limit: int | None = None, max_rounds: int = 100_000) -> DataFrame:
+#: Edges of a network that a task may hold; larger ones are worked on round by round.
+TASK_EDGES = 500_000
+
+
+def _adjacency(table) -> dict[int, list[tuple[int, int, int]]]:
+    """(neighbour, edge, weight) by node from an array of (src, dst, edge, weight)."""
+    near: dict[int, list[tuple[int, int, int]]] = {}
+    for u, v, e, w in table.tolist():
+        near.setdefault(u, []).append((v, e, w))
+        near.setdefault(v, []).append((u, e, w))
+    return near
+
+
+def _small(edges: DataFrame, weight: Column, most: int):
+    """The edges as an array broadcast to all tasks, or None if there are more than ``most``: the size is checked first."""
+    rows = edges.select("src", "dst", "edge_id", weight.cast("long").alias("w")).limit(most + 1)
+    if rows.count() > most:
+        return None
+    return edges.sparkSession.sparkContext.broadcast(rows.toPandas().to_numpy(np.int64))
+
+
+def _label(near, starts, limit):
+    """(distance, predecessor, edge) by node; ties to the lower predecessor, then the lower edge."""
+    best = dict.fromkeys(starts, (0, -1, -1))
+    heap = [(0, s) for s in starts]
+    heapq.heapify(heap)
+    done = set()
+    while heap:
+        d, u = heapq.heappop(heap)
+        if u in done:
+            continue
+        done.add(u)
+        for v, e, w in near.get(u, ()):
+            if (limit is None or d + w <= limit) and v not in done and (v not in best or (d + w, u, e) < best[v]):
+                shorter = v not in best or d + w < best[v][0]
+                best[v] = (d + w, u, e)
+                if shorter:
+                    heapq.heappush(heap, (d + w, v))
+    return best
+
+
+def _pathfinder(shared, limit):
+    def run(batches):
+        near = _adjacency(shared.value)
+        for batch in batches:
+            for source, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(source, n, d, None if e < 0 else u, None if e < 0 else e) for n, (d, u, e) in _label(near, sorted(set(starts)), limit).items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["source", "node_id", "dist", "prev", "prev_edge"])
+
+    return run
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: Column, limit: int | None = None, max_rounds: int = 100_000, task_edges: int = TASK_EDGES) -> DataFrame:
     """``(source, node_id, dist, prev, prev_edge)`` from each ``(source, node_id)`` start.
 
+    A network of at most ``task_edges`` edges is broadcast and searched by tasks, sources side by side. A larger
+    one is relaxed in rounds with the same result (where weights are positive).
+    """
+    if (shared := _small(edges, weight, task_edges)) is not None:
+        grouped = sources.groupBy(F.col("source").cast("long").alias("source")).agg(F.collect_set(F.col("node_id").cast("long")).alias("starts"))
+        return grouped.mapInArrow(_pathfinder(shared, limit), "source long, node_id long, dist long, prev long, prev_edge long")
+    return relaxed_paths(edges, sources, weight, limit, max_rounds)
+
+
+def relaxed_paths(edges: DataFrame, sources: DataFrame, weight: Column, limit: int | None = None, max_rounds: int = 100_000) -> DataFrame:
+    """``shortest_paths`` of a network of any size.
+
     Frontier relaxation: a round extends only the labels that got better in the round before, so each round's
     work is the frontier's. Equal distances are settled by the lower predecessor, then the lower edge. ``limit``
     stops paths beyond a distance. Starts have a null predecessor.
@@ -89,8 +157,29 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: Column, limit:
     raise RuntimeError("shortest paths did not settle")
 
 
-def rooted_tree(edges: DataFrame, root: int, max_depth: int = 100_000) -> DataFrame:
-    """``(node_id, parent, parent_edge, depth, path_m)`` of the forest edges (with ``len_m``) reachable from ``root``."""
+def rooted_tree(edges: DataFrame, root: int, max_depth: int = 100_000, task_edges: int = TASK_EDGES) -> DataFrame:
+    """``(node_id, parent, parent_edge, depth, path_m)`` of the forest edges (with ``len_m``) reachable from ``root``.
+
+    Up to ``task_edges`` edges are walked in one task, more of them a level a round.
+    """
+    if (shared := _small(edges, F.col("len_m"), task_edges)) is not None:
+
+        def walk(batches):
+            near = _adjacency(shared.value)
+            for batch in batches:
+                for start in batch.column(0).to_pylist():
+                    order, at = [start], {start: (None, None, 0, 0)}
+                    for u in order:
+                        for v, e, w in sorted(near.get(u, ())):
+                            if v not in at:
+                                at[v] = (u, e, at[u][2] + 1, at[u][3] + w)
+                                order.append(v)
+                    rows = [(n, *at[n]) for n in order]
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node_id", "parent", "parent_edge", "depth", "path_m"])
+
+        one = edges.sparkSession.range(root, root + 1, 1, 1)
+        return one.mapInArrow(walk, "node_id long, parent long, parent_edge long, depth int, path_m long")
     spark = edges.sparkSession
     steps, _ = written_at(half_edges(edges, "len_m"), "tree-steps")
     level = spark.createDataFrame([(root, None, None, 0, 0)], "node_id long, parent long, parent_edge long, depth int, path_m long")
@@ -127,21 +216,51 @@ def subtree_sums(tree: DataFrame, values: DataFrame) -> DataFrame:
     return now.select("node_id", "total")
 
 
+def linked(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """``(node, component)`` of the ends of a street network's edges; the component is its smallest node.
+
+    Up to ``task_edges`` edges are joined up in one task; more by star contraction.
+    """
+    ends = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.lit(0).cast("long").alias("edge_id"))
+    shared = _small(ends, F.lit(0), task_edges)
+    if shared is None:
+        return connected_components(ends, "src", "dst")
+
+    def join_up(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            above: dict[int, int] = {}
+
+            def top(n):
+                while (up := above.setdefault(n, n)) != n:
+                    above[n] = above[up]
+                    n = up
+                return n
+
+            for u, v, _, _ in shared.value.tolist():
+                a, b = top(u), top(v)
+                above[max(a, b)] = min(a, b)
+            nodes = list(above)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(n) for n in nodes], pa.int64())], names=["node", "component"])
+
+    return edges.sparkSession.range(0, 1, 1, 1).mapInArrow(join_up, "node long, component long")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(node_id, component)`` of every node, isolated ones by themselves."""
-    linked = connected_components(edges, "src", "dst")
-    return nodes.select("node_id").join(linked, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+    found = linked(edges)
+    return nodes.select("node_id").join(found, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def cycle_count(edges: DataFrame) -> DataFrame:
     """One row ``(edges, nodes, components, rings)``: independent cycles are E - V + C."""
-    linked = connected_components(edges, "src", "dst").agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
-    return linked.crossJoin(edges.agg(F.count("*").alias("edges"))).select("edges", "nodes", "components", (F.col("edges") - F.col("nodes") + F.col("components")).alias("rings"))
+    pieces = linked(edges).agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
+    return pieces.crossJoin(edges.agg(F.count("*").alias("edges"))).select("edges", "nodes", "components", (F.col("edges") - F.col("nodes") + F.col("components")).alias("rings"))
 
 
 def tree_check(edges: DataFrame, required: DataFrame) -> DataFrame:
     """One row: whether the edges are one tree, and how many required nodes it misses."""
-    linked = connected_components(edges, "src", "dst")
-    missing = required.select("node_id").distinct().join(linked, F.col("node_id") == F.col("node"), "left_anti").agg(F.count("*").alias("missing"))
+    missing = required.select("node_id").distinct().join(linked(edges), F.col("node_id") == F.col("node"), "left_anti").agg(F.count("*").alias("missing"))
     counts = cycle_count(edges)
     return counts.crossJoin(missing).withColumn("ok", (F.col("rings") == 0) & (F.col("components") == 1) & (F.col("missing") == 0))

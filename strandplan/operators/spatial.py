@@ -87,21 +87,27 @@ def self_crossings(a: DataFrame, size: int = 128) -> DataFrame:
     return segment_crossings(a, a, size, skip=F.col("a_id") >= F.col("b_id"))
 
 
+def _across(points: DataFrame, key: str, group: str, radius: int) -> DataFrame:
+    """``(g, a, b, sq)``: pairs of points of different groups within ``radius``, both ways round."""
+    here = points.select(F.col(key).alias("a"), F.col(group).alias("g"), "x", "y")
+    there = points.select(F.col(key).alias("node_id"), "x", "y")
+    other = points.select(F.col(key).alias("b"), F.col(group).alias("other"))
+    pairs = within(here, there, radius).join(other, F.col("node_id") == F.col("b")).where("g <> other")
+    return pairs.select("g", "a", "b", "sq")
+
+
 def nearest_between(points: DataFrame, key: str, group: str, radius: int) -> DataFrame:
     """For each group, its nearest pair of points with another group within ``radius``: ``(group, sq, a, b)``.
 
     Ties go to the lower ids. Groups with no other group in reach give no row.
     """
-    other = points.select(F.col(key).alias("node_id"), F.col("x"), F.col("y"), F.col(group).alias("other"))
-    pairs = within(points, other, radius).join(other.select("node_id", "other"), "node_id").where(F.col(group) != F.col("other"))
-    return pairs.groupBy(group).agg(F.min(F.struct("sq", F.col(key).alias("a"), F.col("node_id").alias("b"))).alias("p")).select(group, "p.sq", "p.a", "p.b")
+    best = _across(points, key, group, radius).groupBy("g").agg(F.min(F.struct("sq", "a", "b")).alias("p"))
+    return best.select(F.col("g").alias(group), "p.sq", "p.a", "p.b")
 
 
 def pairs_between(points: DataFrame, key: str, group: str, radius: int, most: int | None = None) -> DataFrame:
     """``(sq, a, b)``: pairs of points of different groups within ``radius``, nearest first; ``most`` keeps the first ones."""
-    other = points.select(F.col(key).alias("node_id"), "x", "y", F.col(group).alias("other"))
-    pairs = within(points, other, radius).join(other.select("node_id", "other"), "node_id")
-    pairs = pairs.where((F.col(group) != F.col("other")) & (F.col(key) < F.col("node_id"))).select("sq", F.col(key).alias("a"), F.col("node_id").alias("b"))
+    pairs = _across(points, key, group, radius).where("a < b").select("sq", "a", "b")
     return pairs if most is None else pairs.orderBy("sq", "a", "b").limit(most)
 
 

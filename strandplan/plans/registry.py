@@ -731,6 +731,28 @@ def design_budget(net):
     return diagnostics.budget_report(areas, terminals, premises)
 
 
+@query("SELECT * FROM (VALUES (1, 13, 12, 24, 24), (2, 22, 22, 40, 40), (3, 145, 160, 155, 155), (4, 18, 17, 40, 40), (5, 34, 33, 56, 56), (6, 9, 8, 8, 93)) t(network, nodes, edges, premises, units)", "")
+def scenario_counts(net):
+    """Sizes of the six closed-form towns."""
+    from strandplan.sources import scenarios
+
+    n, e, p = scenarios.tables(net.spark)
+    count = lambda df, name: df.groupBy("network").agg(F.count("*").alias(name))
+    return count(n, "nodes").join(count(e, "edges"), "network").join(p.groupBy("network").agg(F.count("*").alias("premises"), F.sum("units").alias("units")), "network")
+
+
+@query("SELECT network, true AS all_served, true AS drops_in_reach, take, splitters FROM (VALUES (1, 16, 1), (2, 26, 3), (3, 101, 5), (4, 26, 3), (5, 37, 3), (6, 61, 5)) t(network, take, splitters)", "")
+def scenario_designs(net):
+    """All six towns designed side by side: what every design of them has in common."""
+    from strandplan.plans import design
+    from strandplan.sources import scenarios
+
+    d = design.design_networks(*scenarios.tables(net.spark))
+    served = d["premises"].groupBy("network").agg((F.count(F.when(F.col("term_id").isNull(), 1)) == 0).alias("all_served"), (F.max("drop_m") <= RULES.max_drop_m).alias("drops_in_reach"))
+    areas = provision.provision_areas(d["areas"]).groupBy("network").agg(F.sum("take_units").alias("take"), F.sum("splitters").alias("splitters"))
+    return served.join(areas, "network")
+
+
 @query("SELECT n.node_id, 0 AS source, min(d) AS dist FROM nodes n JOIN (SELECT node_id, abs(node_id % 30 - 14) * 100 + abs(node_id // 30 - 14) * 100 AS d FROM nodes) USING (node_id) WHERE d <= 800 GROUP BY 1")
 def bounded_distances(net):
     """Shortest paths cut off at 800 m."""
