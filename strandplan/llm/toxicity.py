@@ -83,14 +83,23 @@ def features(words: np.ndarray, rules: FtrlRules) -> np.ndarray:
 
 
 def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) other than zero, after some passes over (text, label)."""
-    hasher = Hasher(rules.stem)
-    data = [(features(hasher(text), rules), int(label)) for text, label in rows]
-    seen = np.zeros(1 << rules.bits, np.int32)
-    for i, _ in data:
-        seen[i] += 1
+    """(buckets, weights) other than zero, after some passes over (text, label).
+
+    Rows are read once; their buckets are kept end to end in one array, a few kilobytes a row.
+    """
+    hasher, flat, used, sizes, labels = Hasher(rules.stem), np.empty(1 << 20, np.int32), 0, [], []
+    for text, label in rows:
+        i = features(hasher(text), rules)
+        if used + len(i) > len(flat):
+            flat = np.concatenate((flat[:used], np.empty(max(len(flat), len(i)), np.int32)))
+        flat[used : used + len(i)] = i
+        used += len(i)
+        sizes.append(len(i))
+        labels.append(int(label))
     # A bucket of one or two texts can only be learned by heart, so it is left out.
-    data = [(i[seen[i] >= rules.least_texts], label) for i, label in data]
+    keep = np.bincount(flat[:used], minlength=1 << rules.bits)[flat[:used]] >= rules.least_texts
+    ends = np.cumsum(np.concatenate(([0], keep)))[np.cumsum(np.array([0, *sizes], np.int64))]
+    flat = flat[:used][keep]
     z, n = np.zeros(1 << rules.bits), np.zeros(1 << rules.bits)
 
     def weights(i):
@@ -98,12 +107,12 @@ def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.nd
         w = (np.sign(zi) * rules.l1 - zi) / ((rules.beta + np.sqrt(n[i])) / rules.alpha + rules.l2)
         return np.where(np.abs(zi) <= rules.l1, 0.0, w)
 
-    passes = max(rules.epochs, min(rules.most_epochs, -(-rules.steps // max(1, len(data)))))
+    passes = max(rules.epochs, min(rules.most_epochs, -(-rules.steps // max(1, len(labels)))))
     for epoch in range(passes):
-        for k in np.random.default_rng(SEED + epoch).permutation(len(data)):
-            i, label = data[k]
+        for k in np.random.default_rng(SEED + epoch).permutation(len(labels)).tolist():
+            i = flat[ends[k] : ends[k + 1]]
             w = weights(i)
-            g = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, w.sum())))) - label
+            g = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, w.sum())))) - labels[k]
             ni = n[i]
             z[i] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / rules.alpha * w
             n[i] = ni + g * g
@@ -113,7 +122,7 @@ def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.nd
 
 def _fitter(rules: FtrlRules):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        rows = ((text.as_py(), label.as_py()) for b in batches for text, label in zip(b.column(0), b.column(1), strict=True))
         buckets, weights = fit(rows, rules)
         yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(weights, pa.float64())], names=["bucket", "weight"])
 
