@@ -722,6 +722,24 @@ def design_score(net):
     return diagnostics.score_design(net.nodes, net.edges, net.premises, areas, terminals, premises, usage, ends)
 
 
+@query()
+def head_end_replay(net):
+    """Head-ends chosen again for a searched design."""
+    from strandplan.operators import diagnostics
+
+    areas, terminals, premises, _, _ = _solved(net)
+    return diagnostics.head_end_replay(net.lengths, areas, terminals, premises)
+
+
+@query()
+def tree_stretch(net):
+    """Tree path over shortest path of the terminals in the five areas with the longest tails."""
+    from strandplan.operators import diagnostics
+
+    areas, terminals, _, _, _ = _solved(net)
+    return diagnostics.stretch(net.lengths, areas, terminals)
+
+
 @query()
 def design_budget(net):
     """Percentiles of each leg of the routes of a searched design."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandplan.operators.components import connected_components
+from strandplan.plans.session import written
 
 #: Fixed values of the format: section names with their row widths.
 VERSION = "1"
@@ -43,8 +44,9 @@ def _rows(found: DataFrame, heads: DataFrame, section: str, columns: list[str])
 
 def read_raw(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables as they stand, with ``ord`` (row number) and nulls for what is no integer."""
-    found = tokens(spark, path).cache()
-    heads = sections(found).cache()
+    # Written, not cached: a cache is found by path and would outlive a change of the file.
+    found = written(tokens(spark, path), "tokens")
+    heads = written(sections(found), "sections")
     return {
         "tokens": found, "sections": heads,
         "nodes": _rows(found, heads, "NODES", ["node_id", "x", "y"]),
