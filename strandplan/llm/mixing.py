@@ -1,4 +1,9 @@
-"""Mixing sources to target weights: token totals per source, capped shares, repetition rates, seeded copies."""
+"""Mixing sources to target weights: token totals per source, capped shares, repetition rates, seeded copies.
+
+Each document is emitted floor(rate) times, plus once more by a draw that its id's hash under the source's seed
+decides. A source takes, of ``SEEDS`` seeds, the one under which its draws come nearest to its target; that
+costs one aggregate over ids and sizes, and keeps sources with few or very uneven documents close.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
+SEEDS = 16
 
 
 def words(text: Column) -> Column:
@@ -51,33 +57,46 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
     return first.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
 
 
-def uniform(id_: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the seed and an id: 52 bits of MD5, so reruns and other engines agree."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(id_.cast("string"), F.lit("")))
+def uniform(id_: Column, number: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from a numbered seed and an id: 52 bits of MD5, so reruns and other engines agree."""
+    text = F.concat(F.lit(seed + ":"), number.cast("string"), F.lit(":"), F.coalesce(id_.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
+def copies(id_: Column, rate: Column, number: Column, seed: str = SEED) -> Column:
+    """floor(rate), plus one with the fraction's probability."""
+    whole = F.floor(rate)
+    return (whole + F.when(uniform(id_, number, seed) < rate - whole, 1).otherwise(0)).cast("long")
+
+
+def with_seeds(sized: DataFrame, table: DataFrame, seed: str = SEED, seeds: int = SEEDS) -> DataFrame:
+    """``table`` with ``number``: each source's seed, the one whose draws take nearest to the target (ties to the lower)."""
+    joined = sized.join(table, F.col("source").eqNullSafe(F.col("_source")))
+    sums = [F.sum(F.col("size") * copies(F.col("_id"), F.col("rate"), F.lit(k), seed)).alias(f"t{k}") for k in range(seeds)]
+    taken = joined.groupBy("_source", "source_size", "target", "rate").agg(*sums)
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)]))
+    return taken.select("_source", "source_size", "target", "rate", best["k"].alias("number"))
+
+
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, keep: tuple = (),
 ) -> DataFrame:
     """``(id, source, size, source_size, target, copies)`` and ``keep`` columns, a row for each row of ``docs``.
 
-    ``copies`` is floor(rate), plus one if the id's seeded uniform number is under the fraction. Rates are at
-    most ``most``, so no row passes ``most`` times its size. Null texts have size 0; null sources are one source;
-    repeated rows draw alike. The per-source table is written first, so its size is known: Catalyst broadcasts
-    it below its threshold and otherwise sort-merge joins, where a hot source is split by adaptive execution.
+    Rates are at most ``most``, so no row passes ``most`` times its size. Null texts have size 0; null sources are
+    one source; repeated rows draw alike. Ids and sizes are written once and read by the sums. The per-source
+    table is written too, so its size is known: Catalyst broadcasts it below its threshold and otherwise
+    sort-merge joins, where a hot source is split by adaptive execution.
     """
-    sized = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
-    )
-    table = written(source_targets(sized.select("source", "size"), weights, most), "mix-rates")
-    table = table.withColumnRenamed("source", "_source")
-    joined = sized.join(table, F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.floor("rate")
-    copies = whole + F.when(uniform(F.col("_id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    sized = written(rows.select("_id", "source", "size"), "mix-sizes")
+    table = written(source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "_source"), "mix-rates")
+    table = written(with_seeds(sized, table, seed), "mix-seeds")
+    joined = (rows if keep else sized).join(table, F.col("source").eqNullSafe(F.col("_source")))
     return joined.select(
-        F.col("_id").alias(id_col), "source", "size", "source_size", "target", copies.cast("long").alias("copies"), *[F.col(f"_keep_{c}").alias(c) for c in keep]
+        F.col("_id").alias(id_col), "source", "size", "source_size", "target", copies(F.col("_id"), F.col("rate"), F.col("number"), seed).alias("copies"),
+        *[F.col(f"_keep_{c}").alias(c) for c in keep],
     )
 
 
@@ -93,8 +112,10 @@ lv AS (SELECT a.i, (SELECT sum(source_size) FROM o) - {MOST} * coalesce((SELECT
 f AS (SELECT * FROM lv WHERE rest * w <= {MOST} * source_size * rest_w ORDER BY i LIMIT 1),
 t AS (SELECT o.source, o.source_size, CASE WHEN f.i IS NULL OR o.i < f.i THEN ({MOST} * o.source_size)::DOUBLE
         ELSE o.w * f.rest::DOUBLE / f.rest_w END AS target FROM o LEFT JOIN f ON true),
-q AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, {float(MOST)}) ELSE 0.0 END AS rate,
-        ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)}::DOUBLE AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM q
+q AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, {float(MOST)}) ELSE 0.0 END AS rate
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT q.*, k, floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('{SEED}:' || k || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)}::DOUBLE < rate - floor(rate)
+        THEN 1 ELSE 0 END AS copies FROM q, (SELECT unnest(range(0, {SEEDS})) AS k)),
+s AS (SELECT source, k FROM (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies)::BIGINT - any_value(target)), k) AS rn FROM c GROUP BY source, k) WHERE rn = 1)
+SELECT doc_id, size, source_size, target, size * copies AS taken FROM c JOIN s ON c.source IS NOT DISTINCT FROM s.source AND c.k = s.k
 """
