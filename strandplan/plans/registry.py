@@ -740,6 +740,41 @@ def tree_stretch(net):
     return diagnostics.stretch(net.lengths, areas, terminals)
 
 
+@query()
+def design_sweeps(net):
+    """What the search of the network did, in one row."""
+    from strandplan.plans import design
+
+    zero = F.lit(0).cast("long").alias("network")
+    return design.sweeps(design.design_networks(net.nodes.select("*", zero), net.edges.select("*", zero), net.premises.select("*", zero)))
+
+
+@query("SELECT count(*) FILTER (p > 0) AS priced, count(*) FILTER (p > 50000) AS over_50k, sum(p)::BIGINT AS cents FROM (SELECT used, node_id % 97 * 1000 AS p FROM terminals)")
+def priced_terminals(net):
+    """How many terminals stand on priced nodes, how many on dear ones, and what they would cost."""
+    p = F.col("node_id") % 97 * 1000
+    t = provision.live_terminals(net.terminals(net.drops()))
+    return t.agg(F.count(F.when(p > 0, 1)).alias("priced"), F.count(F.when(p > 50_000, 1)).alias("over_50k"), F.sum(p).alias("cents"))
+
+
+@query()
+def node_prices(net):
+    """Marginal trench cents of each node from the streets that feeders use, capped."""
+    usage = net.edge_usage().withColumn("open", F.col("feeder_fibers") > 0)
+    starts = usage.where("open").select(F.lit(0).alias("source"), F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    cents = X.edge_weight("trench", "len_m", X.cost_of("surface", ((0, 4_500), (1, 15_000))), F.col("open"))
+    return graph.shortest_paths(usage, starts, cents).select("node_id", F.least("dist", F.lit(2_000_000_000)).alias("price"))
+
+
+@query("SELECT e.edge_id, CASE WHEN n % 2 = 0 THEN len_m ELSE 0 END AS metres, len_m * (470 + CASE WHEN dist_fibers > 8 THEN 0 WHEN surface = 1 THEN 15000 ELSE 4500 END) AS feeder_cents, CASE WHEN dist_fibers > 8 THEN 0 ELSE len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END END AS trench_cents "
+       "FROM (SELECT *, 0 AS n FROM usage) e", DESIGN)
+def edge_weights(net):
+    """The three weights of each street, open where it carries more than eight fibers."""
+    usage = net.edge_usage()
+    cents, open_ = X.cost_of("surface", ((0, 4_500), (1, 15_000))), F.col("dist_fibers") > 8
+    return usage.select("edge_id", *[X.edge_weight(m, "len_m", cents, open_).alias(n) for m, n in (("metres", "metres"), ("feeder", "feeder_cents"), ("trench", "trench_cents"))])
+
+
 @query()
 def design_budget(net):
     """Percentiles of each leg of the routes of a searched design."""
