@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import small_batches, written
+from strandplan.plans.session import batches_of, small_batches, written
 
 
 @dataclass(frozen=True)
@@ -267,7 +267,7 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int = 20, rules
     packed = queries.withColumn("b", F.pmod(F.xxhash64(F.lit(rules.seed), "vec_id"), F.lit(blocks)).cast("int"))
     packed = written(packed.groupBy("dim", "b").applyInArrow(_blocker, "dim int, q_ids binary, q_vectors binary"), "hnsw-blocks")
     spread = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    small_batches(spark, 1)  # a row is a shard with a block
-    found = written(index.join(spread, ["dim", "shard"]).mapInArrow(_searcher(rules, k), "query_id long, vec_id long, score double"), "hnsw-found")
+    with batches_of(spark, 1):  # a row is a shard with a block
+        found = written(index.join(spread, ["dim", "shard"]).mapInArrow(_searcher(rules, k), "query_id long, vec_id long, score double"), "hnsw-found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
