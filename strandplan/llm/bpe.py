@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from strandplan.plans.session import small_batches
 
 DEFAULT = "byte_bpe_50k.json"
-#: Encoded pre-tokens, and judged pairs of tokens, that a task keeps; it then starts afresh, so memory doesn't grow.
-CACHE, PAIRS = 300_000, 400_000
+#: Encoded pre-tokens, and judged pairs of tokens, that a task keeps; beyond that it keeps
+#: the words of the texts at hand, so memory doesn't grow.
+CACHE, PAIRS = 450_000, 400_000
 NEVER = 1 << 62
 
 
@@ -152,8 +153,9 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         pieces = [self.specials.split(t) if self.specials and self.specials.search(t) else [t] for t in texts]
         cut = [[[p] if k % 2 else self.split(p) for k, p in enumerate(parts)] for parts in pieces]
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE:  # what these texts hold is likely to come again
+            here = {w for parts in cut for k, words in enumerate(parts) if k % 2 == 0 for w in words}
+            self.known = {w: self.known[w] for w in here if w in self.known}
         known = self.known
         new = {w for parts in cut for k, words in enumerate(parts) if k % 2 == 0 for w in words if w not in known}
         if new:
@@ -181,7 +183,7 @@ def _encoder(spec: str) -> Encoder:
 
 
 #: Texts whose words share one trie: as many as hold so many characters, or one longer text.
-GROUP = 1 << 20
+GROUP = 2 << 20
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
