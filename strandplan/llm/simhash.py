@@ -19,7 +19,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandplan.operators.components import connected_components
@@ -234,6 +234,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def hex_print(fp) -> F.col:
+def hex_print(fp: str) -> Column:
     """16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
