@@ -12,14 +12,19 @@ from strandplan.operators import components as cc
 from strandplan.operators import graph, provision, spatial
 from strandplan.plans.network import DESIGN_SQL, Network, kept_drops
 from strandplan.rules import CABINETS, RULES, TERMINALS
-from strandplan.sources.synthetic import NETWORK_SQL
+from strandplan.sources.synthetic import NETWORK_SQL, comb_edges
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, tables: str = NETWORK_SQL, name: str | None = None):
-    """Register a query function taking a Network; ``sql`` is its SELECT over the shared tables."""
+def query(sql: str | None = None, tables: str = NETWORK_SQL, name: str | None = None, whole: str = ""):
+    """Register a query function taking a Network; ``sql`` is its SELECT over the shared tables.
+
+    ``whole`` names columns that are constants in the SQL, to be BIGINT like Spark's.
+    """
+    if whole:
+        sql = f"SELECT * REPLACE ({', '.join(f'{c}::BIGINT AS {c}' for c in whole.split())}) FROM ({sql})"
 
     def add(f):
         key = name or f.__name__
@@ -90,7 +95,7 @@ def components(net):
     return cc.connected_components(e, "src", "dst")
 
 
-@query("SELECT 1740 AS edges, 900 AS nodes, 1 AS components, 841 AS rings", "")
+@query("SELECT 1740 AS edges, 900 AS nodes, 1 AS components, 841 AS rings", "", whole="edges nodes components rings")
 def grid_rings(net):
     return graph.cycle_count(net.edges)
 
@@ -120,8 +125,7 @@ sub AS (SELECT a.node_id, coalesce(sum(l.value), 0)::BIGINT AS total FROM comb a
 
 
 def _comb(net):
-    e = net.lengths.where((F.col("edge_id") < 29) | (F.col("edge_id") >= 870))
-    return graph.rooted_tree(e, 0)
+    return graph.rooted_tree(graph.edge_lengths(comb_edges(net.spark), net.nodes), 0)
 
 
 @query("SELECT node_id, parent, depth::BIGINT AS depth, path_m::BIGINT AS path_m FROM comb", COMB)
@@ -143,17 +147,15 @@ def fibers_per_edge(net):
     return tree.join(sums, "node_id").where("parent is not null and total > 0").select(F.col("parent_edge").alias("edge_id"), F.col("total").alias("fibers"))
 
 
-@query("SELECT 899 AS edges, 900 AS nodes, 1 AS components, 0 AS rings, 0 AS missing, true AS ok", "")
+@query("SELECT 899 AS edges, 900 AS nodes, 1 AS components, 0 AS rings, 0 AS missing, true AS ok", "", whole="edges nodes components rings missing")
 def tree_invariant(net):
-    e = net.edges.where((F.col("edge_id") < 29) | (F.col("edge_id") >= 870))
-    return graph.tree_check(e, kept_drops(net).select("node_id"))
+    return graph.tree_check(comb_edges(net.spark), kept_drops(net).select("node_id"))
 
 
 @query("SELECT node_id FROM (SELECT node_id, count(*) AS d FROM (SELECT src AS node_id, edge_id FROM edges UNION ALL SELECT dst, edge_id FROM edges) WHERE edge_id < 29 OR edge_id >= 870 GROUP BY 1) WHERE d <> 2 "
        "UNION SELECT node_id FROM terminals WHERE used = 12", name="key_nodes")
 def key_nodes(net):
-    e = net.edges.where((F.col("edge_id") < 29) | (F.col("edge_id") >= 870))
-    return graph.key_nodes(e, net.terminals(net.drops()).where("used = 12"))
+    return graph.key_nodes(comb_edges(net.spark), net.terminals(net.drops()).where("used = 12"))
 
 
 # --- spatial joins --------------------------------------------------------------------------------------------
@@ -539,7 +541,7 @@ def _one_text(net, path):
     return interchange.tokens(net.spark, whole)
 
 
-@query("SELECT 'sections' AS rule, 0 AS n WHERE false", "")
+@query("SELECT 'sections' AS rule, 0 AS n WHERE false", "", whole="n")
 def interchange_violations(net):
     """No rule is broken by the network's own text."""
     from strandplan.plans.session import shared_path
@@ -616,7 +618,7 @@ def geojson_layers(net):
     return reduce(DataFrame.unionByName, [df.agg(good).select(F.lit(k).alias("layer"), "n") for k, df in _layers(net).items()])
 
 
-@query("SELECT prem_id, units, area_id, node_id * 1000 + batch AS term_id, drop_m, 'served' AS status FROM drops")
+@query("SELECT prem_id, units, area_id, node_id * 1000 + batch AS term_id, drop_m, 'served' AS status FROM drops", whole="units")
 def geojson_properties(net):
     """Properties of the premises layer, read back from its JSON."""
     schema = "properties struct<premises:bigint,units:bigint,serving_area:bigint,terminal:bigint,drop_m:bigint,status:string>"
@@ -653,7 +655,7 @@ def iteration_ledger(net):
 # --- searches -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 9190 AS premises, 9919 AS units, 23 AS k, 7485700 AS seeds, 5999300 AS sites, 5769900 AS exact, 138 AS cycles, 559 AS moved, 2 AS stop", "")
+@query("SELECT 9190 AS premises, 9919 AS units, 23 AS k, 7485700 AS seeds, 5999300 AS sites, 5769900 AS exact, 138 AS cycles, 559 AS moved, 2 AS stop", "", whole="premises units k seeds sites exact cycles moved stop")
 def town_assignment(net):
     """Serving areas of the seeded town: unit metres of the seed, site and repaired assignments, against published values."""
     from strandplan.kernels import assign
@@ -784,7 +786,7 @@ def design_budget(net):
     return diagnostics.budget_report(areas, terminals, premises)
 
 
-@query("SELECT * FROM (VALUES (1, 13, 12, 24, 24), (2, 22, 22, 40, 40), (3, 145, 160, 155, 155), (4, 18, 17, 40, 40), (5, 34, 33, 56, 56), (6, 9, 8, 8, 93)) t(network, nodes, edges, premises, units)", "")
+@query("SELECT * FROM (VALUES (1, 13, 12, 24, 24), (2, 22, 22, 40, 40), (3, 145, 160, 155, 155), (4, 18, 17, 40, 40), (5, 34, 33, 56, 56), (6, 9, 8, 8, 93)) t(network, nodes, edges, premises, units)", "", whole="network nodes edges premises units")
 def scenario_counts(net):
     """Sizes of the six closed-form towns."""
     from strandplan.sources import scenarios
@@ -794,7 +796,7 @@ def scenario_counts(net):
     return count(n, "nodes").join(count(e, "edges"), "network").join(p.groupBy("network").agg(F.count("*").alias("premises"), F.sum("units").alias("units")), "network")
 
 
-@query("SELECT network, true AS all_served, true AS drops_in_reach, take, splitters FROM (VALUES (1, 16, 1), (2, 26, 3), (3, 101, 5), (4, 26, 3), (5, 37, 3), (6, 61, 5)) t(network, take, splitters)", "")
+@query("SELECT network, true AS all_served, true AS drops_in_reach, take, splitters FROM (VALUES (1, 16, 1), (2, 26, 3), (3, 101, 5), (4, 26, 3), (5, 37, 3), (6, 61, 5)) t(network, take, splitters)", "", whole="network take splitters")
 def scenario_designs(net):
     """All six towns designed side by side: what every design of them has in common."""
     from strandplan.plans import design
@@ -806,7 +808,7 @@ def scenario_designs(net):
     return served.join(areas, "network")
 
 
-@query("SELECT n.node_id, 0 AS source, min(d) AS dist FROM nodes n JOIN (SELECT node_id, abs(node_id % 30 - 14) * 100 + abs(node_id // 30 - 14) * 100 AS d FROM nodes) USING (node_id) WHERE d <= 800 GROUP BY 1")
+@query("SELECT n.node_id, 0 AS source, min(d) AS dist FROM nodes n JOIN (SELECT node_id, abs(node_id % 30 - 14) * 100 + abs(node_id // 30 - 14) * 100 AS d FROM nodes) USING (node_id) WHERE d <= 800 GROUP BY 1", whole="source")
 def bounded_distances(net):
     """Shortest paths cut off at 800 m."""
     start = net.spark.createDataFrame([(0, 434)], "source int, node_id long")

@@ -29,6 +29,14 @@ def grid_edges(spark: SparkSession, w: int = 30, h: int = 30, arterials: tuple =
     return horizontal.unionByName(vertical)
 
 
+def comb_edges(spark: SparkSession, w: int = 30, h: int = 30) -> DataFrame:
+    """A tree on the grid's nodes: the first row and all columns, with the grid's edge ids."""
+    across = (w - 1) * h
+    row = spark.range(w - 1).select(F.col("id").alias("edge_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(0).alias("surface"))
+    down = spark.range(w * (h - 1)).select((F.col("id") + across).alias("edge_id"), F.col("id").alias("src"), (F.col("id") + w).alias("dst"), F.lit(0).alias("surface"))
+    return row.unionByName(down)
+
+
 def customer_premises(customer: DataFrame, w: int = 30, h: int = 30, spacing: int = SPACING) -> DataFrame:
     """``(prem_id, x, y, units)``: a premises for each customer, on a street chosen by modular arithmetic."""
     across = (w - 1) * h
