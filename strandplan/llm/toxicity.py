@@ -82,8 +82,12 @@ def features(words: np.ndarray, rules: FtrlRules) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(1, np.uint64), *found])).astype(np.int32)
 
 
-def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) other than zero, after some passes over (text, label).
+#: Before any label is seen, one text in twenty counts as toxic; twenty texts' worth of that is kept.
+PRIOR, PRIOR_TEXTS = 0.05, 20
+
+
+def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.ndarray, np.ndarray, float]:
+    """(buckets, weights other than zero, log-odds of the labels at large), after some passes over (text, label).
 
     Rows are read once; their buckets are kept end to end in one array, a few kilobytes a row.
     """
@@ -100,6 +104,8 @@ def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.nd
     keep = np.bincount(flat[:used], minlength=1 << rules.bits)[flat[:used]] >= rules.least_texts
     ends = np.cumsum(np.concatenate(([0], keep)))[np.cumsum(np.array([0, *sizes], np.int64))]
     flat = flat[:used][keep]
+    share = (sum(labels) + PRIOR * PRIOR_TEXTS) / (len(labels) + PRIOR_TEXTS)
+    bias = math.log(share / (1 - share))
     z, n = np.zeros(1 << rules.bits), np.zeros(1 << rules.bits)
 
     def weights(i):
@@ -112,19 +118,19 @@ def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.nd
         for k in np.random.default_rng(SEED + epoch).permutation(len(labels)).tolist():
             i = flat[ends[k] : ends[k + 1]]
             w = weights(i)
-            g = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, w.sum())))) - labels[k]
+            g = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, bias + w.sum())))) - labels[k]
             ni = n[i]
             z[i] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / rules.alpha * w
             n[i] = ni + g * g
     every = np.flatnonzero(np.abs(z) > rules.l1)
-    return every, weights(every)
+    return every, weights(every), bias
 
 
 def _fitter(rules: FtrlRules):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((text.as_py(), label.as_py()) for b in batches for text, label in zip(b.column(0), b.column(1), strict=True))
-        buckets, weights = fit(rows, rules)
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(weights, pa.float64())], names=["bucket", "weight"])
+        buckets, weights, bias = fit(rows, rules)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *buckets], pa.int32()), pa.array([bias, *weights], pa.float64())], names=["bucket", "weight"])
 
     return run
 
@@ -132,12 +138,12 @@ def _fitter(rules: FtrlRules):
 def train(
     docs: DataFrame, labels: DataFrame, rules: FtrlRules | None = None, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", rows: int = TRAIN_ROWS,
-) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, weights) fitted on at most ``rows`` labelled documents.
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """(buckets, weights, bias) fitted on at most ``rows`` labelled documents.
 
     Taken are the ids with the smallest hashes; of several labels of one id the largest counts, null labels and
     labels without a document are left out, and of several texts of one id the first in code-point order is
-    read. Without labelled rows there are no weights, and every score is one half.
+    read. Without labelled rows there are no weights, and every score is the prior's share.
     """
     rules = rules or FtrlRules()
     small_batches(docs.sparkSession, 1000)
@@ -152,25 +158,27 @@ def train(
     sample = texts.groupBy("id").agg(F.min("text").alias("text"), F.max("label").cast("int").alias("label"))
     one = sample.repartition(1).sortWithinPartitions("id").select("text", "label")
     model = one.mapInArrow(_fitter(rules), "bucket int, weight double").collect()
-    return np.array([r[0] for r in model], np.int64), np.array([r[1] for r in model], np.float64)
+    bias = next((r["weight"] for r in model if r["bucket"] < 0), math.log(PRIOR / (1 - PRIOR)))
+    model = [r for r in model if r["bucket"] >= 0]
+    return np.array([r[0] for r in model], np.int64), np.array([r[1] for r in model], np.float64), bias
 
 
 def _scorer(shared, rules: FtrlRules):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, weights = shared.value
+        buckets, weights, bias = shared.value
         table = np.zeros(1 << rules.bits)
         table[buckets] = weights
         hasher = Hasher(rules.stem)
         for batch in batches:
-            sums = [table[features(hasher(t.as_py()), rules)].sum() for t in batch.column(batch.num_columns - 1)]
+            sums = [bias + table[features(hasher(t.as_py()), rules)].sum() for t in batch.column(batch.num_columns - 1)]
             scores = 1.0 / (1.0 + np.exp(-np.clip(np.array(sums, np.float64), -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], rules: FtrlRules | None = None, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of every whole text; null and empty texts get the intercept's score."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], rules: FtrlRules | None = None, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ``score`` (0 to 1) of every whole text; null and empty texts get the score of the bias and the intercept."""
     rules = rules or FtrlRules()
     spark = docs.sparkSession
     small_batches(spark, 1000)

@@ -332,3 +332,25 @@ def test_secrets_entropy_and_allow_list(spark):
     assert [(s["kind"], s["hit"]) for s in got[1]] == [("entropy", key)] and got[1][0]["s"] == 2
     assert [s["kind"] for i in (2, 3, 4, 5) for s in got[i]] == ["hex"]  # the forty nines, by the fixed pattern
     assert [s["s"] for s in got[6]] == [i * (len(key) + 1) for i in range(600)]
+
+
+def test_null_ids_and_all_null_columns(spark, tmp_path):
+    """Rows without an id, and columns that are null throughout, crash nothing and keep their rows."""
+    d = str(tmp_path)
+    text = "a line that others hold\nmine alone it is"
+    rows = [(None, text, None, None, None), (None, None, None, None, None), (5, text, None, None, None), (6, text.upper(), None, None, None), (None, text, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(None, None, None), (5, None, 1), (6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(None, None, None), (None, "u", "x" * 200), (3, None, "x" * 200)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(None, None, None)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    for name, f in Q.queries().items():
+        assert f(spark, d).count() == {"op3_warc": 3, "op9_hnsw": 0}.get(name, 5), name
+    near = {(r["doc_id"], r["component_id"]) for r in Q.op5_simhash(spark, d).collect()}
+    assert near == {(None, 5), (5, 5), (6, 5), (None, None)}
+    dropped = {(r["doc_id"], r["n_dropped"]) for r in Q.op7_line_dedup(spark, d).collect()}
+    assert dropped == {(5, 0), (6, 2), (None, 2), (None, 0)}
+    kinds = {(r["page_id"], r["record_type"], r["refers_to"]) for r in Q.op3_warc(spark, d).collect()}
+    assert kinds == {(None, "response", None), (None, "revisit", 3), (3, "response", None)}
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, d).count() >= 1
