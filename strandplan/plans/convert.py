@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strandplan.functions.exprs import project, ring_centroid
 from strandplan.kernels import rings
 from strandplan.operators import graph, spatial
+from strandplan.operators.numbering import dense_ids
 from strandplan.plans.session import written
 from strandplan.rules import RULES
 from strandplan.sources.geojson import Projection, outer_rings
@@ -72,7 +73,7 @@ def grow_area(cells: dict[tuple[int, int], int], most: int) -> list[tuple[int, i
 def parcels(features: DataFrame) -> DataFrame:
     """``(parcel, ring, lon, lat)``: the outer rings of polygon features with the centroid of the first."""
     f = features.where(F.col("type").isin("Polygon", "MultiPolygon")).withColumn("rings", outer_rings(F.col("type"), F.col("coordinates"))).where(F.size("rings") > 0)
-    numbered = f.withColumn("parcel", (F.row_number().over(Window.orderBy(id_order(F.col("id")), "coordinates")) - 1).cast("long"))
+    numbered = dense_ids(f, id_order(F.col("id")), "coordinates", name="parcel")
     lon, lat = ring_centroid(F.get("rings", F.lit(0)))
     return numbered.withColumns({"lon": lon, "lat": lat}).select("parcel", "rings", "lon", "lat")
 
@@ -88,12 +89,11 @@ def ring_edges(rows: DataFrame, ring: str, surface: int = 0) -> DataFrame:
 def as_network(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of segments: nodes in (y, x) order, the lower surface of a repeated edge, edges in pair order."""
     points = sides.select(F.col("x1").alias("x"), F.col("y1").alias("y")).union(sides.select("x2", "y2")).distinct()
-    nodes = written(points.withColumn("node_id", (F.row_number().over(Window.orderBy("y", "x")) - 1).cast("long")).select("node_id", "x", "y"), "nodes")
+    nodes = written(dense_ids(points, "y", "x", name="node_id").select("node_id", "x", "y"), "nodes")
     a = nodes.select(F.col("node_id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     b = nodes.select(F.col("node_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     pairs = graph.distinct_edges(sides.join(a, ["x1", "y1"]).join(b, ["x2", "y2"]).select("src", "dst", "surface"))
-    edges = pairs.withColumn("edge_id", (F.row_number().over(Window.orderBy("src", "dst")) - 1).cast("long"))
-    return nodes, written(edges.select("edge_id", "src", "dst", "surface"), "edges")
+    return nodes, written(dense_ids(pairs, "src", "dst", name="edge_id").select("edge_id", "src", "dst", "surface"), "edges")
 
 
 def joined_up(nodes: DataFrame, edges: DataFrame, surface: int = 1, radius: int = BRIDGE_M, rounds: int = 40) -> DataFrame:
@@ -109,7 +109,7 @@ def joined_up(nodes: DataFrame, edges: DataFrame, surface: int = 1, radius: int
         if bridges.isEmpty():
             return edges
         every = edges.select("src", "dst", "surface").union(bridges.select("src", "dst", F.lit(surface)))
-        edges = written(graph.distinct_edges(every).withColumn("edge_id", (F.row_number().over(Window.orderBy("src", "dst")) - 1).cast("long")).select("edge_id", "src", "dst", "surface"), "edges")
+        edges = written(dense_ids(graph.distinct_edges(every), "src", "dst", name="edge_id").select("edge_id", "src", "dst", "surface"), "edges")
     return edges
 
 
@@ -117,14 +117,14 @@ def with_links(nodes: DataFrame, edges: DataFrame, groups: DataFrame, radius: in
     """``edges`` with the ``most`` shortest links between nodes of different groups within ``radius``."""
     links = spatial.pairs_between(groups.join(nodes, "node_id"), "node_id", "grp", radius, most)
     every = edges.select("src", "dst", "surface").union(links.select("a", "b", F.lit(surface)))
-    return graph.distinct_edges(every).withColumn("edge_id", (F.row_number().over(Window.orderBy("src", "dst")) - 1).cast("long")).select("edge_id", "src", "dst", "surface")
+    return dense_ids(graph.distinct_edges(every), "src", "dst", name="edge_id").select("edge_id", "src", "dst", "surface")
 
 
 def reachable_premises(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(prem_id, x, y, units)`` of points with a node in a drop's reach, numbered anew."""
     near = spatial.within(points, nodes, RULES.max_drop_m).select("key").distinct()
     kept = points.join(near, "key", "left_semi")
-    return kept.select((F.row_number().over(Window.orderBy("key")) - 1).cast("long").alias("prem_id"), "x", "y", F.lit(1).alias("units"))
+    return dense_ids(kept, "key", name="prem_id").select("prem_id", "x", "y", F.lit(1).alias("units"))
 
 
 def parcels_to_network(features: DataFrame, projection: Projection, most_nodes: int = 98_304, most_parcels: int = 131_072) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -167,7 +167,7 @@ def canals_to_network(canals: DataFrame, addresses: DataFrame, projection: Proje
     flat = canals.select(F.explode(outer_rings(F.col("type"), F.col("coordinates"))).alias("ring")).select(
         F.transform("ring", lambda q: F.struct(*(c.alias(n) for c, n in zip(project(q["x"], q["y"], *p), ("x", "y"), strict=True)))).alias("ring")
     )
-    numbered = flat.withColumn("ring_id", (F.row_number().over(Window.orderBy("ring")) - 1).cast("long"))
+    numbered = dense_ids(flat, "ring", name="ring_id")
     banks = written(numbered.withColumn("ring", resampled(F.col("ring"), step)), "banks")
     spots = banks.select("ring_id", F.size("ring").alias("n"), F.posexplode("ring").alias("k", "q")).select(
         "ring_id", F.col("q.x").alias("x"), F.col("q.y").alias("y"), (F.col("k") * step).cast("long").alias("pos"), (F.col("n") * step).cast("long").alias("total")
@@ -183,7 +183,7 @@ def canals_to_network(canals: DataFrame, addresses: DataFrame, projection: Proje
     edges = joined_up(nodes, with_links(nodes, edges, written(groups, "groups"), LAND_M, MOST_LAND, 0))
     a = addresses.where(F.col("type") == "Point").select("id", F.from_json("coordinates", "array<double>").alias("c"))
     x, y = project(F.get("c", F.lit(0)), F.get("c", F.lit(1)), *p)
-    points = a.select((F.row_number().over(Window.orderBy(id_order(F.col("id")), "c")) - 1).cast("long").alias("key"), x.alias("x"), y.alias("y"))
+    points = dense_ids(a, id_order(F.col("id")), "c", name="key").select("key", x.alias("x"), y.alias("y"))
     return nodes, edges, reachable_premises(points, nodes)
 
 

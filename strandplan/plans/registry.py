@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandplan.functions import exprs as X
 from strandplan.operators import components as cc
 from strandplan.operators import graph, provision, spatial
+from strandplan.operators.numbering import dense_ids
 from strandplan.plans.network import DESIGN_SQL, Network, kept_drops
 from strandplan.rules import CABINETS, RULES, TERMINALS
 from strandplan.sources.synthetic import NETWORK_SQL, comb_edges
@@ -344,19 +345,19 @@ def stride_candidates(net):
 def first_seen_numbering(net):
     """Dense ids of distinct points in the order first seen."""
     p = net.premises.groupBy(X.cell("x", 50).alias("x"), X.cell("y", 50).alias("y")).agg(F.min("prem_id").alias("first"))
-    return p.select("x", "y", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("node_id"))
+    return dense_ids(p, "first", name="node_id").select("x", "y", "node_id")
 
 
 @query("SELECT edge_id, cost, row_number() OVER (ORDER BY cost DESC, edge_id) AS rank FROM (SELECT edge_id, len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END AS cost FROM usage WHERE trench)", DESIGN)
 def edge_cost_order(net):
     e = net.edge_usage().where("trench").select("edge_id", (F.col("len_m") * X.cost_of("surface", ((0, 4_500), (1, 15_000)))).alias("cost"))
-    return e.withColumn("rank", F.row_number().over(Window.orderBy(F.col("cost").desc(), "edge_id")).cast("long"))
+    return dense_ids(e, F.col("cost").desc(), "edge_id", name="rank", start=1)
 
 
 @query("SELECT cx, cy, n, row_number() OVER (ORDER BY n DESC, cx, cy) AS rank FROM (SELECT floor(x / 200)::BIGINT AS cx, floor(y / 200)::BIGINT AS cy, count(*) AS n FROM premises GROUP BY 1, 2)")
 def cell_density(net):
     n = net.premises.groupBy(X.cell("x", 200).alias("cx"), X.cell("y", 200).alias("cy")).agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "cx", "cy")).cast("long"))
+    return dense_ids(n, F.col("n").desc(), "cx", "cy", name="rank", start=1)
 
 
 @query("SELECT count(*) AS n, min(p) AS low, max(p) AS high, count(*) FILTER (p > 100000) AS over, (SELECT p FROM (SELECT p, row_number() OVER (ORDER BY p) AS rn, count(*) OVER () AS n FROM pr) WHERE rn = (n + 1) // 2) AS median FROM pr",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandplan.operators.components import connected_components
+from strandplan.operators.numbering import dense_ids
 from strandplan.plans.session import written
 
 #: Fixed values of the format: section names with their row widths.
@@ -104,10 +105,10 @@ def read_interchange(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 def renumbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes numbered in (y, x) order and edges by their new ends, in the order of their sorted pairs."""
-    ids = nodes.withColumn("new", (F.row_number().over(Window.orderBy("y", "x", "node_id")) - 1).cast("long"))
+    ids = dense_ids(nodes, "y", "x", "node_id", name="new")
     a, b = ids.select(F.col("node_id").alias("src"), F.col("new").alias("a")), ids.select(F.col("node_id").alias("dst"), F.col("new").alias("b"))
     ends = edges.join(a, "src").join(b, "dst").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "surface")
-    numbered = ends.withColumn("edge_id", (F.row_number().over(Window.orderBy("src", "dst")) - 1).cast("long"))
+    numbered = dense_ids(ends, "src", "dst", name="edge_id")
     return ids.select(F.col("new").alias("node_id"), "x", "y"), numbered.select("edge_id", "src", "dst", "surface")
 
 
