@@ -101,8 +101,13 @@ def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.nd
         sizes.append(len(i))
         labels.append(int(label))
     # A bucket of one or two texts can only be learned by heart, so it is left out.
-    keep = np.bincount(flat[:used], minlength=1 << rules.bits)[flat[:used]] >= rules.least_texts
-    ends = np.cumsum(np.concatenate(([0], keep)))[np.cumsum(np.array([0, *sizes], np.int64))]
+    # Counted in slices, as numpy widens what it counts.
+    seen = np.zeros(1 << rules.bits, np.int64)
+    for at in range(0, used, 1 << 20):
+        seen += np.bincount(flat[at : min(used, at + (1 << 20))], minlength=1 << rules.bits)
+    keep = (seen >= rules.least_texts)[flat[:used]]
+    starts = np.cumsum(np.array([0, *sizes], np.int64))
+    ends = np.cumsum([0, *(int(np.count_nonzero(keep[a:b])) for a, b in zip(starts, starts[1:], strict=False))])
     flat = flat[:used][keep]
     share = (sum(labels) + PRIOR * PRIOR_TEXTS) / (len(labels) + PRIOR_TEXTS)
     bias = math.log(share / (1 - share))
