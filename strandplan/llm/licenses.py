@@ -2,8 +2,8 @@
 
 Licence notices are templates of words. The index lists, for each word, the templates and positions it stands
 at. In a file, each template is looked up by those of its words in the file that are rarest over all documents
-(highest IDF); the offsets at which these words would align the template are intersected, and an alignment
-counts if all mandatory key phrases of the template stand where it says, within a slack of a few words.
+(highest IDF); an offset at which any of these words would align the template is tried if enough of them agree on
+it within a slack, and an alignment counts if all mandatory key phrases of the template stand where it says, within a slack of a few words.
 """
 
 from __future__ import annotations
@@ -128,16 +128,19 @@ def scan(words: list[bytes], index: Index, idf: dict[bytes, float], rules: Licen
         for w in offsets:
             offsets[w].sort()
         need = min(rules.agree, len(offsets))
-        first = min(offsets, key=lambda w: len(offsets[w]))
-        done = -math.inf
-        for d in offsets[first]:
-            if d <= done + rules.slack or sum(_near(offsets[w], d, rules.slack) for w in offsets) < need:
+        begun, best = -math.inf, None  # first offset of the places that are one notice, and the best of them
+        for d in sorted({d for ds in offsets.values() for d in ds}):
+            if sum(_near(offsets[w], d, rules.slack) for w in offsets) < need:
                 continue
             if all(any(words[s : s + len(phrase)] == phrase for s in range(max(0, d + o - rules.slack), d + o + rules.slack + 1)) for o, phrase in index.keys[t]):
                 notice = index.texts[t]
                 share = sum(0 <= d + q < len(words) and words[d + q] == w for q, w in enumerate(notice)) / len(notice)
-                found.append((index.labels[t], max(0, d), share))
-                done = d
+                if d > begun + rules.slack:
+                    found += [best] if best else []
+                    begun, best = d, None
+                if best is None or share > best[2]:
+                    best = (index.labels[t], max(0, d), share)
+        found += [best] if best else []
     return base, sorted(found)
 
 

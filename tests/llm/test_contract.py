@@ -103,6 +103,16 @@ def test_license_templates_find_themselves_and_not_each_other():
     assert licenses.scan(licenses.words_of("the license version of this software is hereby mit"), index, idf, licenses.LicenseRules()) == ([], [])
 
 
+def test_license_is_found_where_its_rarest_word_stands_elsewhere():
+    index = licenses.Index()
+    notice = "neither the name of google inc nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    words = licenses.words_of(f"{notice} {'x ' * 50} in no event shall the copyright holder be liable")
+    for rarest in ("holder", "copyright", "contributors", "endorse"):
+        idf = {w: 1.0 for w in index.vocabulary} | {b"promote": 2.0, b"endorse": 2.5, rarest.encode(): 3.0}
+        found = licenses.scan(words, index, idf, licenses.LicenseRules())[1]
+        assert [x[0] for x in found] == ["bsd-3"], rarest
+
+
 def test_bpe_equals_the_library(spark, odd_dir, duck):
     import public_tokenizers
     from tokenizers import Tokenizer
