@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandplan.functions.exprs import covering, div
 from strandplan.operators import graph, spatial
-from strandplan.plans.session import small_batches, written
+from strandplan.plans.session import bounded_batches, written
 from strandplan.rules import TERMINALS
 from strandplan.sources import synthetic
 
@@ -21,7 +21,7 @@ class Network:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        small_batches(spark, 10_000)
+        bounded_batches(spark)
         self.nodes = synthetic.grid_nodes(spark)
         self.edges = synthetic.grid_edges(spark)
 

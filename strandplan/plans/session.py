@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,32 +14,57 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests on one machine) a temporary
-    folder is made and registered.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and all of Spark is one process (tests)
+    a temporary folder is made and registered; elsewhere executors would each write to a disk of their own, so
+    that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandplan-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/strandplan/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; an open ``scratch`` block removes it at its end."""
+    path = f"{shared_root(spark)}/strandplan/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
-def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet below the shared folder; the table read back, and its path.
+#: The paths handed out in each open ``scratch`` block, innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, all tables written inside the block.
+
+    A frame made inside reads those tables, so what is wanted of it is written or collected before the end; a
+    path taken outside the block stays.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def written_at(df: DataFrame, label: str, path: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet below the shared folder (or at ``path``); the table read back, and its path.
 
     The lineage ends there, so a lost executor costs a re-read, and Catalyst knows the exact size, so it
     broadcasts the table only below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = shared_path(spark, label)
+    path = path or shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -55,20 +81,31 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_MB = 8
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows that one Arrow batch to Python holds, as texts may be long."""
-    spark.conf.set(BATCH_ROWS, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes that one Arrow batch to Python holds, as texts may be long.
+
+    The session's setting is only ever lowered, and to one value, so no frame changes how another runs.
+    """
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES))
+    if not 0 < now <= BATCH_MB << 20:
+        spark.conf.set(BATCH_BYTES, f"{BATCH_MB}m")
 
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """``small_batches`` for work that is done inside the block."""
-    before = spark.conf.get(BATCH_ROWS, "10000")
-    small_batches(spark, rows)
+    """At most ``rows`` rows an Arrow batch for the actions inside the block; what was set before comes back."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
     try:
         yield
     finally:
-        small_batches(spark, int(before))
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 0) -> None:
+    """``bounded_batches``."""
+    bounded_batches(spark)
