@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import small_batches, written
+from strandplan.plans.session import bounded_batches, written
 
 STRIP = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -110,12 +110,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one document larger than all others. Repeated rows (same id, same text) share one bitmap; rows of one id
     with different texts have one each, told apart by ``body`` = xxhash64(text). Extra columns are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 10_000)
-    keys = line_keys(docs, id_col, text_col, least)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounded_batches(docs.sparkSession)
+    # Written, so that finding the ranges and dealing the rows read five numbers a line instead of splitting texts twice.
+    keys = written(line_keys(docs, id_col, text_col, least), "line-keys")
     order = ["h1", "h2", F.col("doc").asc_nulls_last()]
-    dealt = keys.repartitionByRange(n, *order).sortWithinPartitions(*order, "body", "pos")
+    dealt = keys.repartitionByRange(*order).sortWithinPartitions(*order, "body", "pos")
     found = written(
         dealt.select("doc", "body", "pos", "h1", "h2").mapInArrow(_stream, "kind int, doc long, body long, pos int, h1 long, h2 long"),
         "line-drops",
@@ -132,27 +131,35 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+#: What ``apply_bitmaps`` adds.
+ADDED = ("_n_lines", "_n_dropped", "_kept")
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row of ``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept``, the text without its dropped lines."""
-    marks = bitmaps.select(
-        F.col(id_col).alias("_doc"), F.col("body").alias("_body"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep")
+    """Each row of ``docs`` with ``_n_lines``, ``_n_dropped`` and ``_kept``, the text without its dropped lines.
+
+    A null text is one empty line, and every row stays, repeated ones too. Other columns pass through whatever
+    their names; only columns named like the three added ones give way to them.
+    """
+    # Bitmaps are unpacked before the join, so no text is queued for Python.
+    unpack = F.pandas_udf(lambda s: s.map(kept_flags), "array<boolean>")
+    marks = bitmaps.select(F.col(id_col).alias("m_doc"), F.col("body").alias("m_body"), F.col("n_dropped").alias("m_dropped"), unpack("keep").alias("m_flags"))
+    # The caller's columns travel inside one struct, where their names can't meet others.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("row"))
+    body = F.coalesce(F.col("row")[text_col], F.lit(""))
+    joined = rows.select("row", F.col("row")[id_col].cast("long").alias("doc"), F.xxhash64(body).alias("body")).join(
+        marks, F.col("doc").eqNullSafe(F.col("m_doc")) & (F.col("body") == F.col("m_body")), "left"
     )
-    joined = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(
-        marks, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_body")), "left"
+    lines = F.split(body, "\n", -1)
+    return joined.select(
+        "row.*",
+        F.size(lines).cast("long").alias("_n_lines"),
+        F.coalesce("m_dropped", F.lit(0)).cast("long").alias("_n_dropped"),
+        # A dropped line becomes null, which array_join leaves out; lines past the flags have none and stay.
+        F.when(F.col("m_flags").isNull(), body).otherwise(
+            F.array_join(F.zip_with(lines, "m_flags", lambda line, keep: F.when(keep.isNull() | keep, line)), "\n")
+        ).alias("_kept"),
     )
-    unpack = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else kept_flags(b)), "array<boolean>")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    return joined.withColumn("_flags", unpack("_keep")).withColumns(
-        {
-            "_n_lines": F.size(lines).cast("long"),
-            "_n_dropped": F.coalesce("_n_dropped", F.lit(0)).cast("long"),
-            # A dropped line becomes null, which array_join leaves out; lines past the flags have none and stay.
-            "_kept": F.when(F.col("_flags").isNull(), text).otherwise(
-                F.array_join(F.zip_with(lines, "_flags", lambda line, keep: F.when(keep.isNull() | keep, line)), "\n")
-            ),
-        }
-    ).drop("_key", "_doc", "_body", "_keep", "_flags")
 
 
 def op7_sql() -> str:
