@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph for each shard.
 
-Rows are dealt into shards of about ``shard_rows`` by a hash of their id. Each shard's graph is built in one
+Rows are dealt into shards of about ``shard_rows`` by a hash of id and vector. Each shard's graph is built in one
 task over its distinct vectors, with layers drawn from a seed, and stored as flat neighbour arrays. Queries
 travel in blocks; every block meets every shard, walks the graph, and the shards' best are merged. Vectors that
-are equal share a node, so a vector that many rows hold costs one node, and ties come back whole.
+are equal share a node, so a vector that many rows hold costs one node, and ties come back whole. Rows that are
+equal in id and vector are counted before they are dealt.
 
 Largest inner products become nearest neighbours on the sphere by one more coordinate, which fills a vector's
-length up to the longest of its shard.
+length up to the longest of its shard; in double precision, so one vector that is thousands of times longer than
+the others doesn't level them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import batches_of, small_batches, written
+from strandplan.plans.session import batches_of, bounded_batches, written
 
 
 @dataclass(frozen=True)
@@ -30,8 +32,8 @@ class HnswRules:
 
     links: int = 16
     build_width: int = 80
-    search_width: int = 160
-    shard_rows: int = 8192
+    search_width: int = 240
+    shard_rows: int = 16384
     block: int = 1024
     seed: int = 11
 
@@ -123,7 +125,7 @@ class Graph:
         for layer in range(min(level, top), -1, -1):
             at = self.walk(q, at, self.rules.build_width, layer)
             most = self.rules.links * (2 if layer == 0 else 1)
-            picked = self._spread(np.array([x[1] for x in at], np.int32), np.array([x[0] for x in at], np.float32), self.rules.links)
+            picked = self._spread(np.array([x[1] for x in at], np.int32), np.array([x[0] for x in at]), self.rules.links)
             mine = self.row(i, layer)
             self.near[mine, : len(picked)] = picked
             self.count[mine] = len(picked)
@@ -162,19 +164,19 @@ def on_sphere(vectors: np.ndarray) -> np.ndarray:
     longest = lengths.max() if len(lengths) else 1.0
     scaled = vectors / longest
     fill = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
-    return np.concatenate((scaled, fill[:, None]), axis=1).astype(np.float32)
+    return np.concatenate((scaled, fill[:, None]), axis=1)
 
 
-SHARD = "dim int, shard int, ids binary, node_of binary, vectors binary, near binary, levels binary"
+SHARD = "dim int, shard int, ids binary, copies binary, node_of binary, vectors binary, near binary, levels binary"
 
 
 def _builder(rules: HnswRules):
     def build(table: pa.Table) -> pa.Table:
         dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
-        ids = table.column("vec_id").to_numpy()
+        ids, copies = table.column("vec_id").to_numpy(), table.column("copies").to_numpy()
         vectors = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("embedding").chunks]).reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order] + 0.0  # so that -0.0 and 0.0 are one
+        ids, copies, vectors = ids[order], copies[order], vectors[order]
         nodes, node_of = np.unique(vectors, axis=0, return_inverse=True)
         shuffled = np.random.default_rng(rules.seed).permutation(len(nodes))  # an order that doesn't follow the vectors
         place = np.empty(len(nodes), np.int32)
@@ -182,56 +184,67 @@ def _builder(rules: HnswRules):
         nodes, node_of = nodes[shuffled], place[node_of.reshape(-1)]
         by_node = np.argsort(node_of, kind="stable")
         graph = Graph(on_sphere(nodes), rules).build()
-        row = [dim, shard, ids[by_node].tobytes(), node_of[by_node].tobytes(), nodes.tobytes(), graph.near.tobytes(), graph.levels.tobytes()]
-        return pa.table({k: pa.array([x], t) for k, x, t in zip(["dim", "shard", "ids", "node_of", "vectors", "near", "levels"], row, [pa.int32(), pa.int32()] + [pa.binary()] * 5, strict=True)})
+        row = [dim, shard, *(x.tobytes() for x in (ids[by_node], copies[by_node], node_of[by_node], nodes, graph.near, graph.levels))]
+        names = ["dim", "shard", "ids", "copies", "node_of", "vectors", "near", "levels"]
+        return pa.table({k: pa.array([x], t) for k, x, t in zip(names, row, [pa.int32()] * 2 + [pa.binary()] * 6, strict=True)})
 
     return build
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(vec_id, embedding array<double>, dim)``, one row an id.
+    """``(vec_id, embedding array<double>, dim, copies)``: each distinct row and how often it stands.
 
     Rows without an id, and vectors that are null, empty or zero or hold a null or non-finite component, take no
-    part; of several vectors of one id the smallest counts.
+    part. Several vectors of one id are as many rows.
     """
     v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists(v, lambda x: x != 0.0)
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull()).where(~bad & some)
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    rows = rows.withColumn("embedding", F.transform(v, lambda x: x + 0.0))  # -0.0 and 0.0 are one
+    return rows.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")).withColumn("dim", F.size("embedding"))
 
 
 def build_index(vectors: DataFrame, rules: HnswRules | None = None) -> tuple[DataFrame, int]:
     """(a row a shard with its flat arrays, number of shards a dimension) of ``usable`` rows; every row is indexed."""
     rules = rules or HnswRules()
-    small_batches(vectors.sparkSession, 4096)
+    bounded_batches(vectors.sparkSession)
     shards = max(1, -(-vectors.count() // rules.shard_rows))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
     return written(dealt.groupBy("dim", "shard").applyInArrow(_builder(rules), SHARD), "hnsw-shards"), shards
 
 
+BLOCK = "dim int, b int, q_ids binary, q_copies binary, q_vectors binary"
+
+
 def _blocker(table: pa.Table) -> pa.Table:
-    dim = table.column("dim")[0].as_py()
     flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("embedding").chunks])
-    ids = table.column("vec_id").to_numpy()
-    return pa.table({"dim": pa.array([dim], pa.int32()), "q_ids": pa.array([ids.tobytes()], pa.binary()), "q_vectors": pa.array([flat.tobytes()], pa.binary())})
+    packed = [table.column("vec_id").to_numpy(), table.column("copies").to_numpy(), flat]
+    columns = {k: pa.array([table.column(k)[0].as_py()], pa.int32()) for k in ("dim", "b")}
+    return pa.table(columns | {k: pa.array([x.tobytes()], pa.binary()) for k, x in zip(("q_ids", "q_copies", "q_vectors"), packed, strict=True)})
 
 
-def _best(ids: np.ndarray, starts: np.ndarray, found: list[tuple[float, int]], exact: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
-    """The k best (score, id) of the nodes found, all rows of a node included, ties by id."""
+def _best(shard: tuple, found: list[tuple[float, int]], x: np.ndarray, own: int, k: int) -> list[tuple[float, int]]:
+    """The k best (score, id) of the nodes found, all rows of a node but the query's own row, ties by id."""
+    ids, copies, starts, vectors = shard
+    nodes = [i for _, i in found]
     out: list[tuple[float, int]] = []
-    order = sorted(zip(exact.tolist(), (i for _, i in found), strict=True), key=lambda x: -x[0])
-    for score, node in order:
+    for score, node in sorted(zip((vectors[nodes] @ x).tolist(), nodes, strict=True), key=lambda y: -y[0]):
         if len(out) >= k and score < out[k - 1][0]:
             break
+        mine = own if (vectors[node] == x).all() else None
         # A node's ids are in order, so k+1 of them hold the k best that aren't the query's own.
-        out += [(score, i) for i in ids[starts[node] : min(starts[node + 1], starts[node] + k + 1)].tolist() if i != own]
-        out.sort(key=lambda x: (-x[0], x[1]))
+        here = slice(starts[node], min(starts[node + 1], starts[node] + k + 1))
+        out += [(score, i) for i, n in zip(ids[here].tolist(), copies[here].tolist(), strict=True) for _ in range(min(k, n - (i == mine)))]
+        out.sort(key=lambda y: (-y[0], y[1]))
         del out[k:]
     return out
 
 
+FOUND = pa.schema([("query_id", pa.int64()), ("b", pa.int32()), ("at", pa.int32()), ("copies", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
 def _searcher(rules: HnswRules, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,35 +252,37 @@ def _searcher(rules: HnswRules, k: int):
                 dim = r["dim"]
                 ids, node_of = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["node_of"], np.int32)
                 vectors = np.frombuffer(r["vectors"]).reshape(-1, dim)
-                starts = np.searchsorted(node_of, np.arange(len(vectors) + 1))
+                shard = ids, np.frombuffer(r["copies"], np.int64), np.searchsorted(node_of, np.arange(len(vectors) + 1)), vectors
                 graph = Graph(on_sphere(vectors), rules, np.frombuffer(r["near"], np.int32).reshape(-1, 2 * rules.links), np.frombuffer(r["levels"], np.int32))
-                asked, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"]).reshape(-1, dim)
+                asked, copies, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_copies"], np.int64), np.frombuffer(r["q_vectors"]).reshape(-1, dim)
                 rows = []
-                for own, x in zip(asked.tolist(), q, strict=True):
-                    unit = np.append(x / np.linalg.norm(x), 0.0).astype(np.float32)
+                for at, (own, n, x) in enumerate(zip(asked.tolist(), copies.tolist(), q, strict=True)):
+                    unit = np.append(x / np.linalg.norm(x), 0.0)
                     found = graph.search(unit, max(rules.search_width, k + 1))
-                    exact = vectors[[i for _, i in found]] @ x
-                    rows += [(own, i, s) for s, i in _best(ids, starts, found, exact, own, k)]
-                columns = zip(*rows, strict=True) if rows else ([], [], [])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+                    rows += [(own, r["b"], at, n, i, s) for s, i in _best(shard, found, x, own, k)]
+                columns = zip(*rows, strict=True) if rows else [[]] * len(FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
     return run
 
 
 def search(index: DataFrame, shards: int, queries: DataFrame, k: int = 20, rules: HnswRules | None = None) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k nearest found of each query, its own id left out, ties to the smaller id.
+    """``(query_id, rank, vec_id, score)``: the k nearest found of each query, its own row left out, ties to the smaller id.
 
-    ``queries`` are ``usable`` rows. They are packed into blocks; a block row is repeated for each shard of its
-    dimension and meets the shard's row by an equi-join, so a task holds one shard and one block at a time. A
-    query whose dimension no row shares gets nothing.
+    ``queries`` are ``usable`` rows; a row that stands several times is as many queries, each other's candidates.
+    They are packed into blocks; a block row is repeated for each shard of its dimension and meets the shard's row
+    by an equi-join, so a task holds one shard and one block at a time. A query whose dimension no row shares gets
+    nothing.
     """
     rules = rules or HnswRules()
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // rules.block))
-    packed = queries.withColumn("b", F.pmod(F.xxhash64(F.lit(rules.seed), "vec_id"), F.lit(blocks)).cast("int"))
-    packed = written(packed.groupBy("dim", "b").applyInArrow(_blocker, "dim int, q_ids binary, q_vectors binary"), "hnsw-blocks")
+    packed = queries.withColumn("b", F.pmod(F.xxhash64(F.lit(rules.seed), "vec_id", "embedding"), F.lit(blocks)).cast("int"))
+    packed = written(packed.groupBy("dim", "b").applyInArrow(_blocker, BLOCK), "hnsw-blocks")
     spread = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    met = index.join(spread, ["dim", "shard"])
     with batches_of(spark, 1):  # a row is a shard with a block
-        found = written(index.join(spread, ["dim", "shard"]).mapInArrow(_searcher(rules, k), "query_id long, vec_id long, score double"), "hnsw-found")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = written(met.mapInArrow(_searcher(rules, k), "query_id long, b int, at int, copies long, vec_id long, score double"), "hnsw-found")
+    rank = F.row_number().over(Window.partitionBy("query_id", "b", "at").orderBy(F.col("score").desc(), F.col("vec_id")))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")
