@@ -21,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import small_batches
+from strandplan.llm import workers
+from strandplan.plans.session import bounded_batches
 
 DEFAULT = "byte_bpe_50k.json"
 #: Encoded pre-tokens, and judged pairs of tokens, that a task keeps; beyond that it keeps
@@ -215,6 +216,7 @@ def _coder(spec, outputs: tuple) -> Callable:
         return tuple(every[k]() for k in outputs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn("bpe", _made.clear)
         coder = _encoder(spec.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -234,7 +236,7 @@ def encode_texts(
     ids, an empty text. Rows repeat as given and no other column is read. No shuffle: a task keeps what it has
     encoded, within a bound. The vocabulary file, of fixed size, is read on the driver and broadcast.
     """
-    small_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     with open(path or public_tokenizers.path(DEFAULT), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{o} {OUTPUTS[o][0]}" for o in outputs]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import small_batches
+from strandplan.plans.session import bounded_batches
 
 #: Words of a text after A-Z are lower-cased, on UTF-8 bytes: digits, a-z and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+").findall
@@ -159,7 +159,7 @@ def _counter(templates: tuple):
 
 def word_weights(docs: DataFrame, text_col: str = "text", templates: tuple = TEMPLATES) -> dict[bytes, float]:
     """IDF of each template word over all documents; what reaches the driver is one row a template word."""
-    small_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     counts = docs.select(F.col(text_col)).mapInArrow(_counter(templates), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     n = sum(r["n"] for r in counts if r["word"] is None)
     return {r["word"].encode(): math.log((n + 1) / (r["n"] + 1)) for r in counts if r["word"] is not None}
@@ -194,7 +194,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     matches. Other columns aren't read. Two scans, no shuffle but the sum of word counts.
     """
     idf = word_weights(docs, text_col, templates)
-    small_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scanner(idf, rules or LicenseRules(), templates), FOUND).withColumnRenamed("id", id_col)
 

@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import small_batches
+from strandplan.llm import workers
+from strandplan.plans.session import bounded_batches
 
-#: Labelled rows used for fitting at most, whatever the corpus holds.
-TRAIN_ROWS = 12_000
+#: Labelled rows used for fitting at most, whatever the corpus holds, and distinct features of all of them.
+#: A text that would pass the second bound is left out whole.
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 24_000_000
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 SEED = 7
@@ -86,16 +88,19 @@ def features(words: np.ndarray, rules: FtrlRules) -> np.ndarray:
 PRIOR, PRIOR_TEXTS = 0.05, 20
 
 
-def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules, most: int = TRAIN_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights other than zero, log-odds of the labels at large), after some passes over (text, label).
 
-    Rows are read once; their buckets are kept end to end in one array, a few kilobytes a row.
+    Rows are read once; their buckets are kept end to end in one array of ``most`` numbers of four bytes or fewer.
+    A text whose buckets don't fit what is left of it takes no part.
     """
     hasher, flat, used, sizes, labels = Hasher(rules.stem), np.empty(1 << 20, np.int32), 0, [], []
     for text, label in rows:
         i = features(hasher(text), rules)
+        if used + len(i) > most:
+            continue
         if used + len(i) > len(flat):
-            flat = np.concatenate((flat[:used], np.empty(max(len(flat), len(i)), np.int32)))
+            flat = np.concatenate((flat[:used], np.empty(max(len(flat) // 2, len(i)), np.int32)))
         flat[used : used + len(i)] = i
         used += len(i)
         sizes.append(len(i))
@@ -133,8 +138,10 @@ def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules) -> tuple[np.nd
 
 def _fitter(rules: FtrlRules):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn("toxicity")
         rows = ((text.as_py(), label.as_py()) for b in batches for text, label in zip(b.column(0), b.column(1), strict=True))
         buckets, weights, bias = fit(rows, rules)
+        workers.give_back()
         yield pa.RecordBatch.from_arrays([pa.array([-1, *buckets], pa.int32()), pa.array([bias, *weights], pa.float64())], names=["bucket", "weight"])
 
     return run
@@ -151,7 +158,7 @@ def train(
     read. Without labelled rows there are no weights, and every score is the prior's share.
     """
     rules = rules or FtrlRules()
-    small_batches(docs.sparkSession, 1000)
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     known = known.withColumn("order", F.xxhash64(F.lit(SEED), "id"))
     n = known.count()
@@ -161,7 +168,8 @@ def train(
     chosen = known.where(F.col("order") <= F.lit(least)).orderBy("order", "id").limit(rows).select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most ``rows`` ids
     sample = texts.groupBy("id").agg(F.min("text").alias("text"), F.max("label").cast("int").alias("label"))
-    one = sample.repartition(1).sortWithinPartitions("id").select("text", "label")
+    # In the order of the ids' hashes, so that what the bound on features leaves out is chance too.
+    one = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(SEED), "id"), "id").select("text", "label")
     model = one.mapInArrow(_fitter(rules), "bucket int, weight double").collect()
     bias = next((r["weight"] for r in model if r["bucket"] < 0), math.log(PRIOR / (1 - PRIOR)))
     model = [r for r in model if r["bucket"] >= 0]
@@ -170,6 +178,7 @@ def train(
 
 def _scorer(shared, rules: FtrlRules):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.turn("toxicity")
         buckets, weights, bias = shared.value
         table = np.zeros(1 << rules.bits)
         table[buckets] = weights
@@ -183,14 +192,20 @@ def _scorer(shared, rules: FtrlRules):
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], rules: FtrlRules | None = None, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of every whole text; null and empty texts get the score of the bias and the intercept."""
+    """``keep`` columns and ``score`` (0 to 1) of every whole text, a row for each row of ``docs``.
+
+    Null and empty texts get the score of the bias and the intercept; equal texts score alike, of any length. A kept
+    column may have any name but ``score``.
+    """
     rules = rules or FtrlRules()
     spark = docs.sparkSession
-    small_batches(spark, 1000)
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # the weights that L1 left: at most 2**bits
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    columns = [F.col(c) for c in keep] + [F.col(text_col).alias("_scored")]
-    return docs.select(*columns).mapInArrow(_scorer(shared, rules), f"{schema}, score double")
+    # The text is the last column, known by its place, and the kept ones travel under numbers.
+    columns = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)] + [F.col(text_col).alias("text")]
+    schema = ", ".join([*(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "score double"])
+    scored = docs.select(*columns).mapInArrow(_scorer(shared, rules), schema)
+    return scored.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "score")
 
 
 def in_training(id_):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import small_batches
+from strandplan.plans.session import bounded_batches
 
 PACKET = 188
 PAT_PID, PMT_PID, MEDIA_PID = 0x0000, 0x1000, 0x0100
@@ -213,7 +213,7 @@ def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_bytes, media)``: every whole text as a transport stream column; null texts are empty."""
-    small_batches(docs.sparkSession, 256)
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_store, "id long, n_bytes long, media binary")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.plans.session import shared_path, small_batches, written
+from strandplan.plans.session import bounded_batches, shared_path, written
 
 LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -91,7 +91,7 @@ def write_archives(
     least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE,
 ) -> None:
     """Write every page as a response or revisit record below ``path``, in archives of bounded size."""
-    small_batches(pages.sparkSession, 500)
+    bounded_batches(pages.sparkSession)
     again = written(resolve(pages, id_col, url_col, body_col, least), "warc-revisits")
     again = again.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first_id", "first_url")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("html"))
@@ -157,7 +157,7 @@ def _reader(with_payload: bool):
 def read_archives(spark, path: str, with_payload: bool = True) -> DataFrame:
     """The records below ``path``, a row each; payloads of responses are checked against their digests."""
     # A file is one row of the binary source and at most ARCHIVE_BYTES (or one record), so few go to Python at once.
-    small_batches(spark, 4)
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(_reader(with_payload), READ_SCHEMA)
 
