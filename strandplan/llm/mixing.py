@@ -2,7 +2,10 @@
 
 Each document is emitted floor(rate) times, plus once more by a draw that its id's hash under the source's seed
 decides. A source takes, of ``SEEDS`` seeds, the one under which its draws come nearest to its target; that
-costs one aggregate over ids and sizes, and keeps sources with few or very uneven documents close.
+costs one aggregate over ids and sizes, and keeps sources with few or very uneven documents close. So the draws of
+a source are conditioned on their sum: under any one seed a document's copy has the fraction as its probability,
+but a source is not one unconditioned draw, and a change of its documents can change its seed and with it all its
+draws. ``seeds=1`` gives the plain draw.
 """
 
 from __future__ import annotations
@@ -80,7 +83,7 @@ def with_seeds(sized: DataFrame, table: DataFrame, seed: str = SEED, seeds: int
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, keep: tuple = (),
+    weights: tuple = WEIGHTS, most: int = MOST, seed: str = SEED, keep: tuple = (), seeds: int = SEEDS,
 ) -> DataFrame:
     """``(id, source, size, source_size, target, copies)`` and ``keep`` columns, a row for each row of ``docs``.
 
@@ -92,7 +95,7 @@ def mix(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     sized = written(rows.select("_id", "source", "size"), "mix-sizes")
     table = written(source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "_source"), "mix-rates")
-    table = written(with_seeds(sized, table, seed), "mix-seeds")
+    table = written(with_seeds(sized, table, seed, seeds), "mix-seeds")
     joined = (rows if keep else sized).join(table, F.col("source").eqNullSafe(F.col("_source")))
     return joined.select(
         F.col("_id").alias(id_col), "source", "size", "source_size", "target", copies(F.col("_id"), F.col("rate"), F.col("number"), seed).alias("copies"),

@@ -212,7 +212,11 @@ def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_bytes, media)``: every whole text as a transport stream column; null texts are empty."""
+    """``(id, n_bytes, media)``: every whole text as a transport stream column, a row for each row of ``docs``.
+
+    Null texts are empty, one block of zeros. Equal texts give equal streams, repeated rows included; a text of any
+    length is one stream, in access units of ``UNIT`` bytes. Other columns aren't read, whatever their names.
+    """
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_store, "id long, n_bytes long, media binary")
 
@@ -252,5 +256,9 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests, continuity gaps, timestamps and random-access packets of each stream of ``text_media``."""
+    """Digests, continuity gaps, timestamps and random-access packets of each stream of ``text_media``.
+
+    A row for each row; an empty table gives an empty result. A stream that isn't whole packets, loses its sync byte
+    or starts a unit without a PES header raises.
+    """
     return media.select("id", "n_bytes", "media").mapInArrow(_read, FEATURES)

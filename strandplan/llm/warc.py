@@ -90,7 +90,11 @@ def write_archives(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
     least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE,
 ) -> None:
-    """Write every page as a response or revisit record below ``path``, in archives of bounded size."""
+    """Write every page as a response or revisit record below ``path``, in archives of bounded size.
+
+    Null payloads are empty, null URLs empty, null ids left blank. Repeated rows are records each. A payload longer
+    than ``archive_bytes`` is an archive of its own. Other columns aren't read; an empty table writes no record.
+    """
     bounded_batches(pages.sparkSession)
     again = written(resolve(pages, id_col, url_col, body_col, least), "warc-revisits")
     again = again.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first_id", "first_url")
