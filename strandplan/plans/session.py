@@ -82,7 +82,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_MB = 8
+BATCH_MB = 2
 
 
 def bounded_batches(spark: SparkSession) -> None:
