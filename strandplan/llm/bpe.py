@@ -27,7 +27,7 @@ from strandplan.plans.session import bounded_batches
 DEFAULT = "byte_bpe_50k.json"
 #: Encoded pre-tokens, and judged pairs of tokens, that a task keeps; beyond that it keeps
 #: the words of the texts at hand, so memory doesn't grow.
-CACHE, PAIRS = 450_000, 400_000
+CACHE, PAIRS = 250_000, 250_000
 NEVER = 1 << 62
 
 
@@ -91,16 +91,17 @@ class Encoder:
                 self.made[z], self.parts[z] = r, (x, y)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by left * size + right
         self.known: dict[str, bytes] = {}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the text of both tokens is encoded as just these two."""
-        got = self.follows.get((left, right))
+        pair = left * len(self.bytes) + right
+        got = self.follows.get(pair)
         if got is None:
             if len(self.follows) > PAIRS:
                 self.follows.clear()
-            got = self.follows[left, right] = self._undo(left, right)
+            got = self.follows[pair] = self._undo(left, right)
         return got
 
     def _undo(self, x: int, y: int) -> bool:
@@ -127,7 +128,7 @@ class Encoder:
         """
         order = sorted(words)
         vocab, longest, follows, may_follow = self.vocab.get, self.longest, self.follows.get, self.may_follow
-        packed, size = self.packed, self.sizes
+        packed, size, every = self.packed, self.sizes, len(self.bytes)
         last: list[int] = [-1]
         for word, shared in zip(order, shared_lengths(order), strict=True):
             del last[shared + 1 :]
@@ -138,7 +139,7 @@ class Encoder:
                         if not start:
                             break
                         before = last[start]
-                        ok = follows((before, token))
+                        ok = follows(before * every + token)
                         if may_follow(before, token) if ok is None else ok:
                             break
                 last.append(token)

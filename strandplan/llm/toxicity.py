@@ -50,7 +50,7 @@ class FtrlRules:
 class Hasher:
     """Words to 64-bit numbers, with a bounded memory of those seen."""
 
-    def __init__(self, stem: int, keep: int = 200_000):
+    def __init__(self, stem: int, keep: int = 100_000):
         self.stem, self.keep = stem, keep
         self.seen: dict[str, tuple[int, int]] = {}
 
@@ -91,29 +91,23 @@ PRIOR, PRIOR_TEXTS = 0.05, 20
 def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules, most: int = TRAIN_FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights other than zero, log-odds of the labels at large), after some passes over (text, label).
 
-    Rows are read once; their buckets are kept end to end in one array of ``most`` numbers of four bytes or fewer.
-    A text whose buckets don't fit what is left of it takes no part.
+    Rows are read once; their buckets are kept, ``most`` numbers of four bytes or fewer. A text whose buckets don't
+    fit what is left of that takes no part.
     """
-    hasher, flat, used, sizes, labels = Hasher(rules.stem), np.empty(1 << 20, np.int32), 0, [], []
+    hasher, sets, used, labels = Hasher(rules.stem), [], 0, []
+    seen = np.zeros(1 << rules.bits, np.int32)
     for text, label in rows:
         i = features(hasher(text), rules)
         if used + len(i) > most:
             continue
-        if used + len(i) > len(flat):
-            flat = np.concatenate((flat[:used], np.empty(max(len(flat) // 2, len(i)), np.int32)))
-        flat[used : used + len(i)] = i
         used += len(i)
-        sizes.append(len(i))
+        seen[i] += 1
+        sets.append(i)
         labels.append(int(label))
     # A bucket of one or two texts can only be learned by heart, so it is left out.
-    # Counted in slices, as numpy widens what it counts.
-    seen = np.zeros(1 << rules.bits, np.int64)
-    for at in range(0, used, 1 << 20):
-        seen += np.bincount(flat[at : min(used, at + (1 << 20))], minlength=1 << rules.bits)
-    keep = (seen >= rules.least_texts)[flat[:used]]
-    starts = np.cumsum(np.array([0, *sizes], np.int64))
-    ends = np.cumsum([0, *(int(np.count_nonzero(keep[a:b])) for a, b in zip(starts, starts[1:], strict=False))])
-    flat = flat[:used][keep]
+    common = seen >= rules.least_texts
+    for k, i in enumerate(sets):
+        sets[k] = i[common[i]]
     share = (sum(labels) + PRIOR * PRIOR_TEXTS) / (len(labels) + PRIOR_TEXTS)
     bias = math.log(share / (1 - share))
     z, n = np.zeros(1 << rules.bits), np.zeros(1 << rules.bits)
@@ -126,7 +120,7 @@ def fit(rows: Iterable[tuple[str | None, int]], rules: FtrlRules, most: int = TR
     passes = max(rules.epochs, min(rules.most_epochs, -(-rules.steps // max(1, len(labels)))))
     for epoch in range(passes):
         for k in np.random.default_rng(SEED + epoch).permutation(len(labels)).tolist():
-            i = flat[ends[k] : ends[k + 1]]
+            i = sets[k]
             w = weights(i)
             g = 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, bias + w.sum())))) - labels[k]
             ni = n[i]
