@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandplan.operators.components import connected_components
-from strandplan.plans.session import bounded_batches, written
+from strandplan.plans.session import bounded_batches, scratch, shared_path, written, written_at
 
 RADIUS = 4
 SHINGLE = 4
@@ -232,15 +232,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint 0 and link like any other. A null id takes its component's smallest id, or null if there is none.
     Repeated rows repeat. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "simhash-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
-    links = near_links(distinct, radius, bucket)
-    groups = connected_components(links, "a", "b")
-    members = groups.join(distinct, groups["node"] == distinct["fp"]).select("fp", "component", "low")
-    lows = members.groupBy("component").agg(F.min("low").alias("component_low"))
-    linked = members.join(lows, "component").select("fp", "component_low")
-    # Written, so that the last join stands between two exchanges and adaptive execution can split a hot fingerprint.
-    final = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id")), "simhash-final")
+    prints, path = written(fingerprints(docs, id_col, text_col), "simhash-prints"), shared_path(docs.sparkSession, "simhash-final")
+    with scratch(docs.sparkSession):
+        distinct = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
+        links = near_links(distinct, radius, bucket)
+        groups = connected_components(links, "a", "b")
+        members = groups.join(distinct, groups["node"] == distinct["fp"]).select("fp", "component", "low")
+        lows = members.groupBy("component").agg(F.min("low").alias("component_low"))
+        linked = members.join(lows, "component").select("fp", "component_low")
+        # Written, so that the last join stands between two exchanges and adaptive execution can split a hot fingerprint.
+        final = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("component_id"))
+        final, _ = written_at(final, "simhash-final", path)
     return prints.join(final, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
