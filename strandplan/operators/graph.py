@@ -143,12 +143,13 @@ def relaxed_paths(edges: DataFrame, sources: DataFrame, weight: Column, limit: i
         if limit is not None:
             ahead = ahead.where(F.col("dist") <= limit)
         offers = ahead.withColumn("new", F.lit(True)).unionByName(labels.drop("fresh").withColumn("new", F.lit(False)))
-        # A null predecessor (a start) sorts first, so a start keeps its label.
+        # A label gives way to a smaller distance alone, so predecessors never run in a circle, whatever the weights.
         best = offers.groupBy("source", "node_id").agg(
-            F.min(F.struct("dist", "prev", "prev_edge")).alias("b"), F.min(F.when(~F.col("new"), F.struct("dist", "prev", "prev_edge"))).alias("old")
+            F.min(F.struct("dist", "prev", "prev_edge")).alias("got"), F.min(F.when(~F.col("new"), F.struct("dist", "prev", "prev_edge"))).alias("old")
         )
-        moved = F.col("old").isNull() | (F.col("b.dist") < F.col("old.dist"))
-        nxt, nxt_at = written_at(best.select("source", "node_id", "b.dist", "b.prev", "b.prev_edge", moved.alias("fresh")), "labels")
+        moved = F.col("old").isNull() | (F.col("got.dist") < F.col("old.dist"))
+        best = best.select("source", "node_id", F.when(moved, F.col("got")).otherwise(F.col("old")).alias("b"), moved.alias("moved"))
+        nxt, nxt_at = written_at(best.select("source", "node_id", "b.dist", "b.prev", "b.prev_edge", F.col("moved").alias("fresh")), "labels")
         remove(spark, at)
         labels, at = nxt, nxt_at
         if labels.where("fresh").isEmpty():

@@ -74,6 +74,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return written_at(df, label)[0]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table stands at a path, finished."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm
@@ -104,8 +110,3 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(BATCH_ROWS, before)
-
-
-def small_batches(spark: SparkSession, rows: int = 0) -> None:
-    """``bounded_batches``."""
-    bounded_batches(spark)

@@ -89,3 +89,27 @@ def test_groups_in_reach(spark):
     df = spark.createDataFrame(rows, "id long, x long, y long, grp long")
     assert sorted(map(tuple, spatial.nearest_between(df, "id", "grp", 100).collect())) == [(1, 900, 0, 1), (2, 900, 1, 0)]
     assert sorted(map(tuple, spatial.pairs_between(df, "id", "grp", 100, 500).collect())) == [(900, 0, 1), (4900, 0, 2)]
+
+
+def test_paths_with_free_edges_never_run_in_a_circle(spark):
+    """Open edges weigh nothing: both ways give the same distances, and predecessors lead back to the start."""
+    rnd = random.Random(6)
+    rows = [(0, 5, 3, 0), (1, 3, 4, 0), (2, 5, 4, 0)] + [(3 + k, rnd.randrange(30), rnd.randrange(30), rnd.choice((0, 0, 3, 7))) for k in range(70)]
+    rows = [r for r in rows if r[1] != r[2]]
+    edges = spark.createDataFrame(rows, "edge_id long, src long, dst long, len_m long")
+    starts = spark.createDataFrame([(0, 5)], "source int, node_id long")
+    weight = {e: w for e, _, _, w in rows}
+    ends = {e: {a, b} for e, a, b, _ in rows}
+    got = []
+    for most in (500_000, 0):
+        paths = {r["node_id"]: r for r in graph.shortest_paths(edges, starts, F.col("len_m"), task_edges=most).collect()}
+        got.append({n: r["dist"] for n, r in paths.items()})
+        for n, r in paths.items():
+            seen = set()
+            while r["prev"] is not None:
+                assert n not in seen and ends[r["prev_edge"]] == {n, r["prev"]}
+                assert paths[r["prev"]]["dist"] + weight[r["prev_edge"]] == r["dist"]
+                seen.add(n)
+                n, r = r["prev"], paths[r["prev"]]
+            assert n == 5
+    assert got[0] == got[1]
