@@ -42,37 +42,56 @@ def drop_collinear(ring: list) -> list:
     return ring
 
 
-def merge_short(ring: list, least: float) -> list:
-    """Without points closer than ``least`` to the last one kept; three at least stay."""
-    out = []
-    for k, p in enumerate(ring):
-        left = len(ring) - k - 1
-        if out and hypot(p[0] - out[-1][0], p[1] - out[-1][1]) < least and len(out) + left >= 3:
-            continue
-        out.append(p)
-    if len(out) > 3 and hypot(out[0][0] - out[-1][0], out[0][1] - out[-1][1]) < least:
-        out.pop()
-    return out
+def turned(ring: list) -> list:
+    """The ring from its smallest point on, so that what follows doesn't depend on where it was begun."""
+    k = ring.index(min(ring)) if ring else 0
+    return ring[k:] + ring[:k]
 
 
-def simplify(ring: list, tolerance: float) -> list:
-    """Drop points off the line between their neighbours by at most ``tolerance``, least first; three at least stay."""
-    ring = drop_collinear(dedupe(ring))
-    if tolerance <= 0:
-        return ring
-    ring = merge_short(ring, tolerance)
+def _square(a, b) -> int:
+    return (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
 
-    def offset(i):
-        a, p, b = ring[i - 1], ring[i], ring[(i + 1) % len(ring)]
-        base = hypot(b[0] - a[0], b[1] - a[1])
-        return abs(turn(a, p, b)) / base if base else hypot(p[0] - a[0], p[1] - a[1])
 
-    while len(ring) > 3:
-        best = min(range(len(ring)), key=lambda i: (offset(i), i))
-        if offset(best) > tolerance:
-            break
-        ring = ring[:best] + ring[best + 1 :]
-    return ring
+def merge_short(ring: list, least: int) -> list:
+    """From the smallest point on, without points closer than ``least`` to the last one kept, or at the end to the first."""
+    out: list = []
+    for p in turned(ring):
+        if not out or _square(p, out[-1]) >= least * least:
+            out.append(p)
+    return out[:-1] if len(out) > 2 and _square(out[0], out[-1]) < least * least else out
+
+
+def drop_near(ring: list, tolerance: int) -> list:
+    """Without points at most ``tolerance`` off the chord of their neighbours, in ring order, round after round; three stay."""
+    n = left = len(ring)
+    before, after = [n - 1, *range(n - 1)], [*range(1, n), 0]
+    order, dropped = list(range(n)), True
+
+    def near(i: int) -> bool:
+        a, p, b = ring[before[i]], ring[i], ring[after[i]]
+        chord = _square(a, b)
+        return turn(a, p, b) ** 2 <= tolerance**2 * chord if chord else _square(a, p) <= tolerance**2
+
+    while dropped and left > 3:
+        dropped, kept = False, []
+        for i in order:
+            if left > 3 and near(i):
+                after[before[i]], before[after[i]] = after[i], before[i]
+                left, dropped = left - 1, True
+            else:
+                kept.append(i)
+        order = kept
+    return [ring[i] for i in order]
+
+
+#: Fixed value: the shortest side of a simplified ring in metres.
+SHORTEST = 3
+
+
+def simplify(ring: list, tolerance: int, shortest: int = SHORTEST) -> list:
+    """A ring of whole metres without repeats, straight points and short sides, then without what ``tolerance`` allows."""
+    ring = drop_collinear(merge_short(drop_collinear(dedupe(ring)), shortest))
+    return drop_collinear(drop_near(ring, tolerance)) if tolerance > 0 and len(ring) > 3 else ring
 
 
 def resample(ring: list, step: float) -> list:

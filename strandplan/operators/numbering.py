@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from strandplan.plans.session import written
 
 
+def _dealt(df: DataFrame, *order) -> DataFrame:
+    """``df`` written in ranges of an order: ``_part`` is the range, ``_at`` the place in it."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(1 << 33)}), "numbered")
+
+
+def sums_before(df: DataFrame, value: str, *order, name: str = "before") -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over all rows before, 0 for the first, in an order that is total.
+
+    Sums run inside ranges of the order, side by side; only one total a range meets in a window.
+    """
+    placed = _dealt(df, *order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = placed.withColumn("_inside", inside).join(F.broadcast(totals.select("_part", "_first")), "_part")  # a row a range
+    return joined.withColumn(name, F.col("_first") + F.col("_inside")).drop("_part", "_at", "_first", "_inside")
+
+
 def dense_ids(df: DataFrame, *order, name: str = "id", start: int = 0) -> DataFrame:
     """``df`` with ``name``: consecutive numbers from ``start`` in the given order.
 
@@ -15,8 +34,7 @@ def dense_ids(df: DataFrame, *order, name: str = "id", start: int = 0) -> DataFr
     the rows of the ranges before. Only one count a range meets in a window. The order should be total: rows
     that tie are numbered either way.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(1 << 33)}), "numbered")
+    placed = _dealt(df, *order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     joined = placed.join(F.broadcast(ranges.select("_part", "_first")), "_part")  # a row a partition

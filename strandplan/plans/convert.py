@@ -39,7 +39,7 @@ def _points(ring, fn) -> list:
     return [{"x": int(round(p[0])), "y": int(round(p[1]))} for p in fn([(p["x"], p["y"]) for p in ring])]
 
 
-def simplified(c: Column, tolerance: float) -> Column:
+def simplified(c: Column, tolerance: int) -> Column:
     """A ring simplified to a tolerance."""
     f = F.pandas_udf(lambda s: s.map(lambda r: _points(r, lambda ring: rings.simplify(ring, tolerance))), RING)
     return f(c)
@@ -148,7 +148,7 @@ def parcels_to_network(features: DataFrame, projection: Projection, most_nodes:
         )
         flat = written(flat, "rings")
         for tolerance in LADDER:
-            sides = written(ring_edges(flat.withColumn("ring", simplified(F.col("ring"), float(tolerance))), "ring"), "sides")
+            sides = written(ring_edges(flat.withColumn("ring", simplified(F.col("ring"), tolerance)), "ring"), "sides")
             n = sides.select("x1", "y1").union(sides.select("x2", "y2")).distinct().count()
             if n <= most_nodes:
                 nodes, edges = as_network(sides)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandplan.functions import exprs as X
 from strandplan.operators import components as cc
 from strandplan.operators import graph, provision, spatial
-from strandplan.operators.numbering import dense_ids
+from strandplan.operators.numbering import dense_ids, sums_before
 from strandplan.plans.network import DESIGN_SQL, Network, kept_drops
 from strandplan.rules import CABINETS, RULES, TERMINALS
 from strandplan.sources.synthetic import NETWORK_SQL, comb_edges
@@ -325,10 +325,9 @@ def terminal_buckets(net):
 
 @query("SELECT node_id, n, coalesce(sum(n) OVER (ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM (SELECT node_id, count(*) AS n FROM drops GROUP BY 1)")
 def prefix_offsets(net):
-    """Where each node's members start in a flat array; the window runs over node counts only."""
+    """Where each node's members start in a flat array."""
     n = net.drops().groupBy("node_id").agg(F.count("*").alias("n"))
-    before = Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    return n.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return sums_before(n, "n", "node_id", name="first").select("node_id", "n", "first")
 
 
 @query("SELECT area_id, node_id, r FROM (SELECT area_id, node_id, row_number() OVER (PARTITION BY area_id ORDER BY first) AS r, count(*) OVER (PARTITION BY area_id) AS n FROM (SELECT area_id, node_id, min(prem_id) AS first FROM drops GROUP BY 1, 2) QUALIFY r <= 256) "
@@ -363,9 +362,13 @@ def cell_density(net):
 @query("SELECT count(*) AS n, min(p) AS low, max(p) AS high, count(*) FILTER (p > 100000) AS over, (SELECT p FROM (SELECT p, row_number() OVER (ORDER BY p) AS rn, count(*) OVER () AS n FROM pr) WHERE rn = (n + 1) // 2) AS median FROM pr",
        DESIGN + ", pr AS (SELECT edge_id, len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END + edge_id % 97 * 1000 AS p FROM usage)")
 def price_stats(net):
-    """Count, extremes, count over a threshold and the exact lower median."""
+    """Count, extremes, count over a threshold and the exact lower median, from counts of equal prices."""
     p = net.edge_usage().select((F.col("len_m") * X.cost_of("surface", ((0, 4_500), (1, 15_000))) + F.col("edge_id") % 97 * 1000).alias("p"))
-    return p.agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.count(F.when(F.col("p") > 100_000, 1)).alias("over"), F.expr("percentile_disc(0.5) within group (order by p)").cast("long").alias("median"))
+    counts = sums_before(p.groupBy("p").agg(F.count("*").alias("c")), "c", "p", name="before")
+    whole = counts.agg(F.sum("c").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.sum(F.when(F.col("p") > 100_000, F.col("c")).otherwise(0)).alias("over"))
+    # The one price that the middle rank falls on; one row meets the counts.
+    middle = counts.join(F.broadcast(whole.select("n")), (F.col("before") < X.div(F.col("n") + 1, F.lit(2))) & (X.div(F.col("n") + 1, F.lit(2)) <= F.col("before") + F.col("c")))
+    return whole.crossJoin(middle.agg(F.max("p").alias("median")))
 
 
 @query("SELECT leg, max(v) FILTER (rn = (n - 1) * 50 // 100 + 1) AS p50, max(v) FILTER (rn = (n - 1) * 90 // 100 + 1) AS p90, max(v) FILTER (rn = (n - 1) * 99 // 100 + 1) AS p99 FROM (SELECT leg, v, row_number() OVER (PARTITION BY leg ORDER BY v) AS rn, count(*) OVER (PARTITION BY leg) AS n FROM "
@@ -752,6 +755,16 @@ def design_sweeps(net):
     return design.sweeps(design.design_networks(net.nodes.select("*", zero), net.edges.select("*", zero), net.premises.select("*", zero)))
 
 
+def _relaxed(starts: str, weight: str, rounds: int = 64) -> str:
+    """SQL of shortest distances as ``settled``: so many rounds, each all labels and what one edge more makes of them.
+
+    Enough for the grid, whose cheapest ways have at most 58 edges and a few around an arterial.
+    """
+    half = f"half AS (SELECT src AS u, dst AS v, {weight} AS w FROM usage UNION ALL SELECT dst, src, {weight} FROM usage)"
+    steps = [f"r{k} AS MATERIALIZED (SELECT node_id, min(dist) AS dist FROM (SELECT * FROM r{k - 1} UNION ALL SELECT v, dist + w FROM r{k - 1} JOIN half ON u = node_id) GROUP BY node_id)" for k in range(1, rounds + 1)]
+    return ",\n".join([DESIGN.rstrip(), half, f"r0 AS MATERIALIZED ({starts})", *steps, f"settled AS (SELECT * FROM r{rounds})"])
+
+
 @query("SELECT count(*) FILTER (p > 0) AS priced, count(*) FILTER (p > 50000) AS over_50k, sum(p)::BIGINT AS cents FROM (SELECT used, node_id % 97 * 1000 AS p FROM terminals)")
 def priced_terminals(net):
     """How many terminals stand on priced nodes, how many on dear ones, and what they would cost."""
@@ -760,7 +773,7 @@ def priced_terminals(net):
     return t.agg(F.count(F.when(p > 0, 1)).alias("priced"), F.count(F.when(p > 50_000, 1)).alias("over_50k"), F.sum(p).alias("cents"))
 
 
-@query()
+@query("SELECT node_id, least(min(dist), 2000000000)::BIGINT AS price FROM settled GROUP BY node_id", _relaxed("SELECT src AS node_id, 0 AS dist FROM usage WHERE feeder_fibers > 0 UNION SELECT dst, 0 FROM usage WHERE feeder_fibers > 0", "CASE WHEN feeder_fibers > 0 THEN 0 ELSE len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END END"))
 def node_prices(net):
     """Marginal trench cents of each node from the streets that feeders use, capped."""
     usage = net.edge_usage().withColumn("open", F.col("feeder_fibers") > 0)
@@ -809,6 +822,18 @@ def scenario_designs(net):
     return served.join(areas, "network")
 
 
+@query("SELECT * FROM (VALUES (30, 60, true, 0), (400, 800, true, 0)) t(network, premises, was_over, over)", "", whole="network premises over")
+def reach_repair(net):
+    """Two towns of so many homes each, whose cheapest trench makes routes too long: mended over a dearer way."""
+    from strandplan.plans import design
+    from strandplan.sources import scenarios
+
+    d = design.design_networks(*scenarios.tables(net.spark, {n: scenarios.detour(n) for n in (30, 400)}))
+    homes = d["premises"].groupBy("network").agg(F.count("*").alias("premises"))
+    told = design.sweeps(d).select("network", (F.col("over_before") > 0).alias("was_over"), F.col("over_after").alias("over"))
+    return homes.join(told, "network")
+
+
 @query("SELECT n.node_id, 0 AS source, min(d) AS dist FROM nodes n JOIN (SELECT node_id, abs(node_id % 30 - 14) * 100 + abs(node_id // 30 - 14) * 100 AS d FROM nodes) USING (node_id) WHERE d <= 800 GROUP BY 1", whole="source")
 def bounded_distances(net):
     """Shortest paths cut off at 800 m."""
@@ -816,7 +841,7 @@ def bounded_distances(net):
     return longs(graph.shortest_paths(net.lengths, start, F.col("len_m"), limit=800).select("source", "node_id", "dist"))
 
 
-@query()
+@query("SELECT node_id, min(dist)::BIGINT AS dist FROM settled GROUP BY node_id", _relaxed("SELECT 434 AS node_id, 0 AS dist", "len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END"))
 def trench_distances(net):
     """Civil cents from the head-end to every node over soft and asphalt streets."""
     start = net.spark.createDataFrame([(0, 434)], "source int, node_id long")
@@ -824,6 +849,149 @@ def trench_distances(net):
     return graph.shortest_paths(net.lengths, start, cents).select("node_id", "dist")
 
 
+# --- scalar rules, checks and converters on generated inputs -----------------------------------------------------
+
+
+@query("SELECT prem_id, greatest(0, least(127, floor((x - 500) / 12.0)))::BIGINT AS cx, greatest(0, least(127, floor((y - 500) / 12.0)))::BIGINT AS cy FROM premises")
+def clamped_cells(net):
+    """Cells of a bounded grid that is smaller than the field."""
+    return net.premises.select("prem_id", X.clamped_cell("x", F.lit(500), 12).alias("cx"), X.clamped_cell("y", F.lit(500), 12).alias("cy"))
+
+
+@query("SELECT node_id, CASE WHEN node_id % 3 = 0 THEN 0 ELSE node_id * 977 % 5000 END AS price FROM nodes")
+def prices_paid(net):
+    """Prices of nodes of which every third has been bought."""
+    return net.nodes.select("node_id", X.node_price(F.col("node_id") * 977 % 5000, F.col("node_id") % 3 == 0).alias("price"))
+
+
+@query("SELECT prem_id, (units * 700 + x) / (1 + prem_id % 12)::DOUBLE < (units * 650 + y) / (1 + prem_id % 7)::DOUBLE AS better FROM premises WHERE (units * 700 + x) * (1 + prem_id % 7) <> (units * 650 + y) * (1 + prem_id % 12)")
+def better_moves(net):
+    """Which of two moves costs less a premises, by cross-multiplication; moves of equal ratio are left out."""
+    c, k, d, m = F.col("units") * 700 + F.col("x"), 1 + F.col("prem_id") % 12, F.col("units") * 650 + F.col("y"), 1 + F.col("prem_id") % 7
+    return net.premises.where(c * m != d * k).select("prem_id", X.better_move(c, k, d, m).alias("better"))
+
+
+@query("SELECT prem_id, x, y FROM premises", whole="x y")
+def projected_points(net):
+    """Premises sent to degrees and back to metres, which must change none."""
+    p = (-81.9, 26.5, 99_600.0, 110_800.0)
+    lon, lat = X.unproject("x", "y", *p)
+    there = net.premises.select("prem_id", lon.alias("lon"), lat.alias("lat"))
+    x, y = X.project("lon", "lat", *p)
+    return longs(there.select("prem_id", x.alias("x"), y.alias("y")))
+
+
+@query("SELECT prem_id, x + (10 + prem_id % 7) / 2.0::DOUBLE AS cx, y + (10 + prem_id % 5) / 2.0::DOUBLE AS cy FROM premises")
+def ring_centroids(net):
+    """Centroids of rectangles at the premises."""
+    w, h = 10 + F.col("prem_id") % 7, 10 + F.col("prem_id") % 5
+    corner = lambda i, j: F.struct((F.col("x") + i * w).alias("x"), (F.col("y") + j * h).alias("y"))
+    cx, cy = X.ring_centroid(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
+    return net.premises.select("prem_id", cx.alias("cx"), cy.alias("cy"))
+
+
+@query("SELECT node_id, edge_id, dst AS far FROM edges JOIN nodes ON node_id = src UNION ALL SELECT node_id, edge_id, src FROM edges JOIN nodes ON node_id = dst")
+def far_ends(net):
+    """The other end of each street, from either end."""
+    both = net.nodes.join(net.edges, (F.col("node_id") == F.col("src")) | (F.col("node_id") == F.col("dst")))
+    return both.select("node_id", "edge_id", X.far_end("node_id", "src", "dst").alias("far"))
+
+
+@query("SELECT id, row_number() OVER (ORDER BY CASE WHEN n IS NOT NULL THEN 0 ELSE 1 END, n, id) - 1 AS place FROM (SELECT id, try_cast(id AS BIGINT) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'f' || p_partkey ELSE (p_partkey * 7919 % 100003)::VARCHAR END AS id FROM part))", "")
+def feature_order(net):
+    """Feature ids in their order: whole numbers by value, then other text."""
+    from strandplan.plans import convert
+
+    k = F.col("p_partkey").cast("long")
+    ids = net.table("part").select(F.when(k % 3 == 0, F.concat(F.lit("f"), k.cast("string"))).otherwise((k * 7919 % 100_003).cast("string")).alias("id"))
+    return dense_ids(ids, convert.id_order(F.col("id")), name="place").select("id", "place")
+
+
+CANALS = """ring AS (SELECT n_nationkey::BIGINT AS ring, k, CASE WHEN k < 40 THEN k * 20 ELSE (79 - k) * 20 END AS x, CASE WHEN k < 40 THEN 0 ELSE 30 + n_nationkey END + n_nationkey * 1000 AS y FROM nation, (SELECT unnest(range(0, 80)) AS k)),
+pairs AS (SELECT a.ring, a.k * 20 AS a, b.k * 20 AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS sq, least(abs(a.k - b.k) * 20, 1600 - abs(a.k - b.k) * 20) AS along FROM ring a JOIN ring b ON a.ring = b.ring)"""
+
+
+@query("SELECT ring, a, b, sq FROM pairs WHERE sq > 0 AND sq <= 14400 AND along * along > 9 * sq QUALIFY row_number() OVER (PARTITION BY ring, a ORDER BY sq, b) = 1", CANALS, whole="ring a b sq")
+def opposite_banks(net):
+    """The point across the water of each point of a canal's ring, a canal a nation."""
+    k, n = F.col("k"), F.col("n_nationkey").cast("long")
+    ring = net.table("nation").select(n.alias("ring"), n.alias("n_nationkey"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(79).cast("long"))).alias("k"))
+    spots = ring.select("ring", (k * 20).alias("pos"), F.lit(1600).cast("long").alias("total"), F.when(k < 40, k * 20).otherwise((79 - k) * 20).alias("x"), (F.when(k < 40, 0).otherwise(30 + F.col("n_nationkey")) + F.col("n_nationkey") * 1000).alias("y"))
+    return longs(spatial.opposite_banks(spots, "ring", "pos", "total").select("ring", "a", "b", "sq"))
+
+
+REACHED = NETWORK_SQL.rstrip() + """,
+cut AS (SELECT * FROM edges WHERE edge_id * 7919 % 5 > 1), both_ways AS (SELECT src AS u, dst AS v FROM cut UNION ALL SELECT dst, src FROM cut),
+reached AS (SELECT 0::BIGINT AS node_id UNION SELECT v FROM reached JOIN both_ways ON u = node_id)"""
+
+
+@query("SELECT (SELECT count(*) FROM nodes) - (SELECT count(*) FROM reached) AS n", REACHED)
+def unreached_nodes(net):
+    """Nodes that node 0 doesn't reach once two streets of five are gone: what a file would be refused for."""
+    from strandplan.sources import interchange
+
+    n = interchange.unreachable(net.nodes, net.edges.where(F.col("edge_id") * 7919 % 5 > 1))
+    return net.spark.createDataFrame([(n,)], "n long")
+
+
+@query("SELECT line FROM (SELECT 'NETDESIGN 1' AS line UNION ALL SELECT 'END' UNION ALL SELECT 'NODES 900' UNION ALL SELECT 'EDGES 1740' UNION ALL SELECT 'PREMISES ' || count(*) FROM premises UNION ALL SELECT prem_id || ' ' || x || ' ' || y || ' ' || units FROM premises "
+       "UNION ALL SELECT n || ' ' || x || ' ' || y FROM swapped UNION ALL SELECT (row_number() OVER (ORDER BY a, b) - 1) || ' ' || a || ' ' || b || ' ' || surface FROM ends)",
+       NETWORK_SQL.rstrip() + ", swapped AS (SELECT node_id, y AS x, x AS y, row_number() OVER (ORDER BY x, y, node_id) - 1 AS n FROM nodes), ends AS (SELECT least(s.n, d.n) AS a, greatest(s.n, d.n) AS b, surface FROM edges JOIN swapped s ON s.node_id = src JOIN swapped d ON d.node_id = dst)")
+def renumbered_lines(net):
+    """Interchange text of the network seen from its side: nodes in (y, x) order, edges by their sorted ends."""
+    from strandplan.sources import interchange
+
+    nodes, edges = interchange.renumbered(net.nodes.select("node_id", F.col("y").alias("x"), F.col("x").alias("y")), net.edges)
+    return interchange.interchange_lines(nodes, edges, net.premises).select("line")
+
+
+BROKEN = NETWORK_SQL.rstrip() + """,
+bad AS (SELECT edge_id, src, CASE WHEN edge_id % 200 = 5 THEN src WHEN edge_id % 300 = 7 THEN 99999 + edge_id ELSE dst END AS dst, CASE WHEN edge_id % 100 = 3 THEN 7 ELSE surface END AS surface FROM edges
+    UNION ALL SELECT 1740 + edge_id // 400, dst, src, surface FROM edges WHERE edge_id % 400 = 11),
+numbered AS (SELECT prem_id, CASE WHEN prem_id % 50 = 1 THEN 0 ELSE units END AS units, row_number() OVER (ORDER BY prem_id) - 1 AS place FROM premises),
+found AS (SELECT 'self_loop' AS rule, count(*) FILTER (src = dst) AS n FROM bad UNION ALL SELECT 'endpoint', count(*) FILTER (dst > 899) FROM bad UNION ALL SELECT 'surface', count(*) FILTER (surface = 7) FROM bad
+    UNION ALL SELECT 'units', count(*) FILTER (units < 1) FROM numbered UNION ALL SELECT 'sequence', count(*) FILTER (prem_id <> place) FROM numbered
+    UNION ALL SELECT 'duplicate_edge', count(*) FROM (SELECT 1 FROM bad GROUP BY least(src, dst), greatest(src, dst) HAVING count(*) > 1))"""
+
+
+@query("SELECT rule, n FROM found WHERE n > 0", BROKEN)
+def interchange_faults(net):
+    """Rules broken by a text with planted loops, lost ends, unknown surfaces, repeated streets and empty premises."""
+    from strandplan.plans.session import shared_path
+    from strandplan.sources import interchange
+
+    e, k = net.edges, F.col("edge_id")
+    dst = F.when(k % 200 == 5, F.col("src")).when(k % 300 == 7, 99_999 + k).otherwise(F.col("dst"))
+    bad = e.select("edge_id", "src", dst.alias("dst"), F.when(k % 100 == 3, 7).otherwise(F.col("surface")).alias("surface"))
+    bad = bad.union(e.where(k % 400 == 11).select(1740 + X.div("edge_id", F.lit(400)), "dst", "src", "surface"))
+    premises = net.premises.withColumn("units", F.when(F.col("prem_id") % 50 == 1, 0).otherwise(F.col("units")))
+    path = shared_path(net.spark, "interchange")
+    lines = interchange.interchange_lines(net.nodes, bad, premises)
+    lines.coalesce(1).sortWithinPartitions("part", "ord").select("line").write.text(path)  # one file is one text
+    return interchange.violations(interchange.read_raw(net.spark, path))
+
+
+PARCELS = """lots AS (SELECT c_custkey::BIGINT AS id, c_custkey % 30 AS i, c_custkey // 30 AS j FROM customer),
+corners AS (SELECT DISTINCT i + u AS x, j + v AS y FROM lots, (SELECT unnest([0, 1]) AS u), (SELECT unnest([0, 1]) AS v)),
+sides AS (SELECT DISTINCT * FROM (SELECT i, j, 0 AS down FROM lots UNION ALL SELECT i, j + 1, 0 FROM lots UNION ALL SELECT i, j, 1 FROM lots UNION ALL SELECT i + 1, j, 1 FROM lots))"""
+
+
+@query("SELECT (SELECT count(*) FROM corners) AS nodes, (SELECT count(*) FROM sides) AS edges, (SELECT count(*) FROM lots) AS premises, 0::BIGINT AS faults", PARCELS)
+def parcel_network(net):
+    """Square lots, one a customer, as GeoJSON features turned into a network: its size, and faults its checks find."""
+    from strandplan.plans import convert
+    from strandplan.sources.geojson import Projection
+
+    i, j = F.col("c_custkey") % 30, X.div("c_custkey", F.lit(30))
+    at = lambda u, v: F.array((i + u) * F.lit(0.0003), (j + v) * F.lit(0.0003))
+    ring = F.to_json(F.array(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0))))
+    features = net.table("customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit(None).cast("string").alias("properties"), F.lit("Polygon").alias("type"), ring.alias("coordinates"))
+    nodes, edges, premises = convert.parcels_to_network(features, Projection(0.0, 0.0, 100_000.0, 100_000.0))
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    faults = convert.checked(nodes, edges, premises).agg(F.sum("n").alias("faults"))
+    return count(nodes, "nodes").crossJoin(count(edges, "edges")).crossJoin(count(premises, "premises")).crossJoin(faults)
+
+
 def queries() -> dict:
     """Query functions by name."""
     return dict(_QUERIES)
