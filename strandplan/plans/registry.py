@@ -630,6 +630,23 @@ def geojson_properties(net):
     return p.select(F.col("premises").alias("prem_id"), "units", F.col("serving_area").alias("area_id"), F.col("terminal").alias("term_id"), "drop_m", "status")
 
 
+HULLS = NETWORK_SQL.rstrip() + """,
+pts AS (SELECT DISTINCT area_id, x, y FROM drops),
+sides AS (SELECT a.area_id, a.x, a.y, b.x - a.x AS ux, b.y - a.y AS uy FROM pts a JOIN pts b ON a.area_id = b.area_id AND (a.x <> b.x OR a.y <> b.y)),
+bad AS (SELECT DISTINCT s.area_id, s.x, s.y, s.ux, s.uy FROM sides s JOIN pts c ON c.area_id = s.area_id AND (s.ux * (c.y - s.y) - s.uy * (c.x - s.x) < 0
+    OR (s.ux * (c.y - s.y) - s.uy * (c.x - s.x) = 0 AND (s.ux * (c.x - s.x) + s.uy * (c.y - s.y) < 0 OR s.ux * (c.x - s.x) + s.uy * (c.y - s.y) > s.ux * s.ux + s.uy * s.uy))))"""
+
+
+@query("SELECT area_id, x, y FROM (SELECT * FROM sides EXCEPT SELECT * FROM bad)", HULLS)
+def hull_corners(net):
+    """Corners of each area's hull: where a side starts that has no premises on its right."""
+    from strandplan.sources import geojson
+
+    h = geojson.area_hulls(net.drops(), "area_id", "x", "y")
+    corner = h.select("area_id", F.explode(F.slice("ring", 1, F.size("ring") - 1)).alias("p"))
+    return corner.select("area_id", F.get("p", F.lit(0)).cast("long").alias("x"), F.get("p", F.lit(1)).cast("long").alias("y"))
+
+
 @query()
 def area_hulls(net):
     from strandplan.sources import geojson
@@ -679,6 +696,21 @@ def town_assignment(net):
     return net.spark.range(1).coalesce(1).mapInArrow(run, "premises long, units long, k long, seeds long, sites long, exact long, cycles long, moved long, stop long")
 
 
+@query("SELECT 9190 AS premises, 9919 AS units, 23 AS areas, true AS in_reach, 'PASS' AS verdict, true AS within_2_percent", "", whole="premises units areas")
+def town_design(net):
+    """The seeded town designed as a whole: sizes, drops in reach, QA, and capex within 2 % of the published 641,851,700 cents."""
+    from strandplan.plans import design
+    from strandplan.sources import town
+
+    nodes, edges, premises = town.town()
+    frame = lambda rows, schema: net.spark.createDataFrame([(0, i, *r) for i, r in enumerate(rows.tolist())], f"network long, {schema}")
+    d = design.design_networks(frame(nodes, "node_id long, x long, y long"), frame(edges, "edge_id long, src long, dst long, surface long"), frame(premises, "prem_id long, x long, y long, units long"))
+    areas, terminals, served, usage, ends = design.one(d)
+    row = served.agg(F.count("*").alias("premises"), F.sum("units").alias("units"), (F.max("drop_m") <= RULES.max_drop_m).alias("in_reach"))
+    row = row.crossJoin(areas.agg(F.count("*").alias("areas"))).crossJoin(provision.qa_verdict(provision.qa(areas, terminals, served, ends)).select("verdict"))
+    return row.crossJoin(provision.bom(areas, terminals, served, usage, ends).agg((F.sum("ext") <= 1.02 * 641_851_700).alias("within_2_percent")))
+
+
 def _solved(net):
     from strandplan.plans import design
 

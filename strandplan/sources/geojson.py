@@ -30,8 +30,8 @@ class Projection:
 def scan_objects(chunks: Iterable[bytes], array: bytes = b'"features"') -> Iterator[bytes]:
     """The objects of an array member of one large JSON object, from chunks of its bytes.
 
-    Braces are counted outside strings only; escapes are respected. No more than one object and one chunk are
-    held, so the file may be of any size.
+    Braces are counted outside strings only; escapes are respected. The scan itself holds no more than one object
+    and one chunk.
     """
     depth, quoted, escaped, inside = 0, False, False, False
     held, seen = bytearray(), bytearray()
@@ -85,7 +85,10 @@ FEATURE = "id string, properties string, geometry struct<type:string,coordinates
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, properties, type, coordinates)`` a row a feature; nested values stay JSON text."""
+    """``(id, properties, type, coordinates)`` a row a feature; nested values stay JSON text.
+
+    Files are read side by side; one file's bytes are one value, so a file is at most 2 GB and fits a task.
+    """
     raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_scan, "feature string")
     f = raw.select(F.from_json("feature", FEATURE).alias("f"))
     return f.select("f.id", "f.properties", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))

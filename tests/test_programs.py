@@ -18,6 +18,11 @@ def test_cli_on_a_town(spark, tmp_path):
     status = cli.run(spark, str(path), str(out), geojson.Projection(-81.9, 26.5, 99_600.0, 110_800.0))
     text = [r["value"] for r in spark.read.text(f"{out}/report").collect()]
     assert status == 0 and "qa verdict: PASS" in text
+    assert [x for x in text if not x.startswith(" ") and x != "qa verdict: PASS"] == ["design:", "utilization:", "bom:", "cost:", "sweeps:", "qa:"]
+    assert any(x.startswith("  head_end 0: node_id=") for x in text) and any(x.startswith("  reach_repair: moves=0 over_before=0 over_after=0") for x in text)
+    told = dict(r["value"].split("=") for r in spark.read.text(f"{out}/score_text").collect())
+    assert told["qa_verdict"] == "PASS" and set(told) == set(score.asDict())
+    assert json.loads(spark.read.text(f"{out}/projection").first()["value"])["lon0"] == -81.9
     score = spark.read.json(f"{out}/score").first()
     assert score["rings"] == 0 and score["capex_cents"] <= 431_500 + 13_800_000
     layer = json.loads("".join(r["value"] for r in spark.read.text(f"{out}/layers/premises").collect()))
@@ -38,3 +43,27 @@ def test_arrivals_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(set(seen)) == sorted((r["prem_id"], r["node_id"]) for r in snapped(rows, nodes).collect())
+
+
+def test_ledger_grows_by_iterations(spark, tmp_path):
+    from strandplan.operators.diagnostics import append_scores
+
+    for k, scores in enumerate(([10, 20], [9, 19], [9, 25])):
+        rows = spark.createDataFrame([(k, f"s{i}", v) for i, v in enumerate(scores)], "iteration long, fixture string, score long")
+        got = append_scores(rows, str(tmp_path / "ledger"))
+    assert sorted((r["iteration"], r["total"], r["change"]) for r in got.collect()) == [(0, 30, None), (1, 28, -2), (2, 34, 6)]
+
+
+def test_scratch_removes_what_was_written_inside(spark, tmp_path):
+    from strandplan.plans import session
+
+    with session.scratch(spark):
+        inner = session.written_at(spark.range(3), "inner")[1]
+        kept = session.written_at(spark.range(3), "kept", str(tmp_path / "kept"))[1]
+        assert session.exists(spark, inner)
+    assert not session.exists(spark, inner) and session.exists(spark, kept)
+    before = spark.conf.get(session.BATCH_ROWS)
+    session.bounded_batches(spark)
+    with session.batches_of(spark, 3):
+        assert spark.conf.get(session.BATCH_ROWS) == "3"
+    assert spark.conf.get(session.BATCH_ROWS) == before and spark.conf.get(session.BATCH_BYTES) == f"{session.BATCH_MB}m"
