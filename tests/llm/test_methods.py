@@ -14,7 +14,7 @@ sys.path.insert(0, __file__.rsplit("/", 2)[0])
 from conftest import SMALL  # noqa: E402
 
 import corpus_pipeline as P  # noqa: E402
-from strandplan.llm import hnsw, licenses, linededup, mixing, toxicity, tsmedia, workers  # noqa: E402
+from strandplan.llm import hnsw, licenses, linededup, mixing, nearcopies, toxicity, tsmedia, workers  # noqa: E402
 
 MASK = (1 << 64) - 1
 
@@ -256,3 +256,45 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert kept == [(1, ""), (4, "one l"), (6, "long "), (7, "anoth"), (7, "é" * 5)]
     assert sum(r["doc_id"] is None for r in left["simhash"]) == 2
     assert len(left["bpe"]) == len(left["mixing"])
+
+
+def test_near_copies_equal_all_pairs(spark):
+    """Groups of the pipeline's near-dedup against every pair, on whole texts with planted near copies."""
+    rng = np.random.default_rng(7)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for k, edits in enumerate((1, 1, 2, 3, 4, 6, 8, 12) * 5):  # chains of copies around the threshold
+        words = texts[k].split()[:150]
+        for at in rng.integers(0, max(1, len(words)), edits):
+            words[at : at + 1] = [f"edit{rng.integers(1000)}"]
+        texts += [" ".join(texts[k].split()[:150]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    rows = {r["key"]: r["component_key"] for r in nearcopies.near_copies(docs).collect()}
+    keyed = docs.select(nearcopies.text_key("text").alias("key"), "text").dropDuplicates(["key"]).collect()
+    sets = [nearcopies.shingle_set(r["text"]) for r in keyed]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i, s in enumerate(sets):
+        both = np.bincount(np.concatenate([holders[x] for x in s]), minlength=len(sets))
+        sizes = np.array([len(x) for x in sets])
+        for j in np.flatnonzero(5 * both >= 4 * (len(s) + sizes - both)).tolist():
+            if j < i:
+                links += 1
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    want = {}
+    for i, r in enumerate(keyed):
+        want.setdefault(root(i), set()).add(r["key"])
+        got.setdefault(rows[r["key"]], set()).add(r["key"])
+    assert links >= 10
+    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values()}
