@@ -130,3 +130,22 @@ def ranked_candidates(points: DataFrame, nodes: DataFrame, key: str, radius: int
     """``within``, with at most the first ``most`` nodes of a point by id, as the packing rule asks."""
     order = Window.partitionBy(key).orderBy("node_id")
     return within(points, nodes, radius).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn").withColumn("dist_m", dist_m("x", "y", "nx", "ny"))
+
+
+def manhattan_costs(points: DataFrame, weight: str, *keys: str) -> DataFrame:
+    """``points`` (with x, y) with ``cost``: the weighted Manhattan distance to all points of the same ``keys``.
+
+    The distance falls apart by axis, so no point meets another: weights are summed per coordinate, running sums
+    over a group's distinct coordinates give each coordinate's cost, and every point looks up its two.
+    """
+
+    def along(axis: str) -> DataFrame:
+        at = points.groupBy(*keys, axis).agg(F.sum(weight).alias("w")).withColumn("wc", F.col("w") * F.col(axis))
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+        below = F.col(axis) * F.sum("w").over(upto) - F.sum("wc").over(upto)
+        above = (F.sum("wc").over(whole) - F.sum("wc").over(upto)) - F.col(axis) * (F.sum("w").over(whole) - F.sum("w").over(upto))
+        return at.select(*keys, axis, (below + above).alias(f"cost_{axis}"))
+
+    priced = points.join(along("x"), [*keys, "x"]).join(along("y"), [*keys, "y"])
+    return priced.withColumn("cost", F.col("cost_x") + F.col("cost_y")).drop("cost_x", "cost_y")

@@ -12,6 +12,7 @@ from strandplan.operators import components as cc
 from strandplan.operators import graph, provision, spatial
 from strandplan.operators.numbering import dense_ids, sums_before
 from strandplan.plans.network import DESIGN_SQL, Network, kept_drops
+from strandplan.plans.session import written
 from strandplan.rules import CABINETS, RULES, TERMINALS
 from strandplan.sources.synthetic import NETWORK_SQL, comb_edges
 
@@ -285,24 +286,19 @@ def transport_arc_costs(net):
 @query("SELECT area_id, node_id, cost FROM (SELECT a.area_id, c.node_id, sum(d.units * (abs(d.nx - c.nx) + abs(d.ny - c.ny)))::BIGINT AS cost, row_number() OVER (PARTITION BY a.area_id ORDER BY sum(d.units * (abs(d.nx - c.nx) + abs(d.ny - c.ny))), c.node_id) AS rn "
        "FROM (SELECT DISTINCT area_id FROM drops) a JOIN (SELECT DISTINCT area_id, node_id, nx, ny FROM drops) c USING (area_id) JOIN drops d USING (area_id) GROUP BY 1, 2) WHERE rn = 1")
 def area_medoids(net):
-    """Unit-weighted medoid of each area over its own nodes; loads are summed per node before they meet."""
-    d = kept_drops(net)
-    load = d.groupBy("area_id", "node_id", "nx", "ny").agg(F.sum("units").alias("units"))
-    site = load.select("area_id", F.col("node_id").alias("site"), F.col("nx").alias("sx"), F.col("ny").alias("sy"))
-    cost = F.sum(F.col("units") * (F.abs(F.col("nx") - F.col("sx")) + F.abs(F.col("ny") - F.col("sy"))))
-    priced = load.join(site, "area_id").groupBy("area_id", "site").agg(cost.alias("cost"))
-    return priced.groupBy("area_id").agg(F.min(F.struct("cost", "site")).alias("m")).select("area_id", F.col("m.site").alias("node_id"), "m.cost")
+    """Unit-weighted medoid of each area over its own nodes; costs come by axis, so no node meets another."""
+    load = net.drops().groupBy("area_id", "node_id", F.col("nx").alias("x"), F.col("ny").alias("y")).agg(F.sum("units").alias("units"))
+    priced = spatial.manhattan_costs(written(load, "loads"), "units", "area_id")
+    return priced.groupBy("area_id").agg(F.min(F.struct("cost", "node_id")).alias("m")).select("area_id", F.col("m.node_id").alias("node_id"), "m.cost")
 
 
 @query("SELECT node_id FROM (SELECT a.fdh_node AS node_id, row_number() OVER (ORDER BY sum(b.splitters * (abs(a.fdh_node % 30 - b.fdh_node % 30) + abs(a.fdh_node // 30 - b.fdh_node // 30))), a.fdh_node) AS rn FROM area a, area b GROUP BY 1) WHERE rn = 1", DESIGN)
 def head_end_median(net):
-    """Splitter-weighted median over cabinet sites; as many rows as areas on either side."""
-    a = provision.provision_areas(net.areas(net.drops())).select("fdh_node", "splitters")
-    b = a.select(F.col("fdh_node").alias("to_node"), "splitters")
-    way = F.abs(F.col("fdh_node") % 30 - F.col("to_node") % 30) + F.abs(X.div("fdh_node", F.lit(30)) - X.div("to_node", F.lit(30)))
-    sites = a.select("fdh_node").withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k")
-    cost = sites.groupBy("fdh_node").agg(F.sum(F.col("splitters") * way).alias("cost"))
-    return cost.agg(F.min(F.struct("cost", "fdh_node")).alias("m")).select(F.col("m.fdh_node").alias("node_id"))
+    """Splitter-weighted median over cabinet sites, by axis; the running sums hold a row a column of cabinets."""
+    a = provision.provision_areas(net.areas(net.drops()))
+    a = a.select("fdh_node", "splitters", (F.col("fdh_node") % 30).alias("x"), X.div("fdh_node", F.lit(30)).alias("y"), F.lit(0).alias("field"))
+    priced = spatial.manhattan_costs(written(a, "sites"), "splitters", "field")
+    return priced.agg(F.min(F.struct("cost", "fdh_node")).alias("m")).select(F.col("m.fdh_node").alias("node_id"))
 
 
 @query("SELECT node_id, prem_id, k, prefix_m FROM (SELECT node_id, prem_id, row_number() OVER w AS k, sum(floor(sqrt(sq))::BIGINT) OVER (PARTITION BY node_id ORDER BY floor(sqrt(sq)), prem_id ROWS UNBOUNDED PRECEDING)::BIGINT AS prefix_m FROM "
