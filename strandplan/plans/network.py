@@ -6,6 +6,8 @@ by ten nodes are serving areas. It is derived by integers alone, so every query
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,24 @@ class Network:
         return joined.select("edge_id", "src", "dst", "len_m", "surface", ((d > 0) | (f > 0)).alias("trench"), d.alias("dist_fibers"), f.alias("feeder_fibers"))
 
 
+class Roads:
+    """A street grid that grows with the input: as many nodes as customers, who are its premises, at one density."""
+
+    def __init__(self, net: Network):
+        self.w = max(12, isqrt(max(0, net.table("customer").count() - 1)) + 1)
+        self.nodes = synthetic.grid_nodes(net.spark, self.w, self.w)
+        self.edges = synthetic.grid_edges(net.spark, self.w, self.w)
+        self.premises = synthetic.customer_premises(net.table("customer"), self.w, self.w)
+
+    @property
+    def lengths(self) -> DataFrame:
+        return graph.edge_lengths(self.edges, self.nodes)
+
+    def comb(self, net: Network) -> DataFrame:
+        """The tree of the first row and all columns, rooted in the first node."""
+        return graph.rooted_tree(graph.edge_lengths(synthetic.comb_edges(net.spark, self.w, self.w), self.nodes), 0)
+
+
 def fdh_node(area):
     """The middle node of an area's tile."""
     area = F.col(area) if isinstance(area, str) else area

@@ -11,10 +11,10 @@ from strandplan.functions import exprs as X
 from strandplan.operators import components as cc
 from strandplan.operators import graph, provision, spatial
 from strandplan.operators.numbering import dense_ids, sums_before
-from strandplan.plans.network import DESIGN_SQL, Network, kept_drops
+from strandplan.plans.network import DESIGN_SQL, Network, Roads, kept_drops
 from strandplan.plans.session import written
 from strandplan.rules import CABINETS, RULES, TERMINALS
-from strandplan.sources.synthetic import NETWORK_SQL, comb_edges
+from strandplan.sources.synthetic import NETWORK_SQL, ROADS_SQL, comb_edges
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -160,6 +160,58 @@ def key_nodes(net):
     return graph.key_nodes(comb_edges(net.spark), net.terminals(net.drops()).where("used = 12"))
 
 
+# --- a street network that grows with the input ---------------------------------------------------------------
+
+
+@query("SELECT count(*) AS edges, (SELECT count(*) FROM nodes) AS nodes, 1::BIGINT AS components, count(*) - (SELECT count(*) FROM nodes) + 1 AS rings FROM ends", ROADS_SQL)
+def road_rings(net):
+    return graph.cycle_count(Roads(net).edges)
+
+
+@query("SELECT node_id, abs(col - w // 2) * 100 + abs(row - w // 2) * 100 AS dist FROM nodes", ROADS_SQL)
+def road_distances(net):
+    """From the middle of the network to every node."""
+    r = Roads(net)
+    start = net.spark.range(1).select(F.lit(0).alias("source"), F.lit(r.w // 2 * r.w + r.w // 2).cast("long").alias("node_id"))
+    return graph.shortest_paths(r.lengths, start, F.col("len_m")).select("node_id", "dist")
+
+
+NEAR_STARTS = ROADS_SQL.rstrip() + ", starts AS (SELECT s_suppkey AS source, s_suppkey * 37 % (w * w) % w AS col, s_suppkey * 37 % (w * w) // w AS row FROM supplier, dim)"
+
+
+@query("SELECT source, node_id, (abs(n.col - s.col) + abs(n.row - s.row)) * 100 AS dist FROM starts s JOIN nodes n ON n.col BETWEEN s.col - 6 AND s.col + 6 AND abs(n.col - s.col) + abs(n.row - s.row) <= 6", NEAR_STARTS)
+def road_reach(net):
+    """What each supplier reaches within 600 m, relaxed in rounds as on a network too large for a task."""
+    r = Roads(net)
+    start = net.table("supplier").select(F.col("s_suppkey").cast("long").alias("source"), (F.col("s_suppkey") * 37 % (r.w * r.w)).cast("long").alias("node_id"))
+    return graph.relaxed_paths(r.lengths, start, F.col("len_m"), limit=600).select("source", "node_id", "dist")
+
+
+@query("SELECT node_id, min(node_id) OVER (PARTITION BY row // 10, col // 10) AS component FROM nodes", ROADS_SQL)
+def road_blocks(net):
+    """Components by contraction once the streets between tiles of ten by ten nodes are cut."""
+    r = Roads(net)
+    tile = lambda n: F.struct(X.div(X.div(n, F.lit(r.w)), F.lit(10)), X.div(F.col(n) % r.w, F.lit(10)))
+    kept = r.edges.where(tile("src") == tile("dst"))
+    found = cc.connected_components(kept, "src", "dst")
+    return r.nodes.select("node_id").join(found, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+
+
+@query("SELECT prem_id, node_id, sq, floor(sqrt(sq))::BIGINT AS drop_m FROM snap", ROADS_SQL)
+def road_snap(net):
+    r = Roads(net)
+    return longs(spatial.nearest(r.premises, r.nodes, "prem_id"))
+
+
+@query("SELECT node_id, CASE WHEN row = 0 THEN coalesce((SELECT sum(units) FROM snap s WHERE s.col >= n.col), 0) ELSE coalesce((SELECT sum(units) FROM snap s WHERE s.col = n.col AND s.row >= n.row), 0) END::BIGINT AS total FROM nodes n", ROADS_SQL)
+def road_loads(net):
+    """Units behind each node of the comb, by pointer doubling."""
+    r = Roads(net)
+    at = spatial.nearest(r.premises, r.nodes, "prem_id").select("prem_id", "node_id")
+    load = r.premises.join(at, "prem_id").groupBy("node_id").agg(F.sum("units").alias("value"))
+    return graph.subtree_sums(r.comb(net), load)
+
+
 # --- spatial joins --------------------------------------------------------------------------------------------
 
 

@@ -73,3 +73,18 @@ terminals AS (SELECT node_id * 1000 + batch AS term_id, node_id, area_id, count(
 elen AS (SELECT edge_id, src, dst, surface, floor(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))::BIGINT AS len_m, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_
     FROM edges JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst)
 """
+
+#: A grid as SQL whose side ``w`` grows with the customers, its comb and its premises, for oracles.
+ROADS_SQL = """
+dim AS (SELECT greatest(12, ceil(sqrt(count(*))))::BIGINT AS w FROM customer),
+nodes AS (SELECT i AS node_id, i % w AS col, i // w AS row, i % w * 100 AS x, i // w * 100 AS y, w FROM dim, (SELECT unnest(range(0, (SELECT w * w FROM dim))) AS i)),
+ends AS (SELECT i AS edge_id, i // (w - 1) * w + i % (w - 1) AS src, i // (w - 1) * w + i % (w - 1) + 1 AS dst FROM dim, (SELECT unnest(range(0, (SELECT (w - 1) * w FROM dim))) AS i)
+  UNION ALL SELECT (w - 1) * w + i, i, i + w FROM dim, (SELECT unnest(range(0, (SELECT (w - 1) * w FROM dim))) AS i)),
+slots AS (SELECT c_custkey AS prem_id, w, w * (w - 1) AS across, c_custkey * 7919 % (2 * w * (w - 1)) AS e, 25 + c_custkey * 31 % 51 AS along, CASE WHEN c_custkey % 2 = 0 THEN 16 ELSE -16 END AS off,
+    CASE WHEN c_custkey % 17 = 0 THEN 4 + c_nationkey % 13 ELSE 1 END AS units FROM customer, dim),
+premises AS (SELECT prem_id, units, CASE WHEN e < across THEN e % (w - 1) * 100 + along ELSE (e - across) % w * 100 + off END AS x,
+    CASE WHEN e < across THEN e // (w - 1) * 100 + off ELSE (e - across) // w * 100 + along END AS y FROM slots),
+snap AS (SELECT p.prem_id, p.x, p.y, p.units, n.node_id, n.row, n.col, n.w, n.x AS nx, n.y AS ny, (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y) AS sq FROM premises p
+    JOIN nodes n ON n.x BETWEEN p.x - 100 AND p.x + 100 AND n.y BETWEEN p.y - 100 AND p.y + 100
+    QUALIFY row_number() OVER (PARTITION BY p.prem_id ORDER BY (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y), n.node_id) = 1)
+"""
