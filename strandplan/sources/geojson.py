@@ -6,11 +6,11 @@ import json
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandplan.functions.exprs import unproject
+from strandplan.plans.session import written
 
 
 @dataclass(frozen=True)
@@ -67,29 +67,84 @@ def scan_objects(chunks: Iterable[bytes], array: bytes = b'"features"') -> Itera
                 return
 
 
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
-            data = content.as_py()
-            rows: list[str] = []
-            for obj in scan_objects(data[i : i + (1 << 16)] for i in range(0, len(data), 1 << 16)):
-                rows.append(obj.decode())
-                if len(rows) == 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows)], names=["feature"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows)], names=["feature"])
+#: A piece of JSON text that starts outside strings, up to its next brace that opens outside strings.
+_LEAD = r'[^"{]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"{]*+)*+'
+#: The rest of a string that a piece starts in.
+_INSIDE = r'(?s)^[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def _braces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The text of files cut after each closing brace, with what a piece does to the depth of braces.
+
+    ``path, split, at`` is the order; ``quotes`` the quotation marks that count, ``quoted`` how many of them the
+    split holds before the piece. ``opens0, step0`` are the braces opened and the change of depth if the piece
+    starts outside a string, ``opens1, step1`` if inside one.
+    """
+    raw = spark.read.text(path, lineSep="}").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text")
+    )
+    plain = F.regexp_replace("text", r"(?s)\\.", "")
+    outside = F.regexp_replace("plain", '"[^"]*("|$)', "")
+    after = F.regexp_replace(F.regexp_replace("plain", '^[^"]*("|$)', ""), '"[^"]*("|$)', "")
+    raw = raw.withColumn("plain", plain).withColumns({"quotes": F.length("plain") - F.length(F.replace("plain", F.lit('"'), F.lit(""))), "opens0": _braces(outside), "opens1": _braces(after)})
+    raw = raw.withColumns({"step0": F.col("opens0") - F.when(F.col("quotes") % 2 == 0, 1).otherwise(0), "step1": F.col("opens1") - F.when(F.col("quotes") % 2 == 1, 1).otherwise(0)})
+    before = Window.partitionBy("path", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return raw.drop("plain").withColumn("quoted", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
+
+
+def _objects(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, number, feature)``: the texts of the objects in the top-level array ``features``, numbered by file."""
+    within = Window.partitionBy("path", "split").orderBy("at")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    pieces = written(_pieces(spark, path), "pieces")
+
+    # A row a split: whether it starts inside a string, then how deep.
+    odd = F.col("quoted") % 2 == 1
+    splits = pieces.groupBy("path", "split").agg(
+        F.sum("quotes").alias("quotes"), F.sum(F.when(odd, F.col("step1")).otherwise(F.col("step0"))).alias("out"), F.sum(F.when(odd, F.col("step0")).otherwise(F.col("step1"))).alias("in")
+    ).withColumn("started", base("quotes") % 2)
+    splits = splits.withColumn("steps", F.when(F.col("started") == 1, F.col("in")).otherwise(F.col("out"))).withColumn("deep", base("steps"))
+    placed = pieces.join(splits.select("path", "split", "started", "deep"), ["path", "split"])
+    inside = (F.col("started") + F.col("quoted")) % 2 == 1
+    placed = placed.withColumns({"inside": inside, "opens": F.when(inside, F.col("opens1")).otherwise(F.col("opens0")), "step": F.when(inside, F.col("step1")).otherwise(F.col("step0"))})
+    placed = placed.withColumn("depth", F.col("deep") + F.coalesce(F.sum("step").over(before), F.lit(0)))
+
+    # Where an object of depth 2 starts, what stands before it says whether it is in the array, in another, or follows one.
+    starts = (F.col("depth") < 2) & (F.col("depth") + F.col("opens") >= 2)
+    clear = F.when(F.col("inside"), F.regexp_replace("text", _INSIDE, "")).otherwise(F.col("text"))
+    body = F.when(F.col("depth") == 1, F.regexp_replace("clear", rf"(?s)^{_LEAD}(?=\{{)", "")).otherwise(F.regexp_replace("clear", rf"(?s)^{_LEAD}\{{{_LEAD}(?=\{{)", ""))
+    lead = F.expr("substring(clear, 1, length(clear) - length(body))")
+    kind = F.when(lead.rlike(r'"features"\s*:\s*\[\s*$'), 1).when(~lead.rlike(r"^\s*,\s*$"), 0)
+    parts = placed.where(F.col("depth") + F.col("opens") >= 2).withColumn("starts", starts.cast("int"))
+    parts = parts.withColumn("clear", F.when(F.col("starts") == 1, clear)).withColumn("body", F.when(F.col("starts") == 1, body))
+    parts = parts.select("path", "split", "at", "starts", F.when(F.col("starts") == 1, kind).alias("kind"), F.coalesce("body", "text").alias("text"))
+    parts = parts.withColumns({"nth": F.sum("starts").over(within), "kind": F.last("kind", True).over(within)})
+    parts = written(parts, "parts")
+    splits = parts.groupBy("path", "split").agg(F.sum("starts").alias("starts"), F.max_by("kind", "at").alias("last"))
+    splits = splits.select("path", "split", base("starts").alias("first"), F.last("last", True).over(earlier).alias("going"))
+    parts = parts.join(splits, ["path", "split"]).where(F.coalesce("kind", "going") == 1).withColumn("number", F.col("first") + F.col("nth"))
+    # A split's parts come in order within it, and splits in order within an object.
+    texts = F.array_sort(F.collect_list(F.struct("split", "at", "text")))
+    return parts.groupBy("path", "number").agg(texts.alias("p")).select("path", "number", F.array_join(F.transform("p", lambda p: F.concat(p["text"], F.lit("}"))), "").alias("feature"))
 
 
 FEATURE = "id string, properties string, geometry struct<type:string,coordinates:string>"
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, properties, type, coordinates)`` a row a feature; nested values stay JSON text.
+    """``(id, properties, type, coordinates)`` a row a feature, in the order of the files; nested values stay JSON text.
 
-    Files are read side by side; one file's bytes are one value, so a file is at most 2 GB and fits a task.
+    Files of any size are read in splits, side by side: a split's pieces are cut at closing braces, and running sums
+    of quotation marks and braces, split by split, say which of them are one feature. No more than a split or a
+    feature meets in a task. A file that breaks off inside a feature gives what there is of it.
     """
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_scan, "feature string")
+    raw = _objects(spark, path).orderBy("path", "number")
     f = raw.select(F.from_json("feature", FEATURE).alias("f"))
     return f.select("f.id", "f.properties", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))
 

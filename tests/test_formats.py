@@ -74,6 +74,36 @@ def test_features_rings_and_parcels(spark, tmp_path):
     assert [(round(r["lon"], 6), round(r["lat"], 6)) for r in p] == [(0.0005, 0.0005), (0.0015, 0.0005)]
 
 
+AWKWARD = {
+    "type": "FeatureCollection", "name": "a } in { text, \"features\": [{", "crs": {"type": "name", "properties": {"name": "x"}}, "other": [{"type": "Feature", "id": "no"}, {"id": "no2"}],
+    "features": [
+        {"type": "Feature", "id": str(i), "properties": {"t": '}{"\\' * (i % 5) + "\u00e9[,]" * (i % 3), "deep": {"er": [{"e": i}, {}]}}, "geometry": {"type": "Point", "coordinates": [i, -i]}} for i in range(300)
+    ],
+    "last": [{"id": "no3"}], "foot": {"id": "no4"},
+}
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("size", [None, "64", "1k"])
+def test_features_across_splits(spark, tmp_path, indent, size):
+    """Texts full of braces and quotes, objects elsewhere, and splits that fall anywhere; two files and an empty array."""
+    whole = dict(AWKWARD, features=AWKWARD["features"][:8]) if size == "64" else AWKWARD  # every split is a task
+    for name in "ab":
+        (tmp_path / f"{name}.geojson").write_text(json.dumps(whole, indent=indent, ensure_ascii=indent is None) + "\n")
+    (tmp_path / "c.geojson").write_text('{"features": [], "rest": [{"id": "no"}]}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if size:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = geojson.read_features(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = whole["features"]
+    assert [r["id"] for r in got] == [f["id"] for f in want] * 2
+    assert [json.loads(r["properties"]) for r in got] == [f["properties"] for f in want] * 2
+    assert [json.loads(r["coordinates"]) for r in got] == [f["geometry"]["coordinates"] for f in want] * 2
+
+
 def test_parcels_to_network(spark, tmp_path):
     path = tmp_path / "f.geojson"
     path.write_text(json.dumps(FEATURES))
