@@ -39,3 +39,16 @@ def dense_ids(df: DataFrame, *order, name: str = "id", start: int = 0) -> DataFr
     ranges = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     joined = placed.join(F.broadcast(ranges.select("_part", "_first")), "_part")  # a row a partition
     return joined.withColumn(name, F.col("_first") + F.col("_at") + start).drop("_part", "_at", "_first")
+
+
+def places_in(df: DataFrame, group: str, *order, name: str = "place") -> DataFrame:
+    """``df`` with ``name``: each row's place, from 1, among the rows of its ``group`` (never null) in a total order.
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread over tasks; a row's place is
+    its distance from the group's first row of the range plus the group's rows of the ranges before.
+    """
+    placed = _dealt(df, F.col(group), *order)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = placed.groupBy(group, "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    joined = placed.join(spans.select(group, "_part", "_from", "_first"), [group, "_part"])
+    return joined.withColumn(name, F.col("_first") + F.col("_at") - F.col("_from") + 1).drop("_part", "_at", "_from", "_first")
