@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandplan.llm import bpe, convtrie, hnsw, licenses, linededup, mixing, secrets, simhash, toxicity, tsmedia, warc
+from strandplan.llm import bpe, convtrie, hnsw, lexical, licenses, linededup, mixing, secrets, simhash, toxicity, tsmedia, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,15 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity, op9_hnsw, op10_transport_stream, op11_conversation_trie)}
+    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity, op9_hnsw, op10_transport_stream, op11_conversation_trie, op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express."""
-    return {"op1_secrets": secrets.op1_sql(), "op3_warc": warc.op3_sql(), "op6_mixing": mixing.op6_sql(), "op7_line_dedup": linededup.op7_sql(), "op11_conversation_trie": convtrie.op11_sql()}
+    return {"op1_secrets": secrets.op1_sql(), "op3_warc": warc.op3_sql(), "op6_mixing": mixing.op6_sql(), "op7_line_dedup": linededup.op7_sql(), "op11_conversation_trie": convtrie.op11_sql(), "op12_lexical_search": lexical.op12_sql()}
