@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandplan.llm import bpe, convtrie, hnsw, lexical, licenses, linededup, mixing, secrets, simhash, toxicity, tsmedia, warc
+from strandplan.llm import bpe, convtrie, hnsw, lexical, licenses, linededup, mixing, secrets, simhash, toxicity, tsmedia, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +73,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(urls.url_scores(_table(spark, sf_dir, "pages"))).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict:
     """Query functions by name."""
-    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity, op9_hnsw, op10_transport_stream, op11_conversation_trie, op12_lexical_search)}
+    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_warc, op4_bpe, op5_simhash, op6_mixing, op7_line_dedup, op8_toxicity, op9_hnsw, op10_transport_stream, op11_conversation_trie, op12_lexical_search, op13_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
