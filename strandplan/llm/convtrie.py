@@ -88,7 +88,8 @@ def _split(live: DataFrame, last: int) -> DataFrame:
     walked = walked.select("conv_id", "before", "turns", F.col("step.depth").alias("depth"), F.col("step.chars").alias("chars"), F.get("keys", F.col("at") + 1).alias("key"))
     walked = written(walked, "trie-walk")
     classes = walked.groupBy("depth", "key").agg(F.min("conv_id").alias("label"), F.count("*").alias("n"), F.sum((F.col("turns") == F.col("depth")).cast("long")).alias("ended"))
-    placed = walked.join(classes, ["depth", "key"])
+    # Written, so that the join stands between two plain exchanges and adaptive execution can split a class that holds most rows.
+    placed = walked.join(written(classes, "trie-classes"), ["depth", "key"])
     parent = F.coalesce(F.lag("label").over(Window.partitionBy("conv_id").orderBy("depth")), F.col("before"))
     return placed.select("conv_id", "depth", "label", "n", "ended", "chars", "turns", parent.alias("parent"))
 
