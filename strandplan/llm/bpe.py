@@ -19,9 +19,10 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from strandplan.llm import workers
+from strandplan.llm.columns import kept_as, named
 from strandplan.plans.session import bounded_batches
 
 DEFAULT = "byte_bpe_50k.json"
@@ -202,8 +203,8 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
 
 #: What encoding can return, as (Spark type, Arrow type).
 OUTPUTS = {
-    "n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()),
-    "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()),
+    "n_tokens": (LongType(), pa.int64()), "ids": (ArrayType(IntegerType()), pa.list_(pa.int32())), "decoded": (StringType(), pa.string()),
+    "ids_sha256": (StringType(), pa.string()), "decoded_sha256": (StringType(), pa.string()),
 }
 
 
@@ -235,10 +236,14 @@ def encode_texts(
 
     Strings of special tokens in a text become their ids, as the vocabulary file asks. Null texts are empty: no
     ids, an empty text. Rows repeat as given and no other column is read. No shuffle: a task keeps what it has
-    encoded, within a bound. The vocabulary file, of fixed size, is read on the driver and broadcast.
+    encoded, within a bound. The vocabulary file, of fixed size, is read on the driver and broadcast. A kept column
+    that has the name of an output comes back as that name with ``_kept``; names may hold any character. Texts may
+    have any length; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     with open(path or public_tokenizers.path(DEFAULT), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{o} {OUTPUTS[o][0]}" for o in outputs]
-    return docs.select(*keep, F.col(text_col).alias("_encoded")).mapInArrow(_coder(spec, tuple(outputs)), ", ".join(schema))
+    # Names with dots don't pass through Arrow operators, so kept columns are numbered on the way.
+    schema = StructType([StructField(f"_keep_{k}", docs.schema[c].dataType) for k, c in enumerate(keep)] + [StructField(o, OUTPUTS[o][0]) for o in outputs])
+    rows = docs.select(*[named(c).alias(f"_keep_{k}") for k, c in enumerate(keep)], named(text_col).alias("_encoded"))
+    return rows.mapInArrow(_coder(spec, tuple(outputs)), schema).toDF(*[kept_as(c, outputs) for c in keep], *outputs)
