@@ -18,6 +18,11 @@ from strandplan.llm import licenses, tsmedia  # noqa: E402
 ODD = [None, "", " ", "\n", "a", "A" * 30, "x\n" * 40, "password=abc token: 'abcdefg' AKIA" + "Z9" * 10 + " " + "deadbeef" * 5, "é" * 40 + "\nüÜ straße\n" + "line of ten or more\n" * 3,
        "Licensed under the Apache License, Version 2.0.\ncc by nc Released under the MIT License.", "<|endoftext|> a<|endoftext|>", "long " * 30_000, "same text here for two", "same text here for two"]
 
+#: Null turns, roles and texts, ties, repeated rows, a long copy, a null and a negative conversation.
+TURNS = [(0, t, "user", f"turn {t}", 1, "x") for t in range(90)] + [(100, t, "user", f"turn {t}", 1, "x") for t in range(90)] + [(c, t, "user", f"turn {t}" if t < 70 else f"{c} goes on", 1, "x") for c in (1, 2, 103) for t in range(72)]
+TURNS += [(7, None, None, None, 1, "x"), (7, None, "user", None, 1, "x"), (7, 3, "a", "b" * 40_000, 1, "x"), (7, 3, "a", "b" * 40_000, 1, "x"), (7, 3, "", "tie", 1, "x"), (None, 1, "user", "no conversation", 1, "x"), (-5, 1, "user", "turn 0", 1, "x"), (205, 1, "user", "base is absent", 1, "x"), (300, 0, "", "", 1, "x"), (301, 0, None, None, 1, "x")]
+ITEMS = [(0, "Same TEXT here", 1, 0.5), (0, "two two", 1, 0.5), (1, None, 1, 0.5), (2, " \n", 1, 0.5), (3, "nothing that stands anywhere zzqy", 1, 0.5), (4, "straße üü x long 2.0 " * 9_000, 1, 0.5), (None, "line of mine", 1, 0.5)]
+
 
 @pytest.fixture(scope="module")
 def odd_dir(spark, tmp_path_factory):
@@ -31,20 +36,22 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame([*pages, pages[3]], "page_id long, url string, html string, digest string").write.parquet(f"{d}/pages.parquet")
     vectors = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [0.5, 0.5]), (8, [3.0, 0.1]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (9, [0.1, 0.0]), (40, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     spark.createDataFrame([(i, v, 0, 1.0) for i, v in vectors], "vec_id long, embedding array<double>, label int, score double").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string, depth int, label string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string, rank int, score double").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "conversations", "benchmark"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{d}/{name}.parquet")
     return d
 
 
 def odd_duck(odd_dir, duck_module):
     c = duck_module.connect()
-    for name in ("documents", "labels", "pages"):
+    for name in ("documents", "labels", "pages", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{odd_dir}/{name}.parquet/*.parquet'")
     return c
 
@@ -54,7 +61,7 @@ def test_sql(spark, duck, name):
     same(Q.queries()[name](spark, SMALL), duck, Q.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["op1_secrets", "op3_warc", "op6_mixing"])
+@pytest.mark.parametrize("name", ["op1_secrets", "op3_warc", "op6_mixing", "op11_conversation_trie", "op12_lexical_search"])
 def test_sql_on_odd_rows(spark, odd_dir, name):
     import duckdb
 
@@ -69,10 +76,10 @@ def test_empty_tables(spark, empty_dir, name):
     assert Q.queries()[name](spark, empty_dir).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(Q.queries()))
+@pytest.mark.parametrize("name", sorted(set(Q.queries()) - {"op11_conversation_trie", "op12_lexical_search"}))
 def test_odd_rows_keep_their_number(spark, odd_dir, name):
     n = Q.queries()[name](spark, odd_dir).count()
-    assert n == {"op3_warc": 10, "op9_hnsw": 2 * 6}.get(name, len(ODD) + 1)
+    assert n == {"op3_warc": 10, "op9_hnsw": 2 * 6, "op13_url_filters": 10}.get(name, len(ODD) + 1)
 
 
 def texts(duck):
@@ -267,6 +274,8 @@ def test_toxicity_held_out(spark, duck):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
     assert np.mean([r["predicted"] == label[r["doc_id"]] for r in held]) > 0.95
+    toxic = [r for r in held if label[r["doc_id"]] == 1]
+    assert len(toxic) > 50 and np.mean([r["predicted"] for r in toxic]) > 0.85
     clean = [r for r in held if label[r["doc_id"]] == 0]
     assert np.mean([r["predicted"] for r in clean]) < 0.01
 
@@ -359,8 +368,14 @@ def test_null_ids_and_all_null_columns(spark, tmp_path):
     spark.createDataFrame([(None, None, None), (5, None, 1), (6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(None, None, None), (None, "u", "x" * 200), (3, None, "x" * 200)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     spark.createDataFrame([(None, None, None)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(None, None, None, None), (4, None, None, None), (None, 1, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(None, "mine alone"), (None, None), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    # The root and one turn; the four documents with words for the item without an id.
+    number = {"op3_warc": 3, "op9_hnsw": 0, "op11_conversation_trie": 2, "op12_lexical_search": 4, "op13_url_filters": 3}
     for name, f in Q.queries().items():
-        assert f(spark, d).count() == {"op3_warc": 3, "op9_hnsw": 0}.get(name, 5), name
+        assert f(spark, d).count() == number.get(name, 5), name
+    ranked = [(r["item_id"], r["rank"], r["doc_id"]) for r in Q.op12_lexical_search(spark, d).orderBy("rank").collect()]
+    assert ranked == [(None, 1, 5), (None, 2, 6), (None, 3, None), (None, 4, None)]
     near = {(r["doc_id"], r["component_id"]) for r in Q.op5_simhash(spark, d).collect()}
     assert near == {(None, 5), (5, 5), (6, 5), (None, None)}
     dropped = {(r["doc_id"], r["n_dropped"]) for r in Q.op7_line_dedup(spark, d).collect()}

@@ -298,3 +298,40 @@ def test_near_copies_equal_all_pairs(spark):
         got.setdefault(rows[r["key"]], set()).add(r["key"])
     assert links >= 10
     assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values()}
+
+
+def test_kept_columns_of_any_name(spark):
+    """Names of results, dots and backticks: nothing is lost and nothing stands twice."""
+    from strandplan.llm.bpe import encode_texts
+    from strandplan.llm.mixing import mix
+
+    rows = [(i, "some words here", "s", 7 * i, "x", None) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, `a.b` string, `n_tokens` int")
+    mixed = mix(docs, keep=("size", "a.b", "text"))
+    assert mixed.columns == ["doc_id", "source", "size", "source_size", "target", "copies", "size_kept", "a.b", "text"]
+    assert {(r["doc_id"], r["size"], r["size_kept"]) for r in mixed.collect()} == {(i, 3, 7 * i) for i in range(4)}
+    coded = encode_texts(docs, keep=("doc_id", "n_tokens", "a.b"))
+    assert coded.columns == ["doc_id", "n_tokens_kept", "a.b", "n_tokens", "ids", "decoded"]
+    assert all(r["decoded"] == "some words here" and r["a.b"] == "x" for r in coded.collect())
+
+
+def test_source_targets_over_many_sources(spark):
+    """As many sources as ranges can hold: the level by ranges equals the level found one by one."""
+    from strandplan.llm.mixing import MOST, WEIGHTS, source_targets
+
+    sizes = {f"s{i:04d}": (i * 7919) % 1000 + (50_000 if i == 3 else 0) for i in range(400)} | {None: 31}
+    got = {r["source"]: (r["target"], r["rate"]) for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: WEIGHTS[i % len(WEIGHTS)] for i, s in enumerate(order)}
+    full, want = set(), {}
+    while True:
+        rest = sum(sizes.values()) - MOST * sum(sizes[s] for s in full)
+        share = rest / sum(weight[s] for s in sizes if s not in full)
+        over = {s for s in sizes if s not in full and weight[s] * share > MOST * sizes[s]}
+        if not over:
+            break
+        full |= over
+    for s in sizes:
+        want[s] = MOST * sizes[s] if s in full else weight[s] * share
+        assert abs(got[s][0] - want[s]) <= 1e-6 * max(1, want[s]), s
+        assert got[s][1] == (0.0 if not sizes[s] else min(got[s][0] / sizes[s], float(MOST)))
