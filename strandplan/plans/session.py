@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,27 +34,36 @@ def shared_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; an open ``scratch`` block removes it at its end."""
     path = f"{shared_root(spark)}/strandplan/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    mine = _session(spark)
+    for session, paths in reversed(_scopes.get()):
+        if session == mine:
+            paths.append(path)
+            break
     return path
 
 
-#: The paths handed out in each open ``scratch`` block, innermost last.
-_scopes: list[list[str]] = []
+#: (session, paths handed out) of each open ``scratch`` block of this thread of control, innermost last.
+_scopes: ContextVar[tuple[tuple[str, list[str]], ...]] = ContextVar("scopes", default=())
+
+
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, all tables written inside the block.
+    """Removes, at its end, all tables that this thread wrote for this session inside the block.
 
     A frame made inside reads those tables, so what is wanted of it is written or collected before the end; a
-    path taken outside the block stays.
+    path taken outside the block, by another thread or for another session stays.
     """
-    _scopes.append([])
+    paths: list[str] = []
+    before = _scopes.set((*_scopes.get(), (_session(spark), paths)))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(before)
+        for path in paths:
             remove(spark, path)
 
 
