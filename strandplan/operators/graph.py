@@ -80,82 +80,167 @@ def _small(edges: DataFrame, weight: Column, most: int):
     return edges.sparkSession.sparkContext.broadcast(rows.toPandas().to_numpy(np.int64))
 
 
-def _label(near, starts, limit):
-    """(distance, predecessor, edge) by node; ties to the lower predecessor, then the lower edge."""
-    best = dict.fromkeys(starts, (0, -1, -1))
-    heap = [(0, s) for s in starts]
+#: One label of a search: what it costs, how many streets it takes, whose start it comes from, and the last step (-1: a start).
+RANK = ("dist", "hops", "owner", "prev", "prev_edge")
+
+
+def label_nodes(near, starts, limit) -> dict[int, tuple[int, int, int, int, int]]:
+    """``RANK`` by node from ``starts`` (node, *RANK); the least label wins in every part, in this order.
+
+    Distance first, then hops, then the lower owner, then the lower predecessor, then the lower edge. Hops grow
+    along a path even where streets weigh nothing, so predecessors lead back to a start.
+    """
+    best: dict[int, tuple] = {}
+    heap = []
+    for node, *label in starts:
+        label = tuple(label)
+        if node not in best or label < best[node]:
+            best[node] = label
+            heap.append((*label[:3], node))
     heapq.heapify(heap)
     done = set()
     while heap:
-        d, u = heapq.heappop(heap)
+        *_, u = heapq.heappop(heap)
         if u in done:
             continue
         done.add(u)
+        d, hops, owner = best[u][:3]
         for v, e, w in near.get(u, ()):
-            if (limit is None or d + w <= limit) and v not in done and (v not in best or (d + w, u, e) < best[v]):
-                shorter = v not in best or d + w < best[v][0]
-                best[v] = (d + w, u, e)
-                if shorter:
-                    heapq.heappush(heap, (d + w, v))
+            if v in done or (limit is not None and d + w > limit):
+                continue
+            label, old = (d + w, hops + 1, owner, u, e), best.get(v)
+            if old is None or label < old:
+                best[v] = label
+                if old is None or label[:3] < old[:3]:
+                    heapq.heappush(heap, (*label[:3], v))
     return best
 
 
+PATHS = "source long, node_id long, dist long, hops long, owner long, prev long, prev_edge long"
+
+
+def path_rows(source: int, found: dict) -> pa.RecordBatch:
+    """``label_nodes`` as rows of ``PATHS``; starts have a null predecessor."""
+    rows = [(source, n, d, h, o, None if e < 0 else u, None if e < 0 else e) for n, (d, h, o, u, e) in found.items()]
+    names = ["source", "node_id", "dist", "hops", "owner", "prev", "prev_edge"]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)], names=names)
+
+
 def _pathfinder(shared, limit):
     def run(batches):
         near = _adjacency(shared.value)
         for batch in batches:
             for source, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(source, n, d, None if e < 0 else u, None if e < 0 else e) for n, (d, u, e) in _label(near, sorted(set(starts)), limit).items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["source", "node_id", "dist", "prev", "prev_edge"])
+                first = [(s["node_id"], 0, 0, s["owner"], -1, -1) for s in starts]
+                yield path_rows(source, label_nodes(near, first, limit))
 
     return run
 
 
+def _owned(sources: DataFrame) -> DataFrame:
+    """``(source, node_id, owner)`` as longs, each start once; without an ``owner`` column it is 0."""
+    owner = F.col("owner").cast("long") if "owner" in sources.columns else F.lit(0).cast("long")
+    return sources.select(F.col("source").cast("long").alias("source"), F.col("node_id").cast("long").alias("node_id"), owner.alias("owner")).distinct()
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, weight: Column, limit: int | None = None, max_rounds: int = 100_000, task_edges: int = TASK_EDGES) -> DataFrame:
     """``(source, node_id, dist, prev, prev_edge)`` from each ``(source, node_id)`` start.
 
     A network of at most ``task_edges`` edges is broadcast and searched by tasks, sources side by side. A larger
-    one is relaxed in rounds with the same result (where weights are positive).
+    one is relaxed in rounds with the same result, predecessors included: of equal distances the one of fewer
+    hops wins, then the lower predecessor, then the lower edge. ``overlay.overlay_paths`` needs far fewer rounds
+    where nodes can be put in cells.
     """
     if (shared := _small(edges, weight, task_edges)) is not None:
-        grouped = sources.groupBy(F.col("source").cast("long").alias("source")).agg(F.collect_set(F.col("node_id").cast("long")).alias("starts"))
-        return grouped.mapInArrow(_pathfinder(shared, limit), "source long, node_id long, dist long, prev long, prev_edge long")
-    return relaxed_paths(edges, sources, weight, limit, max_rounds)
+        grouped = _owned(sources).groupBy("source").agg(F.collect_list(F.struct("node_id", "owner")).alias("starts"))
+        found = grouped.mapInArrow(_pathfinder(shared, limit), PATHS)
+    else:
+        found = relaxed_paths(edges, sources, weight, limit, max_rounds)
+    return found.select("source", "node_id", "dist", "prev", "prev_edge")
+
+
+class Labels:
+    """The least label of each key, kept as written parts: a round adds what changed and reads what it asks about.
+
+    Parts are merged when a later one is at least half as large as the one before, so a label is written again
+    a logarithmic number of times, not once a round.
+    """
+
+    def __init__(self, spark, keys: tuple[str, ...], label: tuple[str, ...] = RANK):
+        self.spark, self.keys, self.label, self.parts, self.stale = spark, list(keys), label, [], []
+
+    def _least(self, df: DataFrame) -> DataFrame:
+        least = df.groupBy(*self.keys).agg(F.min(F.struct(*self.label)).alias("_l"))
+        return least.select(*self.keys, *[F.col(f"_l.{c}").alias(c) for c in self.label])
+
+    def _union(self) -> DataFrame:
+        every = self.parts[0][0]
+        for df, _, _ in self.parts[1:]:
+            every = every.unionByName(df)
+        return every
+
+    def add(self, df: DataFrame, path: str, rows: int) -> None:
+        """Take over a written table of labels, which may be read until the next one comes."""
+        for old in self.stale:
+            remove(self.spark, old)
+        self.stale = []
+        self.parts.append((df.select(*self.keys, *self.label), path, rows))
+        while len(self.parts) > 1 and 2 * self.parts[-1][2] >= self.parts[-2][2]:
+            (a, at_a, n_a), (b, at_b, n_b) = self.parts[-2:]
+            both, at = written_at(self._least(a.unionByName(b)), "labels")
+            self.parts[-2:] = [(both, at, n_a + n_b)]
+            self.stale += [at_a, at_b]
+
+    def against(self, offers: DataFrame) -> DataFrame:
+        """``offers`` (written, a key once) that beat the label kept; ``fresh`` where more than the last step changes."""
+        if not self.parts:
+            return offers.withColumn("fresh", F.lit(True))
+        asked = self._least(self._union().join(offers.select(*self.keys), self.keys, "left_semi"))
+        old = asked.select(*self.keys, F.struct(*self.label).alias("_old"))
+        better = offers.join(old, self.keys, "left").withColumn("_new", F.struct(*self.label)).where(F.col("_old").isNull() | (F.col("_new") < F.col("_old")))
+        step = self.label[:-2]
+        fresh = F.col("_old").isNull() | (F.struct(*[F.col(f"_new.{c}") for c in step]) < F.struct(*[F.col(f"_old.{c}") for c in step]))
+        return better.withColumn("fresh", fresh).drop("_old", "_new")
+
+    def all(self) -> DataFrame:
+        return self._least(self._union())
 
 
 def relaxed_paths(edges: DataFrame, sources: DataFrame, weight: Column, limit: int | None = None, max_rounds: int = 100_000) -> DataFrame:
-    """``shortest_paths`` of a network of any size.
+    """``PATHS`` of a network of any size, by the labels of ``label_nodes``.
 
-    Frontier relaxation: a round extends only the labels that got better in the round before, so each round's
-    work is the frontier's. Equal distances are settled by the lower predecessor, then the lower edge. ``limit``
-    stops paths beyond a distance. Starts have a null predecessor.
+    Frontier relaxation: a round extends only the labels that got better in the round before, and compares what
+    that offers with the labels of the nodes it reaches; settled labels are neither rewritten nor shuffled.
+    Rounds are as many as the longest path has edges. ``limit`` stops paths beyond a distance. Starts have a null
+    predecessor; an ``owner`` of a start is passed on to what it reaches.
     """
     spark = edges.sparkSession
     steps, steps_at = written_at(half_edges(edges.withColumn("w", weight.cast("long")), "w"), "half-edges")
-    first = sources.select("source", "node_id").distinct().select(
-        "source", "node_id", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(None).cast("long").alias("prev_edge"), F.lit(True).alias("fresh")
-    )
-    labels, at = written_at(first, "labels")
+    none = F.lit(-1).cast("long")
+    first = _owned(sources).groupBy("source", "node_id").agg(F.min("owner").alias("owner"))
+    first = first.select("source", "node_id", *[F.lit(0).cast("long").alias(c) for c in ("dist", "hops")], "owner", none.alias("prev"), none.alias("prev_edge"))
+    labels = Labels(spark, ("source", "node_id"))
+    front, at = written_at(first.withColumn("fresh", F.lit(True)), "front")
     for _ in range(max_rounds):
-        ahead = labels.where("fresh").join(steps, labels["node_id"] == steps["u"]).select(
-            "source", F.col("v").alias("node_id"), (F.col("dist") + F.col("w")).alias("dist"), F.col("u").alias("prev"), F.col("edge_id").alias("prev_edge")
+        rows = front.count()
+        if not rows:
+            break
+        labels.add(front, at, rows)
+        ahead = front.where("fresh").join(steps, front["node_id"] == steps["u"]).select(
+            "source", F.col("v").alias("node_id"), (F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), "owner", F.col("u").alias("prev"), F.col("edge_id").alias("prev_edge")
         )
         if limit is not None:
             ahead = ahead.where(F.col("dist") <= limit)
-        offers = ahead.withColumn("new", F.lit(True)).unionByName(labels.drop("fresh").withColumn("new", F.lit(False)))
-        # A label gives way to a smaller distance alone, so predecessors never run in a circle, whatever the weights.
-        best = offers.groupBy("source", "node_id").agg(
-            F.min(F.struct("dist", "prev", "prev_edge")).alias("got"), F.min(F.when(~F.col("new"), F.struct("dist", "prev", "prev_edge"))).alias("old")
-        )
-        moved = F.col("old").isNull() | (F.col("got.dist") < F.col("old.dist"))
-        best = best.select("source", "node_id", F.when(moved, F.col("got")).otherwise(F.col("old")).alias("b"), moved.alias("moved"))
-        nxt, nxt_at = written_at(best.select("source", "node_id", "b.dist", "b.prev", "b.prev_edge", F.col("moved").alias("fresh")), "labels")
-        remove(spark, at)
-        labels, at = nxt, nxt_at
-        if labels.where("fresh").isEmpty():
-            remove(spark, steps_at)
-            return labels.drop("fresh")
-    raise RuntimeError("shortest paths did not settle")
+        offers, offers_at = written_at(labels._least(ahead), "offers")
+        front, at = written_at(labels.against(offers), "front")
+        remove(spark, offers_at)
+    else:
+        raise RuntimeError("shortest paths did not settle")
+    remove(spark, steps_at)
+    known = lambda c: F.when(F.col("prev_edge") >= 0, F.col(c)).alias(c)
+    if not labels.parts:
+        return spark.createDataFrame([], PATHS)
+    return labels.all().select("source", "node_id", "dist", "hops", "owner", known("prev"), known("prev_edge"))
 
 
 def rooted_tree(edges: DataFrame, root: int, max_depth: int = 100_000, task_edges: int = TASK_EDGES) -> DataFrame:
