@@ -14,17 +14,22 @@ def _dealt(df: DataFrame, *order) -> DataFrame:
     return written(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(1 << 33)}), "numbered")
 
 
-def sums_before(df: DataFrame, value: str, *order, name: str = "before") -> DataFrame:
+def sums_before(df: DataFrame, value: str | dict[str, str], *order, name: str = "before") -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over all rows before, 0 for the first, in an order that is total.
 
-    Sums run inside ranges of the order, side by side; only one total a range meets in a window.
+    ``value`` may be a dict of several columns and the names of their sums. Sums run inside ranges of the order,
+    side by side; only one total a range meets in a window.
     """
+    sums = value if isinstance(value, dict) else {value: name}
     placed = _dealt(df, *order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("_part").agg(F.sum(value).alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = placed.withColumn("_inside", inside).join(F.broadcast(totals.select("_part", "_first")), "_part")  # a row a range
-    return joined.withColumn(name, F.col("_first") + F.col("_inside")).drop("_part", "_at", "_first", "_inside")
+    totals = placed.groupBy("_part").agg(*[F.sum(v).alias(f"_n{k}") for k, v in enumerate(sums)])
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_n{k}").over(before), F.lit(0)).alias(f"_first{k}") for k in range(len(sums))])
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({f"_inside{k}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in enumerate(sums)})
+    joined = placed.join(F.broadcast(totals), "_part")  # a row a range
+    joined = joined.withColumns({n: F.col(f"_first{k}") + F.col(f"_inside{k}") for k, n in enumerate(sums.values())})
+    return joined.drop("_part", "_at", *[f"_{x}{k}" for x in ("first", "inside") for k in range(len(sums))])
 
 
 def dense_ids(df: DataFrame, *order, name: str = "id", start: int = 0) -> DataFrame:
