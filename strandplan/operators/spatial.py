@@ -126,10 +126,13 @@ def opposite_banks(points: DataFrame, ring: str, pos: str, length: str, radius:
     return far.groupBy("ring", F.col("pos").alias("a")).agg(F.min(F.struct("sq", F.col("node_id.pos").alias("b"))).alias("m")).select("ring", "a", "m.b", "m.sq")
 
 
-def ranked_candidates(points: DataFrame, nodes: DataFrame, key: str, radius: int, most: int) -> DataFrame:
-    """``within``, with at most the first ``most`` nodes of a point by id, as the packing rule asks."""
+def ranked_candidates(points: DataFrame, nodes: DataFrame, key: str, radius: int, most: int | None = None) -> DataFrame:
+    """``within`` with ``dist_m``; ``most`` keeps the first so many nodes of a point by id, which is a limit of the packing rule."""
+    pairs = within(points, nodes, radius).withColumn("dist_m", dist_m("x", "y", "nx", "ny"))
+    if most is None:
+        return pairs
     order = Window.partitionBy(key).orderBy("node_id")
-    return within(points, nodes, radius).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn").withColumn("dist_m", dist_m("x", "y", "nx", "ny"))
+    return pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn")
 
 
 def manhattan_costs(points: DataFrame, weight: str, *keys: str) -> DataFrame:

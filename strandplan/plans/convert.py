@@ -24,7 +24,8 @@ LADDER = (0, 1, 2, 4, 8)
 CELL_DEG = 0.02
 BANK_STEP = 15.24
 LINK_M, CROSS_M, BRIDGE_M, LAND_M = 40, 120, 2000, 200
-MOST_LINKS, MOST_LAND = 500, 60_000
+#: Limits that other converters set; here they are arguments, and without them all data stays.
+LIMITS = {"most_nodes": 98_304, "most_parcels": 131_072, "most_links": 500, "most_land": 60_000}
 
 RING = "array<struct<x:int,y:int>>"
 
@@ -113,8 +114,8 @@ def joined_up(nodes: DataFrame, edges: DataFrame, surface: int = 1, radius: int
     return edges
 
 
-def with_links(nodes: DataFrame, edges: DataFrame, groups: DataFrame, radius: int, most: int, surface: int) -> DataFrame:
-    """``edges`` with the ``most`` shortest links between nodes of different groups within ``radius``."""
+def with_links(nodes: DataFrame, edges: DataFrame, groups: DataFrame, radius: int, most: int | None, surface: int) -> DataFrame:
+    """``edges`` with the links between nodes of different groups within ``radius``: all of them, or the ``most`` shortest."""
     links = spatial.pairs_between(groups.join(nodes, "node_id"), "node_id", "grp", radius, most)
     every = edges.select("src", "dst", "surface").union(links.select("a", "b", F.lit(surface)))
     return dense_ids(graph.distinct_edges(every), "src", "dst", name="edge_id").select("edge_id", "src", "dst", "surface")
@@ -127,33 +128,40 @@ def reachable_premises(points: DataFrame, nodes: DataFrame) -> DataFrame:
     return dense_ids(kept, "key", name="prem_id").select("prem_id", "x", "y", F.lit(1).alias("units"))
 
 
-def parcels_to_network(features: DataFrame, projection: Projection, most_nodes: int = 98_304, most_parcels: int = 131_072) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parcels_to_network(
+    features: DataFrame, projection: Projection, most_nodes: int | None = None, most_parcels: int | None = None, most_links: int | None = None, tolerance: int = 0,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, premises): parcel boundaries are ways, parcel centroids are premises.
 
-    The area of interest grows from the densest cell up to ``most_parcels``. Rings are simplified by the first
-    tolerance of the ladder that keeps the nodes within ``most_nodes``; beyond the last, the sparsest cell goes.
+    Every parcel is kept and its rings are simplified to ``tolerance`` metres. Limits are the caller's choice:
+    with ``most_parcels`` the area of interest grows from the densest cell up to so many; with ``most_nodes`` rings
+    take the first tolerance of the ladder, from ``tolerance`` on, that keeps the nodes within it, and beyond the
+    last the sparsest cell goes; ``most_links`` keeps the shortest links between pieces. ``LIMITS`` has usual values.
     """
     p = (projection.lon0, projection.lat0, projection.kx_m_per_deg, projection.ky_m_per_deg)
     rows = written(parcels(features), "parcels")
-    # Cells, not parcels, reach the driver.
-    cells = {(r["cx"], r["cy"]): r["n"] for r in density(rows).collect()}
-    area = grow_area(cells, most_parcels)
+    area, cells = None, {}
+    if most_parcels is not None or most_nodes is not None:
+        # Cells, not parcels, reach the driver.
+        cells = {(r["cx"], r["cy"]): r["n"] for r in density(rows).collect()}
+        area = grow_area(cells, most_parcels) if most_parcels is not None else sorted(cells)
     spark = features.sparkSession
     while True:
-        wanted = spark.createDataFrame(area, "cx long, cy long")
-        inside = rows.join(F.broadcast(wanted), (F.floor(F.col("lon") / CELL_DEG) == F.col("cx")) & (F.floor(F.col("lat") / CELL_DEG) == F.col("cy")), "left_semi")
+        inside = rows
+        if area is not None:
+            wanted = spark.createDataFrame(area, "cx long, cy long")
+            inside = rows.join(wanted, (F.floor(F.col("lon") / CELL_DEG) == F.col("cx")) & (F.floor(F.col("lat") / CELL_DEG) == F.col("cy")), "left_semi")
         x, y = project("lon", "lat", *p)
         flat = inside.select("parcel", x.alias("x"), y.alias("y"), F.explode("rings").alias("ring")).withColumn(
             "ring", F.transform("ring", lambda q: F.struct(*(c.alias(n) for c, n in zip(project(q["x"], q["y"], *p), ("x", "y"), strict=True))))
         )
         flat = written(flat, "rings")
-        for tolerance in LADDER:
-            sides = written(ring_edges(flat.withColumn("ring", simplified(F.col("ring"), tolerance)), "ring"), "sides")
-            n = sides.select("x1", "y1").union(sides.select("x2", "y2")).distinct().count()
-            if n <= most_nodes:
+        for step in [t for t in LADDER if t >= tolerance] if most_nodes is not None else [tolerance]:
+            sides = written(ring_edges(flat.withColumn("ring", simplified(F.col("ring"), step)), "ring"), "sides")
+            if most_nodes is None or sides.select("x1", "y1").union(sides.select("x2", "y2")).distinct().count() <= most_nodes:
                 nodes, edges = as_network(sides)
                 groups = written(graph.components(edges, nodes).select("node_id", F.col("component").alias("grp")), "groups")
-                edges = joined_up(nodes, with_links(nodes, edges, groups, LINK_M, MOST_LINKS, 1))
+                edges = joined_up(nodes, with_links(nodes, edges, groups, LINK_M, most_links, 1))
                 points = flat.select(F.col("parcel").alias("key"), "x", "y").distinct()
                 return nodes, edges, reachable_premises(points, nodes)
         if len(area) == 1:
@@ -161,8 +169,11 @@ def parcels_to_network(features: DataFrame, projection: Projection, most_nodes:
         area.remove(max(area, key=lambda c: (-cells[c], c)))
 
 
-def canals_to_network(canals: DataFrame, addresses: DataFrame, projection: Projection, step: float = BANK_STEP) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, premises): banks are soft ways, crossings to the opposite bank asphalt, addresses premises."""
+def canals_to_network(canals: DataFrame, addresses: DataFrame, projection: Projection, step: float = BANK_STEP, most_land: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, premises): banks are soft ways, crossings to the opposite bank asphalt, addresses premises.
+
+    Banks of different canals in reach are linked over land, by all links or the ``most_land`` shortest.
+    """
     p = (projection.lon0, projection.lat0, projection.kx_m_per_deg, projection.ky_m_per_deg)
     flat = canals.select(F.explode(outer_rings(F.col("type"), F.col("coordinates"))).alias("ring")).select(
         F.transform("ring", lambda q: F.struct(*(c.alias(n) for c, n in zip(project(q["x"], q["y"], *p), ("x", "y"), strict=True)))).alias("ring")
@@ -180,7 +191,7 @@ def canals_to_network(canals: DataFrame, addresses: DataFrame, projection: Proje
     )
     nodes, edges = as_network(written(ring_edges(banks, "ring").unionByName(crossings), "sides"))
     groups = spots.join(nodes, ["x", "y"]).groupBy("node_id").agg(F.min("ring_id").alias("grp"))
-    edges = joined_up(nodes, with_links(nodes, edges, written(groups, "groups"), LAND_M, MOST_LAND, 0))
+    edges = joined_up(nodes, with_links(nodes, edges, written(groups, "groups"), LAND_M, most_land, 0))
     a = addresses.where(F.col("type") == "Point").select("id", F.from_json("coordinates", "array<double>").alias("c"))
     x, y = project(F.get("c", F.lit(0)), F.get("c", F.lit(1)), *p)
     points = dense_ids(a, id_order(F.col("id")), "c", name="key").select("key", x.alias("x"), y.alias("y"))

@@ -6,6 +6,8 @@ import json
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -200,23 +202,36 @@ def layers(nodes: DataFrame, edges: DataFrame, head_ends: DataFrame, areas: Data
         out[name] = lines.where(F.col(column) > 0).select(F.col("edge_id").alias("ord"), _feature(line, edge=F.col("edge_id"), fibers=F.col(column), role=F.lit(role)).alias("feature"))
     shared = (F.col("dist_fibers") > 0) & (F.col("feeder_fibers") > 0)
     out["trench"] = lines.where("trench").select(F.col("edge_id").alias("ord"), _feature(line, edge=F.col("edge_id"), surface=F.when(F.col("surface") == 1, "asphalt").otherwise("soft"), shared=shared).alias("feature"))
-    hulls = area_hulls(prem.where("area_id is not null"), "area_id", "plon", "plat")
-    ring = F.struct(F.array(F.col("ring")).alias("coordinates"), F.lit("Polygon").alias("type"))
+    # Degrees keep the order of metres along each axis, so the hull of the one is the hull of the other.
+    hulls = area_hulls(premises.where("area_id is not null"), "area_id", "x", "y")
+    corner = F.transform("ring", lambda q: F.array(*unproject(F.get(q, F.lit(0)), F.get(q, F.lit(1)), *p)))
+    ring = F.struct(F.array(corner).alias("coordinates"), F.lit("Polygon").alias("type"))
     out["serving_areas"] = hulls.select(F.col("area_id").alias("ord"), _feature(ring, serving_area=F.col("area_id"), premises=F.col("n")).alias("feature"))
     return out
 
 
+#: Columns, in the unit of the points, whose hull is found first.
+STRIP = 1024
+
+
 def area_hulls(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """``(key, n, ring)``: closed convex hulls; groups of fewer than three distinct hull points give none.
+    """``(key, n, ring)``: closed convex hulls of points in whole metres; groups of fewer than three distinct hull points give none.
 
-    Only points that can be on a hull (the extremes of each column of a fine grid) meet in a task, so a group's
-    size doesn't bound memory; that keeps the hull exact, as a point inside a column's extremes is never on it.
+    What is not an extreme of its column is on no hull, and what is not on the hull of its strip of ``STRIP``
+    columns is not on the whole one: a task meets two points a column of a strip, then the corners of the strips.
     """
     from strandplan.kernels.rings import hull
 
     n = points.groupBy(key).agg(F.count("*").alias("n"))
     column = points.select(key, F.col(x).alias("x"), F.col(y).alias("y")).groupBy(key, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    ends = column.select(key, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
+    ends = column.select(key, "x", F.floor(F.col("x") / STRIP).alias("strip"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
+
+    def corners(pdf):
+        import pandas as pd
+
+        found = list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True))
+        kept = hull(found) or found
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), "x": [float(a) for a, _ in kept], "y": [float(b) for _, b in kept]})
 
     def run(pdf):
         import pandas as pd
@@ -224,11 +239,26 @@ def area_hulls(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
         ring = hull(list(zip(pdf["x"].tolist(), pdf["y"].tolist(), strict=True)))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "ring": [[list(p) for p in [*ring, ring[0]]]]}) if ring else pd.DataFrame({key: [], "ring": []})
 
-    rings = ends.groupBy(key).applyInPandas(run, f"{key} long, ring array<array<double>>")
+    outer = ends.groupBy(key, "strip").applyInPandas(corners, f"{key} long, x double, y double")
+    rings = outer.groupBy(key).applyInPandas(run, f"{key} long, ring array<array<double>>")
     return rings.join(n, key)
 
 
+def _collection(batches):
+    """One partition's features as the lines of a whole FeatureCollection."""
+    first = True
+    for batch in batches:
+        lines = []
+        for feature in batch.column(0).to_pylist():
+            lines.append(('{"features":[' if first else ",") + feature)
+            first = False
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    if not first:
+        yield pa.RecordBatch.from_arrays([pa.array(['],"type":"FeatureCollection"}'])], names=["value"])
+    elif TaskContext.get().partitionId() == 0:
+        yield pa.RecordBatch.from_arrays([pa.array(['{"features":[],"type":"FeatureCollection"}'])], names=["value"])
+
+
 def write_layer(layer: DataFrame, path: str) -> None:
-    """One FeatureCollection as text; a layer of a design is written in one part, in order."""
-    text = layer.orderBy("ord").agg(F.concat(F.lit('{"features":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "feature"))), lambda r: r["feature"]), ","), F.lit('],"type":"FeatureCollection"}')).alias("value"))
-    text.coalesce(1).write.text(path)
+    """A layer as text, its features in order over the part files; each part is a whole FeatureCollection."""
+    layer.orderBy("ord").select("feature").mapInArrow(_collection, "value string").write.text(path)

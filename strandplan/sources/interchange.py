@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandplan.operators.components import connected_components
-from strandplan.operators.numbering import dense_ids
+from strandplan.operators.numbering import dense_ids, sums_before
 from strandplan.plans.session import written
 
 #: Fixed values of the format: section names with their row widths.
@@ -21,9 +21,18 @@ class IngestError(ValueError):
 
 
 def tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``(pos, token)`` of one file in order; line structure doesn't matter."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.filter(F.split("value", "[ \t\r\n,]+"), lambda t: t != ""))).toDF("pos", "token")
+    """``(pos, token)`` of one text in order: a file, or a folder whose parts follow each other by name; line structure doesn't matter.
+
+    The text is read in splits. A line's tokens are numbered from the sum of all tokens before it, which is found
+    by ranges of (part, split, line); one line fits a task.
+    """
+    lines = spark.read.text(path).select(
+        F.filter(F.split("value", "[ \t\r\n,]+"), lambda t: t != "").alias("tokens"),
+        F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"),
+    )
+    rows = written(lines.withColumn("n", F.size("tokens").cast("long")).where("n > 0"), "text-lines")
+    placed = sums_before(rows, "n", "part", "split", "line", name="first")
+    return placed.select("first", F.posexplode("tokens").alias("k", "token")).select((F.col("first") + F.col("k")).alias("pos"), "token")
 
 
 def sections(found: DataFrame) -> DataFrame:
