@@ -114,9 +114,17 @@ def far_end(node, src, dst) -> Column:
     return F.when(_col(src) == _col(node), _col(dst)).otherwise(_col(src))
 
 
-def better_move(cost, k, other_cost, other_k) -> Column:
-    """Whether cost/k is less than other_cost/other_k, by cross-multiplication."""
-    return _long(cost) * _long(other_k) < _long(other_cost) * _long(k)
+def better_move(cost, k, other_cost, other_k, ties: tuple = ()) -> Column:
+    """Whether cost/k is less than other_cost/other_k, by cross-multiplication.
+
+    Of equal ratios the first of ``ties`` (pairs of columns) that differs decides, the lower being better, and after
+    those the larger k.
+    """
+    mine, theirs = _long(cost) * _long(other_k), _long(other_cost) * _long(k)
+    last = _long(k) > _long(other_k)
+    for a, b in reversed(ties):
+        last = (_long(a) < _long(b)) | ((_long(a) == _long(b)) & last)
+    return (mine < theirs) | ((mine == theirs) & last)
 
 
 def project(lon, lat, lon0: float, lat0: float, kx: float, ky: float) -> tuple[Column, Column]:

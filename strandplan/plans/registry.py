@@ -48,15 +48,19 @@ def longs(df: DataFrame) -> DataFrame:
 
 # --- graph basics ---------------------------------------------------------------------------------------------
 
+#: The growing network's streets with their surfaces.
+STREETS = ROADS_SQL.rstrip() + """,
+streets AS (SELECT edge_id, src, dst, 100::BIGINT AS len_m, CASE WHEN dst = src + 1 THEN src // w IN (10, 20) ELSE src % w IN (10, 20) END::INT::BIGINT AS surface FROM ends, dim)"""
 
-@query("SELECT edge_id, len_m, surface::BIGINT AS surface FROM elen")
+
+@query("SELECT edge_id, len_m, surface FROM streets", STREETS)
 def edge_lengths(net):
-    return longs(net.lengths.select("edge_id", "len_m", "surface"))
+    return longs(Roads(net).lengths.select("edge_id", "len_m", "surface"))
 
 
-@query("SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1")
+@query("SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM ends UNION ALL SELECT dst FROM ends) GROUP BY 1", ROADS_SQL)
 def node_degrees(net):
-    return graph.degrees(net.edges)
+    return graph.degrees(Roads(net).edges)
 
 
 def _order_edges(net):
@@ -97,17 +101,25 @@ def components(net):
     return cc.connected_components(e, "src", "dst")
 
 
-@query("SELECT 1740 AS edges, 900 AS nodes, 1 AS components, 841 AS rings", "", whole="edges nodes components rings")
+def _tiled(r):
+    """Streets inside tiles of ten by ten nodes."""
+    tile = lambda n: F.struct(X.div(X.div(n, F.lit(r.w)), F.lit(10)), X.div(F.col(n) % r.w, F.lit(10)))
+    return r.edges.where(tile("src") == tile("dst"))
+
+
+@query("SELECT e AS edges, n AS nodes, t AS components, e - n + t AS rings FROM (SELECT count(*) AS e FROM ends JOIN nodes a ON a.node_id = src JOIN nodes b ON b.node_id = dst WHERE a.row // 10 = b.row // 10 AND a.col // 10 = b.col // 10), "
+       "(SELECT count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY row // 10, col // 10) AS k FROM nodes) WHERE k > 1), (SELECT count(*) AS t FROM (SELECT row // 10, col // 10 FROM nodes GROUP BY 1, 2 HAVING count(*) > 1))", ROADS_SQL)
 def grid_rings(net):
-    return graph.cycle_count(net.edges)
+    """Independent cycles of the network once the streets between tiles are cut."""
+    return graph.cycle_count(_tiled(Roads(net)))
 
 
-@query(
-    "SELECT n.node_id, abs(n.x - 1400) + abs(n.y - 1400) AS dist FROM nodes n"
-)
+@query("SELECT node_id, (col + row) * 100 AS dist FROM nodes", ROADS_SQL)
 def grid_distances(net):
-    start = net.spark.createDataFrame([(0, 434)], "source int, node_id long")
-    return graph.shortest_paths(net.lengths, start, F.col("len_m")).select("node_id", "dist")
+    """From the corner of the network to every node."""
+    r = Roads(net)
+    start = net.spark.range(1).select(F.lit(0).alias("source"), F.lit(0).cast("long").alias("node_id"))
+    return graph.shortest_paths(r.lengths, start, F.col("len_m")).select("node_id", "dist")
 
 
 @query("SELECT n.node_id, min(abs(n.x - s.x) + abs(n.y - s.y)) AS dist FROM nodes n, nodes s WHERE s.node_id IN (SELECT s_suppkey * 37 % 900 FROM supplier) GROUP BY 1")
@@ -130,9 +142,9 @@ def _comb(net):
     return graph.rooted_tree(graph.edge_lengths(comb_edges(net.spark), net.nodes), 0)
 
 
-@query("SELECT node_id, parent, depth::BIGINT AS depth, path_m::BIGINT AS path_m FROM comb", COMB)
+@query("SELECT node_id, CASE WHEN node_id = 0 THEN NULL WHEN row = 0 THEN node_id - 1 ELSE node_id - w END AS parent, col + row AS depth, (col + row) * 100 AS path_m FROM nodes", ROADS_SQL)
 def tree_rooting(net):
-    return longs(_comb(net).select("node_id", "parent", "depth", "path_m"))
+    return longs(Roads(net).comb(net).select("node_id", "parent", "depth", "path_m"))
 
 
 @query("SELECT node_id, total FROM sub", COMB)
@@ -149,9 +161,14 @@ def fibers_per_edge(net):
     return tree.join(sums, "node_id").where("parent is not null and total > 0").select(F.col("parent_edge").alias("edge_id"), F.col("total").alias("fibers"))
 
 
-@query("SELECT 899 AS edges, 900 AS nodes, 1 AS components, 0 AS rings, 0 AS missing, true AS ok", "", whole="edges nodes components rings missing")
+@query("SELECT (SELECT count(*) FROM ends) // 2 + w - 1 - (SELECT count(*) FROM cut) AS edges, w * w AS nodes, 1 + (SELECT count(*) FROM cut) AS components, 0 AS rings, 0 AS missing, (SELECT count(*) FROM cut) = 0 AS ok FROM dim",
+       ROADS_SQL.rstrip() + ", cut AS (SELECT DISTINCT s_suppkey % w AS col FROM supplier, dim WHERE s_suppkey % w < w - 1 AND s_suppkey % 3 = 0)", whole="edges nodes components rings missing")
 def tree_invariant(net):
-    return graph.tree_check(comb_edges(net.spark), kept_drops(net).select("node_id"))
+    """The comb of the growing network without the first-row streets of every third supplier: a forest, no tree."""
+    r = Roads(net)
+    cut = net.table("supplier").where("s_suppkey % 3 = 0").select((F.col("s_suppkey") % r.w).cast("long").alias("edge_id")).where(F.col("edge_id") < r.w - 1).distinct()
+    snapped = spatial.nearest(r.premises, r.nodes, "prem_id").select("node_id")
+    return graph.tree_check(comb_edges(net.spark, r.w, r.w).join(cut, "edge_id", "left_anti"), snapped)
 
 
 @query("SELECT node_id FROM (SELECT node_id, count(*) AS d FROM (SELECT src AS node_id, edge_id FROM edges UNION ALL SELECT dst, edge_id FROM edges) WHERE edge_id < 29 OR edge_id >= 870 GROUP BY 1) WHERE d <> 2 "
@@ -191,9 +208,7 @@ def road_reach(net):
 def road_blocks(net):
     """Components by contraction once the streets between tiles of ten by ten nodes are cut."""
     r = Roads(net)
-    tile = lambda n: F.struct(X.div(X.div(n, F.lit(r.w)), F.lit(10)), X.div(F.col(n) % r.w, F.lit(10)))
-    kept = r.edges.where(tile("src") == tile("dst"))
-    found = cc.connected_components(kept, "src", "dst")
+    found = cc.connected_components(_tiled(r), "src", "dst")
     return r.nodes.select("node_id").join(found, F.col("node_id") == F.col("node"), "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
@@ -318,20 +333,31 @@ def assignment_cost(net):
     return net.drops().groupBy("area_id").agg(F.sum(F.col("units") * way).alias("cost"))
 
 
-ARCS = NETWORK_SQL.rstrip() + ", dd AS (SELECT d.prem_id, d.units, d.area_id AS j, t.t, abs(nx - tx) + abs(ny - ty) AS there, abs(nx - jx) + abs(ny - jy) AS here FROM drops d JOIN (SELECT unnest(range(0, 9)) AS t) t ON t.t <> d.area_id " \
-    "JOIN (SELECT a, ((a // 3 * 10 + 5) * 100) AS ty, (a % 3 * 10 + 5) * 100 AS tx FROM (SELECT unnest(range(0, 9)) AS a)) q ON q.a = t.t JOIN (SELECT a, ((a // 3 * 10 + 5) * 100) AS jy, (a % 3 * 10 + 5) * 100 AS jx FROM (SELECT unnest(range(0, 9)) AS a)) r ON r.a = d.area_id)"
+ARCS = ROADS_SQL.rstrip() + """,
+tile AS (SELECT DISTINCT row // 10 AS tr, col // 10 AS tc, w, least(row // 10 * 10 + 5, w - 1) * 100 AS ty, least(col // 10 * 10 + 5, w - 1) * 100 AS tx FROM nodes),
+arc AS (SELECT j.tr * 10000 + j.tc AS j, t.tr * 10000 + t.tc AS t, j.tr, j.tc, j.tx AS jx, j.ty AS jy, t.tx, t.ty FROM tile j JOIN tile t ON abs(j.tr - t.tr) + abs(j.tc - t.tc) = 1),
+dd AS (SELECT prem_id, j, t, units * (abs(nx - tx) + abs(ny - ty) - abs(nx - jx) - abs(ny - jy)) AS delta FROM snap JOIN arc ON tr = row // 10 AND tc = col // 10)"""
 
 
-@query("SELECT j, t, units * (there - here) AS delta, prem_id FROM dd QUALIFY row_number() OVER (PARTITION BY j, t ORDER BY units * (there - here), prem_id) = 1", ARCS)
+@query("SELECT j, t, delta, prem_id FROM dd QUALIFY row_number() OVER (PARTITION BY j, t ORDER BY delta, prem_id) = 1", ARCS)
 def transport_arc_costs(net):
-    """Cheapest single move from each area to each other: the arcs that the exchange search works on."""
-    d = net.drops()
-    areas = net.spark.range(9).select(F.col("id").alias("t"), ((F.col("id") % 3) * 1000 + 500).alias("tx"), (X.div("id", F.lit(3)) * 1000 + 500).alias("ty"))
-    own = areas.select(F.col("t").alias("area_id"), F.col("tx").alias("jx"), F.col("ty").alias("jy"))
-    pairs = d.join(F.broadcast(own), "area_id").join(F.broadcast(areas), F.col("t") != F.col("area_id"))  # nine areas by construction
+    """Cheapest single move from each area to each that borders on it: the arcs that the exchange search works on.
+
+    Areas are tiles of ten by ten nodes with the cabinet in their middle; each area meets its four neighbours by
+    their numbers, and its premises meet those pairs by the area.
+    """
+    r = Roads(net)
+    row, col = X.div("node_id", F.lit(r.w)), F.col("node_id") % r.w
+    middle = lambda k: F.least(k * 10 + 5, F.lit(r.w - 1)) * 100
+    tiles = r.nodes.select(X.div(row, F.lit(10)).alias("tr"), X.div(col, F.lit(10)).alias("tc")).distinct()
+    tiles = written(tiles.withColumns({"area": F.col("tr") * 10_000 + F.col("tc"), "x": middle(F.col("tc")), "y": middle(F.col("tr"))}), "tiles")
+    beside = tiles.select(F.col("area").alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"), F.explode(F.array(*[F.col("area") + d for d in (-10_000, -1, 1, 10_000)])).alias("t"))
+    arcs = beside.join(tiles.select(F.col("area").alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty")), "t")
+    at = spatial.nearest(r.premises, r.nodes, "prem_id").select("prem_id", "node_id")
+    placed = r.premises.join(at, "prem_id").select("prem_id", "units", (X.div(row, F.lit(10)) * 10_000 + X.div(col, F.lit(10))).alias("j"), (col * 100).alias("nx"), (row * 100).alias("ny"))
     way = lambda px, py: F.abs(F.col("nx") - F.col(px)) + F.abs(F.col("ny") - F.col(py))
     delta = F.col("units") * (way("tx", "ty") - way("jx", "jy"))
-    best = pairs.groupBy(F.col("area_id").alias("j"), "t").agg(F.min(F.struct(delta.alias("delta"), "prem_id")).alias("m"))
+    best = placed.join(arcs, "j").groupBy("j", "t").agg(F.min(F.struct(delta.alias("delta"), "prem_id")).alias("m"))
     return best.select("j", "t", "m.delta", "m.prem_id")
 
 
@@ -580,17 +606,7 @@ def interchange_sections(net):
 
     path = shared_path(net.spark, "interchange")
     interchange.write_lines(interchange.interchange_lines(net.nodes, net.edges, net.premises), path)
-    return longs(interchange.sections(_one_text(net, path)))
-
-
-def _one_text(net, path):
-    """Tokens of a folder of part files, in order, through one file."""
-    from strandplan.plans.session import shared_path
-    from strandplan.sources import interchange
-
-    whole = shared_path(net.spark, "interchange")
-    net.spark.read.text(path).coalesce(1).write.text(whole)
-    return interchange.tokens(net.spark, whole)
+    return longs(interchange.sections(written(interchange.tokens(net.spark, path), "tokens")))
 
 
 @query("SELECT 'sections' AS rule, 0 AS n WHERE false", "", whole="n")
@@ -600,8 +616,7 @@ def interchange_violations(net):
     from strandplan.sources import interchange
 
     path = shared_path(net.spark, "interchange")
-    lines = interchange.interchange_lines(net.nodes, net.edges, net.premises)
-    lines.coalesce(1).sortWithinPartitions("part", "ord").select("line").write.text(path)
+    interchange.write_lines(interchange.interchange_lines(net.nodes, net.edges, net.premises), path)
     return interchange.violations(interchange.read_raw(net.spark, path))
 
 
@@ -914,19 +929,26 @@ def reach_repair(net):
     return homes.join(told, "network")
 
 
-@query("SELECT n.node_id, 0 AS source, min(d) AS dist FROM nodes n JOIN (SELECT node_id, abs(node_id % 30 - 14) * 100 + abs(node_id // 30 - 14) * 100 AS d FROM nodes) USING (node_id) WHERE d <= 800 GROUP BY 1", whole="source")
+@query("SELECT 0::BIGINT AS source, node_id, (abs(col - w // 2) + abs(row - w // 2)) * 100 AS dist FROM nodes WHERE abs(col - w // 2) + abs(row - w // 2) <= 8", ROADS_SQL)
 def bounded_distances(net):
-    """Shortest paths cut off at 800 m."""
-    start = net.spark.createDataFrame([(0, 434)], "source int, node_id long")
-    return longs(graph.shortest_paths(net.lengths, start, F.col("len_m"), limit=800).select("source", "node_id", "dist"))
+    """Shortest paths from the middle of the network, cut off at 800 m."""
+    r = Roads(net)
+    start = net.spark.range(1).select(F.lit(0).alias("source"), F.lit(r.w // 2 * r.w + r.w // 2).cast("long").alias("node_id"))
+    return longs(graph.shortest_paths(r.lengths, start, F.col("len_m"), limit=800).select("source", "node_id", "dist"))
+
+
+#: Dear streets are walked seven at most within the limit, so nine rounds settle it.
+CIVIL = STREETS + ", civil AS (SELECT src AS u, dst AS v, len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END AS w FROM streets UNION ALL SELECT dst, src, len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END FROM streets), " \
+    "r0 AS (SELECT 10 * w + 10 AS node_id, 0::BIGINT AS dist FROM dim), " + ", ".join(f"r{k} AS (SELECT node_id, min(dist) AS dist FROM (SELECT * FROM r{k - 1} UNION ALL SELECT v, dist + w FROM r{k - 1} JOIN civil ON u = node_id) WHERE dist <= 3000000 GROUP BY node_id)" for k in range(1, 10))
 
 
-@query("SELECT node_id, min(dist)::BIGINT AS dist FROM settled GROUP BY node_id", _relaxed("SELECT 434 AS node_id, 0 AS dist", "len_m * CASE WHEN surface = 1 THEN 15000 ELSE 4500 END"))
+@query("SELECT node_id, dist::BIGINT AS dist FROM r9", CIVIL)
 def trench_distances(net):
-    """Civil cents from the head-end to every node over soft and asphalt streets."""
-    start = net.spark.createDataFrame([(0, 434)], "source int, node_id long")
+    """Civil cents, up to 3,000,000, from where the first arterials meet, over soft and asphalt streets."""
+    r = Roads(net)
+    start = net.spark.range(1).select(F.lit(0).alias("source"), F.lit(10 * r.w + 10).cast("long").alias("node_id"))
     cents = X.edge_weight("trench", "len_m", X.cost_of("surface", ((0, 4_500), (1, 15_000))), F.lit(False))
-    return graph.shortest_paths(net.lengths, start, cents).select("node_id", "dist")
+    return graph.shortest_paths(r.lengths, start, cents, limit=3_000_000).select("node_id", "dist")
 
 
 # --- scalar rules, checks and converters on generated inputs -----------------------------------------------------
@@ -938,17 +960,19 @@ def clamped_cells(net):
     return net.premises.select("prem_id", X.clamped_cell("x", F.lit(500), 12).alias("cx"), X.clamped_cell("y", F.lit(500), 12).alias("cy"))
 
 
-@query("SELECT node_id, CASE WHEN node_id % 3 = 0 THEN 0 ELSE node_id * 977 % 5000 END AS price FROM nodes")
+@query("SELECT node_id, CASE WHEN node_id % 3 = 0 THEN 0 ELSE node_id * 977 % 5000 END AS price FROM nodes", ROADS_SQL)
 def prices_paid(net):
-    """Prices of nodes of which every third has been bought."""
-    return net.nodes.select("node_id", X.node_price(F.col("node_id") * 977 % 5000, F.col("node_id") % 3 == 0).alias("price"))
+    """Prices of the growing network's nodes, of which every third has been bought."""
+    return Roads(net).nodes.select("node_id", X.node_price(F.col("node_id") * 977 % 5000, F.col("node_id") % 3 == 0).alias("price"))
 
 
-@query("SELECT prem_id, (units * 700 + x) / (1 + prem_id % 12)::DOUBLE < (units * 650 + y) / (1 + prem_id % 7)::DOUBLE AS better FROM premises WHERE (units * 700 + x) * (1 + prem_id % 7) <> (units * 650 + y) * (1 + prem_id % 12)")
+@query("SELECT prem_id, CASE WHEN c * m <> d * k THEN c * m < d * k WHEN a <> b THEN a < b WHEN n <> o THEN n < o ELSE k > m END AS better FROM (SELECT prem_id, (units + prem_id % 2) * 600 AS c, 1 + prem_id % 12 AS k, units * 300 * (1 + prem_id % 3) AS d, 1 + prem_id % 7 AS m, "
+       "prem_id % 2 AS a, prem_id // 2 % 2 AS b, prem_id % 5 AS n, prem_id % 3 AS o FROM premises)")
 def better_moves(net):
-    """Which of two moves costs less a premises, by cross-multiplication; moves of equal ratio are left out."""
-    c, k, d, m = F.col("units") * 700 + F.col("x"), 1 + F.col("prem_id") % 12, F.col("units") * 650 + F.col("y"), 1 + F.col("prem_id") % 7
-    return net.premises.where(c * m != d * k).select("prem_id", X.better_move(c, k, d, m).alias("better"))
+    """Which of two moves is taken: by cents a premises, then a new terminal before an addition, the lower node, the larger move."""
+    p = F.col("prem_id")
+    c, k, d, m = (F.col("units") + p % 2) * 600, 1 + p % 12, F.col("units") * 300 * (1 + p % 3), 1 + p % 7
+    return net.premises.select("prem_id", X.better_move(c, k, d, m, ((p % 2, X.div(p, F.lit(2)) % 2), (p % 5, p % 3))).alias("better"))
 
 
 @query("SELECT prem_id, x, y FROM premises", whole="x y")
@@ -970,10 +994,10 @@ def ring_centroids(net):
     return net.premises.select("prem_id", cx.alias("cx"), cy.alias("cy"))
 
 
-@query("SELECT node_id, edge_id, dst AS far FROM edges JOIN nodes ON node_id = src UNION ALL SELECT node_id, edge_id, src FROM edges JOIN nodes ON node_id = dst")
+@query("SELECT src AS node_id, edge_id, dst AS far FROM ends UNION ALL SELECT dst, edge_id, src FROM ends", ROADS_SQL)
 def far_ends(net):
     """The other end of each street, from either end."""
-    both = net.nodes.join(net.edges, (F.col("node_id") == F.col("src")) | (F.col("node_id") == F.col("dst")))
+    both = graph.half_edges(Roads(net).edges.withColumns({"a": F.col("src"), "b": F.col("dst")}), "a", "b").select(F.col("u").alias("node_id"), "edge_id", F.col("a").alias("src"), F.col("b").alias("dst"))
     return both.select("node_id", "edge_id", X.far_end("node_id", "src", "dst").alias("far"))
 
 
@@ -1000,8 +1024,8 @@ def opposite_banks(net):
     return longs(spatial.opposite_banks(spots, "ring", "pos", "total").select("ring", "a", "b", "sq"))
 
 
-REACHED = NETWORK_SQL.rstrip() + """,
-cut AS (SELECT * FROM edges WHERE edge_id * 7919 % 5 > 1), both_ways AS (SELECT src AS u, dst AS v FROM cut UNION ALL SELECT dst, src FROM cut),
+REACHED = ROADS_SQL.rstrip() + """,
+cut AS (SELECT * FROM ends WHERE edge_id * 7919 % 5 > 1), both_ways AS (SELECT src AS u, dst AS v FROM cut UNION ALL SELECT dst, src FROM cut),
 reached AS (SELECT 0::BIGINT AS node_id UNION SELECT v FROM reached JOIN both_ways ON u = node_id)"""
 
 
@@ -1010,7 +1034,8 @@ def unreached_nodes(net):
     """Nodes that node 0 doesn't reach once two streets of five are gone: what a file would be refused for."""
     from strandplan.sources import interchange
 
-    n = interchange.unreachable(net.nodes, net.edges.where(F.col("edge_id") * 7919 % 5 > 1))
+    r = Roads(net)
+    n = interchange.unreachable(r.nodes, r.edges.where(F.col("edge_id") * 7919 % 5 > 1))
     return net.spark.createDataFrame([(n,)], "n long")
 
 
@@ -1046,8 +1071,7 @@ def interchange_faults(net):
     bad = bad.union(e.where(k % 400 == 11).select(1740 + X.div("edge_id", F.lit(400)), "dst", "src", "surface"))
     premises = net.premises.withColumn("units", F.when(F.col("prem_id") % 50 == 1, 0).otherwise(F.col("units")))
     path = shared_path(net.spark, "interchange")
-    lines = interchange.interchange_lines(net.nodes, bad, premises)
-    lines.coalesce(1).sortWithinPartitions("part", "ord").select("line").write.text(path)  # one file is one text
+    interchange.write_lines(interchange.interchange_lines(net.nodes, bad, premises), path)
     return interchange.violations(interchange.read_raw(net.spark, path))
 
 
@@ -1072,11 +1096,79 @@ def parcel_network(net):
     return count(nodes, "nodes").crossJoin(count(edges, "edges")).crossJoin(count(premises, "premises")).crossJoin(faults)
 
 
+#: Lots with a bulge of one metre in the middle of a long side, and two points on a short one.
+LOTS = "lot AS (SELECT c_custkey::BIGINT AS id, c_custkey % 500 * 200 AS x, c_custkey // 500 * 200 AS y, 60 + c_custkey % 40 AS wide, 30 + c_custkey % 9 AS high FROM customer)"
+
+
+def _lots(net):
+    k = F.col("c_custkey").cast("long")
+    lot = net.table("customer").select(k.alias("id"), (k % 500 * 200).alias("x"), (X.div(k, F.lit(500)) * 200).alias("y"), (60 + k % 40).alias("wide"), (30 + k % 9).alias("high"))
+    at = lambda dx, dy: F.struct((F.col("x") + dx).cast("int").alias("x"), (F.col("y") + dy).cast("int").alias("y"))
+    wide, high = F.col("wide"), F.col("high")
+    ring = F.array(at(F.lit(0), F.lit(0)), at(X.div(wide, F.lit(2)), F.lit(-1)), at(wide, F.lit(0)), at(wide, F.lit(9)), at(wide, F.lit(20)), at(wide, high), at(F.lit(0), high), at(F.lit(0), F.lit(0)))
+    return lot.select("id", "wide", "high", ring.alias("ring"))
+
+
+@query("SELECT id, c // 10 AS tolerance, CASE c % 10 WHEN 0 THEN x WHEN 1 THEN x + wide // 2 WHEN 4 THEN x ELSE x + wide END AS x, CASE c % 10 WHEN 0 THEN y WHEN 1 THEN y - 1 WHEN 2 THEN y ELSE y + high END AS y FROM lot, (SELECT unnest([0, 1, 2, 3, 4, 20, 22, 23, 24]) AS c)", LOTS)
+def simplified_rings(net):
+    """Corners of lots whose rings hold straight points and a bulge of a metre: all but the straight ones at tolerance 0, four at 2."""
+    from functools import reduce
+
+    from strandplan.plans import convert
+
+    lots = _lots(net)
+    parts = [lots.select("id", F.lit(t).cast("long").alias("tolerance"), F.explode(convert.simplified(F.col("ring"), t)).alias("p")) for t in (0, 2)]
+    return longs(reduce(DataFrame.unionByName, parts).select("id", "tolerance", "p.x", "p.y"))
+
+
+BANKS = "pool AS (SELECT c_custkey::BIGINT AS id, c_custkey % 500 * 400 AS x, c_custkey // 500 * 400 AS y, 40 + c_custkey % 5 * 20 AS wide, 40 + c_custkey % 3 * 20 AS high FROM customer), spot AS (SELECT *, unnest(range(0, (wide + high) // 10)) AS k, 20 * k AS s FROM pool)"
+
+
+@query("SELECT id, k, x + CASE WHEN s <= wide THEN s WHEN s <= wide + high THEN wide WHEN s <= 2 * wide + high THEN 2 * wide + high - s ELSE 0 END AS x, y + CASE WHEN s <= wide THEN 0 WHEN s <= wide + high THEN s - wide WHEN s <= 2 * wide + high THEN high ELSE 2 * (wide + high) - s END AS y FROM spot", BANKS)
+def resampled_rings(net):
+    """Pools' banks with a point every 20 metres of their length."""
+    from strandplan.plans import convert
+
+    k = F.col("c_custkey").cast("long")
+    at = lambda dx, dy: F.struct((F.col("x") + dx).cast("int").alias("x"), (F.col("y") + dy).cast("int").alias("y"))
+    pool = net.table("customer").select(k.alias("id"), (k % 500 * 400).alias("x"), (X.div(k, F.lit(500)) * 400).alias("y"), (40 + k % 5 * 20).alias("wide"), (40 + k % 3 * 20).alias("high"))
+    ring = F.array(at(F.lit(0), F.lit(0)), at(F.col("wide"), F.lit(0)), at(F.col("wide"), F.col("high")), at(F.lit(0), F.col("high")), at(F.lit(0), F.lit(0)))
+    spots = pool.select("id", F.posexplode(convert.resampled(ring, 20.0)).alias("k", "p"))
+    return longs(spots.select("id", "k", "p.x", "p.y"))
+
+
+@query("SELECT n_nationkey::BIGINT AS canal, 31 AS spots, 31 AS banks FROM nation", "", whole="spots banks")
+def canal_banks(net):
+    """A canal of 230 by 8 m a nation, 2 km apart: its bank's points and streets once it is a network, every bank soft."""
+    from strandplan.plans import convert
+    from strandplan.sources.geojson import Projection
+
+    flat = Projection(0.0, 0.0, 100_000.0, 100_000.0)
+    n = F.col("n_nationkey").cast("long")
+    y = n * 2000 / 100_000.0
+    ring = F.array(*[F.array(F.lit(a / 100_000.0), y + b / 100_000.0) for a, b in ((0, 0), (230, 0), (230, 8), (0, 8), (0, 0))])
+    shape = lambda kind, at: (n.cast("string").alias("id"), F.lit(None).cast("string").alias("properties"), F.lit(kind).alias("type"), F.to_json(at).alias("coordinates"))
+    canals = net.table("nation").select(*shape("Polygon", F.array(ring)))
+    homes = net.table("nation").select(*shape("Point", F.array(F.lit(0.001), y + 0.0002)))
+    nodes, edges, _ = convert.canals_to_network(canals, homes, flat)
+    canal = lambda c: F.floor((F.col(c) + 500) / 2000).cast("long")
+    spots = nodes.groupBy(canal("y").alias("canal")).agg(F.count("*").alias("spots"))
+    soft = edges.where("surface = 0").join(nodes.select(F.col("node_id").alias("src"), "y"), "src")
+    return spots.join(soft.groupBy(canal("y").alias("canal")).agg(F.count("*").alias("banks")), "canal").select("canal", "spots", "banks")
+
+
+def _all() -> None:
+    """Modules that register more queries; they import this one."""
+    from strandplan.plans import road_queries  # noqa: F401
+
+
 def queries() -> dict:
     """Query functions by name."""
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
+    _all()
     return dict(_SQL)
