@@ -10,9 +10,11 @@ draws. ``seeds=1`` gives the plain draw.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandplan.llm.columns import kept_as, named
+from strandplan.operators.numbering import dense_ids, sums_before
 from strandplan.plans.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,29 +37,24 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST)
     target stops at ``most`` times its source's size and its excess is shared again by weight until none is
     above. That fixed point is found at once: sources saturate in the order of size over weight, so with
     running totals in this order the first source that its share doesn't fill gives the level of all later ones.
-    An empty source has target and rate 0. Only per-source totals, summed on the map side first, reach the window.
+    An empty source has target and rate 0. Ranks and running totals go by ranges of their order, so sources may be
+    as many as web hosts; only sums over all of them, and the one source that gives the level, are single rows.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.get(F.array(*[F.lit(w) for w in weights]), (rank % len(weights)).cast("int"))
-    ranked = per.select("source", "source_size", weight.cast("long").alias("w"))
-    by_fill = Window.orderBy((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    level = ranked.withColumns(
-        {
-            "rest": F.sum("source_size").over(all_rows) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0)),
-            "rest_w": F.sum("w").over(all_rows) - F.coalesce(F.sum("w").over(before), F.lit(0)),
-        }
-    ).withColumn("open", F.col("rest") * F.col("w") <= most * F.col("source_size") * F.col("rest_w"))
-    first = level.withColumn(
-        "level", F.first(F.when(F.col("open"), F.struct("rest", "rest_w")), ignorenulls=True).over(by_fill.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    target = F.when(F.col("level").isNull(), (most * F.col("source_size")).cast("double")).otherwise(
-        F.col("w") * F.col("level.rest").cast("double") / F.col("level.rest_w")
-    )
+    ranked = dense_ids(per, F.col("source").asc_nulls_last(), name="_rank")
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("_rank") % len(weights)).cast("int")).cast("long")
+    by_fill = ((F.col("source_size") / F.col("w")).asc(), F.col("source").asc_nulls_last())
+    filled = dense_ids(ranked.withColumn("w", weight), *by_fill, name="_i")
+    filled = written(sums_before(filled, {"source_size": "_sizes", "w": "_ws"}, "_i"), "mix-levels")
+    whole = filled.agg(F.sum("source_size").alias("_all"), F.sum("w").alias("_all_w"))  # one row
+    rest, rest_w = (F.col("_all") - most * F.col("_sizes")).alias("rest"), (F.col("_all_w") - F.col("_ws")).alias("rest_w")
+    level = filled.crossJoin(F.broadcast(whole)).select("source", "source_size", "w", "_i", rest, rest_w)
+    fits = F.col("rest") * F.col("w") <= most * F.col("source_size") * F.col("rest_w")
+    first = level.agg(F.min(F.when(fits, F.struct("_i", "rest", "rest_w"))).alias("level"))  # one row
+    level = level.crossJoin(F.broadcast(first)).withColumn("open", F.coalesce(F.col("_i") >= F.col("level._i"), F.lit(False)))
+    target = F.when(F.col("open"), F.col("w") * F.col("level.rest").cast("double") / F.col("level.rest_w")).otherwise((most * F.col("source_size")).cast("double"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    return first.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
+    return level.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
 
 
 def uniform(id_: Column, number: Column, seed: str = SEED) -> Column:
@@ -90,16 +87,18 @@ def mix(
     Rates are at most ``most``, so no row passes ``most`` times its size. Null texts have size 0; null sources are
     one source; repeated rows draw alike. Ids and sizes are written once and read by the sums. The per-source
     table is written too, so its size is known: Catalyst broadcasts it below its threshold and otherwise
-    sort-merge joins, where a hot source is split by adaptive execution.
+    sort-merge joins, where a hot source is split by adaptive execution. A kept column that has the name of a
+    result comes back as that name with ``_kept``; names may hold any character. Texts may have any length; an
+    empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = docs.select(named(id_col).alias("_id"), named(source_col).alias("source"), words(named(text_col)).alias("size"), *[named(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
     sized = written(rows.select("_id", "source", "size"), "mix-sizes")
     table = written(source_targets(sized.select("source", "size"), weights, most).withColumnRenamed("source", "_source"), "mix-rates")
     table = written(with_seeds(sized, table, seed, seeds), "mix-seeds")
     joined = (rows if keep else sized).join(table, F.col("source").eqNullSafe(F.col("_source")))
     return joined.select(
         F.col("_id").alias(id_col), "source", "size", "source_size", "target", copies(F.col("_id"), F.col("rate"), F.col("number"), seed).alias("copies"),
-        *[F.col(f"_keep_{c}").alias(c) for c in keep],
+        *[F.col(f"_keep_{k}").alias(kept_as(c, (id_col, "source", "size", "source_size", "target", "copies"))) for k, c in enumerate(keep)],
     )
 
 
