@@ -193,8 +193,8 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     notice's words that stand in place; positions count words from 0. A null text is empty: no words, no
     matches. Repeated rows give repeated results. Words of equal IDF rank by their bytes; of alignments within the
     slack of each other the one with the largest share counts, the first if several have it. A long text is read
-    whole, in time that grows with its words. Other columns aren't read. Two scans, no shuffle but the sum of word
-    counts.
+    whole, in time that grows with its words. Other columns aren't read. An empty table gives an empty result. Two
+    scans, no shuffle but the sum of word counts.
     """
     idf = word_weights(docs, text_col, templates)
     bounded_batches(docs.sparkSession)

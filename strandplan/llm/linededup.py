@@ -108,7 +108,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Keys are lines stripped of ASCII white space and lower-cased in A-Z. A key of ``least`` code points or more
     that two or more ids hold stays in the smallest id alone. A null text is one empty line. A null id counts as
     one document larger than all others. Repeated rows (same id, same text) share one bitmap; rows of one id
-    with different texts have one each, told apart by ``body`` = xxhash64(text). Extra columns are not read.
+    with different texts have one each, told apart by ``body`` = xxhash64(text). Extra columns are not read. A text
+    may have any length: it is split once, and its lines travel as numbers. An empty table gives no row.
     """
     bounded_batches(docs.sparkSession)
     # Written, so that finding the ranges and dealing the rows read five numbers a line instead of splitting texts twice.

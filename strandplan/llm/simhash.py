@@ -220,7 +220,11 @@ def near_links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` with the fingerprint's bits as a signed long."""
+    """``(id, fp)`` with the fingerprint's bits as a signed long, a row for each row of ``docs``.
+
+    Null and wordless texts have fingerprint 0. A text may have any length; memory grows with that of one text.
+    Rows without an id, repeated rows and an empty table pass as they are; other columns are not read.
+    """
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_prints, "id long, fp long")
 
