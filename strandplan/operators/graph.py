@@ -243,10 +243,11 @@ def relaxed_paths(edges: DataFrame, sources: DataFrame, weight: Column, limit: i
     return labels.all().select("source", "node_id", "dist", "hops", "owner", known("prev"), known("prev_edge"))
 
 
-def rooted_tree(edges: DataFrame, root: int, max_depth: int = 100_000, task_edges: int = TASK_EDGES) -> DataFrame:
+def rooted_tree(edges: DataFrame, root: int, task_edges: int = TASK_EDGES) -> DataFrame:
     """``(node_id, parent, parent_edge, depth, path_m)`` of the forest edges (with ``len_m``) reachable from ``root``.
 
-    Up to ``task_edges`` edges are walked in one task, more of them a level a round.
+    Up to ``task_edges`` edges are walked in one task; more of them are rooted by their Euler tour, in rounds that
+    grow with the logarithm of their number.
     """
     if (shared := _small(edges, F.col("len_m"), task_edges)) is not None:
 
@@ -266,22 +267,9 @@ def rooted_tree(edges: DataFrame, root: int, max_depth: int = 100_000, task_edge
 
         one = edges.sparkSession.range(root, root + 1, 1, 1)
         return one.mapInArrow(walk, "node_id long, parent long, parent_edge long, depth int, path_m long")
-    spark = edges.sparkSession
-    steps, _ = written_at(half_edges(edges, "len_m"), "tree-steps")
-    level = spark.createDataFrame([(root, None, None, 0, 0)], "node_id long, parent long, parent_edge long, depth int, path_m long")
-    done, at = written_at(level, "tree")
-    for depth in range(1, max_depth):
-        last = done.where(F.col("depth") == depth - 1)
-        below = last.join(steps, last["node_id"] == steps["u"]).select(
-            F.col("v").alias("node_id"), F.col("u").alias("parent"), F.col("edge_id").alias("parent_edge"), F.lit(depth).alias("depth"), (F.col("path_m") + F.col("len_m")).alias("path_m")
-        ).join(done.select(F.col("node_id").alias("known")), F.col("node_id") == F.col("known"), "left_anti")
-        below = below.groupBy("node_id").agg(F.min(F.struct("parent", "parent_edge", "depth", "path_m")).alias("b")).select("node_id", "b.*")
-        nxt, nxt_at = written_at(done.unionByName(below), "tree")
-        remove(spark, at)
-        done, at = nxt, nxt_at
-        if done.where(F.col("depth") == depth).isEmpty():
-            return done
-    raise RuntimeError("tree too deep")
+    from strandplan.operators.trees import euler_tour
+
+    return euler_tour(edges, root).select("node_id", "parent", "parent_edge", F.col("depth").cast("int").alias("depth"), "path_m")
 
 
 def subtree_sums(tree: DataFrame, values: DataFrame) -> DataFrame:

@@ -528,8 +528,10 @@ bomt AS (SELECT ord::BIGINT AS ord, item, qty::BIGINT AS qty, unit, unit_cost::B
 
 
 def _design(net):
+    """The static design, each table written once, as every line of a bill reads them again."""
     d = kept_drops(net)
-    return provision.provision_areas(net.areas(d)), net.terminals(d), d, net.edge_usage(), net.head_ends()
+    areas = written(provision.provision_areas(net.areas(d)), "areas")
+    return areas, written(net.terminals(d), "terminals"), d, written(net.edge_usage(), "usage"), net.head_ends()
 
 
 @query("SELECT * FROM bomt", BOM)
