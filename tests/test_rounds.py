@@ -466,9 +466,9 @@ def test_exchanges_leave_none_that_helps(spark):
     from strandplan.operators.exchange import exchanged
 
     rnd = random.Random(41)
-    nodes, edges = grid(7, 7, lambda e: rnd.randrange(5, 40))
+    nodes, edges = grid(5, 5, lambda e: rnd.randrange(5, 40))
     n, e = frames(spark, nodes, edges)
-    required = rnd.sample(range(49), 10)
+    required = rnd.sample(range(25), 6)
     need = spark.createDataFrame([(x,) for x in required], "node_id long")
     # A poor tree: shortest ways from one node in whole streets, whatever they cost.
     hops = graph.label_nodes(near_of([(x, a, b, 1) for x, a, b, _ in edges]), [(required[0], 0, 0, 0, -1, -1)], None)
