@@ -368,9 +368,9 @@ def test_null_ids_and_all_null_columns(spark, tmp_path):
     spark.createDataFrame([(None, None, None), (5, None, 1), (6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(None, None, None), (None, "u", "x" * 200), (3, None, "x" * 200)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
     spark.createDataFrame([(None, None, None)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
-    spark.createDataFrame([(None, None, None, None), (4, None, None, None), (None, 1, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(None, None, None, None), (100, None, None, None), (None, 1, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
     spark.createDataFrame([(None, "mine alone"), (None, None), (2, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    # The root and one turn; the four documents with words for the item without an id.
+    # The root and the one turn of a conversation that is its own base; the four documents with words for the item without an id.
     number = {"op3_warc": 3, "op9_hnsw": 0, "op11_conversation_trie": 2, "op12_lexical_search": 4, "op13_url_filters": 3}
     for name, f in Q.queries().items():
         assert f(spark, d).count() == number.get(name, 5), name
