@@ -113,3 +113,33 @@ def test_paths_with_free_edges_never_run_in_a_circle(spark):
                 n, r = r["prev"], paths[r["prev"]]
             assert n == 5
     assert got[0] == got[1]
+
+
+def test_large_networks_are_searched_over_cells(spark, town, monkeypatch):
+    """With coordinates at hand no round a street is run, and the paths are the same."""
+    _, _, nodes, edges = town
+    lengths = graph.edge_lengths(edges, nodes).withColumn("len_m", F.greatest("len_m", F.lit(1)))
+    sources = spark.createDataFrame([(0, 0), (1, 30)], "source int, node_id long")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    fast = rows(graph.shortest_paths(lengths, sources, F.col("len_m")))
+    monkeypatch.setattr(graph, "relaxed_paths", None)
+    assert rows(graph.shortest_paths(lengths, sources, F.col("len_m"), task_edges=10, nodes=nodes)) == fast
+
+
+def test_wide_cells_grow_with_the_network(spark):
+    from strandplan.operators import overlay
+    from strandplan.sources.synthetic import grid_nodes
+
+    nodes = grid_nodes(spark, 120, 120)
+    assert overlay.wide_cells(nodes, 16).select("cell").distinct().count() <= 256 < overlay.quad_cells(nodes, 16).select("cell").distinct().count()
+
+
+def test_trench_distances_reach_every_node(spark):
+    from math import isqrt
+
+    import __spark_entry__
+
+    sf = __spark_entry__.SMOKE_DIR
+    w = max(12, isqrt(spark.read.parquet(f"{sf}/customer.parquet").count() - 1) + 1)
+    got = __spark_entry__.queries()["trench_distances"](spark, sf)
+    assert got.count() == got.select("node_id").distinct().count() == w * w
