@@ -143,3 +143,27 @@ def test_trench_distances_reach_every_node(spark):
     w = max(12, isqrt(spark.read.parquet(f"{sf}/customer.parquet").count() - 1) + 1)
     got = __spark_entry__.queries()["trench_distances"](spark, sf)
     assert got.count() == got.select("node_id").distinct().count() == w * w
+
+
+def test_pairs_between_groups_of_crowded_places(spark, monkeypatch):
+    """Points of one place don't all meet: the pairs compared are those of places."""
+    rnd = random.Random(6)
+    spots = [(rnd.randrange(300), rnd.randrange(300), g) for g in range(3) for _ in range(6)]
+    points = [(i, *spots[rnd.randrange(len(spots))]) for i in range(400)]
+    df = spark.createDataFrame(points, "id long, x long, y long, grp long")
+    every = [((x - u) ** 2 + (y - v) ** 2, a, b, g) for a, x, y, g in points for b, u, v, h in points if g != h]
+    met, plain = [], spatial.within
+
+    def counted(here, there, radius):
+        met.append(plain(here, there, radius).count())
+        return plain(here, there, radius)
+
+    monkeypatch.setattr(spatial, "within", counted)
+    for radius in (9, 60, 500):
+        near = [p for p in every if p[0] <= radius * radius]
+        for most in (1, 50, 20_000):
+            got = [tuple(r) for r in spatial.pairs_between(df, "id", "grp", radius, most).collect()]
+            assert got == sorted(p[:3] for p in near if p[1] < p[2])[:most]
+        best = {g: min(p[:3] for p in near if p[3] == g) for g in {p[3] for p in near}}
+        assert {r["grp"]: (r["sq"], r["a"], r["b"]) for r in spatial.nearest_between(df, "id", "grp", radius).collect()} == best
+    assert max(met) <= len(spots) ** 2
