@@ -167,3 +167,19 @@ def test_pairs_between_groups_of_crowded_places(spark, monkeypatch):
         best = {g: min(p[:3] for p in near if p[3] == g) for g in {p[3] for p in near}}
         assert {r["grp"]: (r["sq"], r["a"], r["b"]) for r in spatial.nearest_between(df, "id", "grp", radius).collect()} == best
     assert max(met) <= len(spots) ** 2
+
+
+def test_sums_of_subtrees_broadcast_nothing(spark, monkeypatch):
+    """A round's tables meet by merging: none of them passes through the driver."""
+    plans, plain = [], graph.written_at
+
+    def seen(df, label, path=None):
+        if label == "sums" and plans is not None:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label, path)
+
+    monkeypatch.setattr(graph, "written_at", seen)
+    tree = spark.createDataFrame([(i, i - 1 if i else None) for i in range(9)], "node_id long, parent long")
+    got = graph.subtree_sums(tree, spark.createDataFrame([(8, 5), (3, 1)], "node_id long, value long"))
+    assert {r["node_id"]: r["total"] for r in got.collect()} == {i: 5 * (i <= 8) + (i <= 3) for i in range(9)}
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans[1:])
