@@ -183,3 +183,32 @@ def test_sums_of_subtrees_broadcast_nothing(spark, monkeypatch):
     got = graph.subtree_sums(tree, spark.createDataFrame([(8, 5), (3, 1)], "node_id long, value long"))
     assert {r["node_id"]: r["total"] for r in got.collect()} == {i: 5 * (i <= 8) + (i <= 3) for i in range(9)}
     assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans[1:])
+
+
+def test_pieces_are_linked_without_contraction(spark, monkeypatch):
+    """A long chain and a ring beyond a task's edges: joined up by pieces, each read once, with no rounds of stars."""
+    from strandplan.operators import graph
+
+    def refused(*_):
+        raise AssertionError("contracted")
+
+    monkeypatch.setattr(graph, "connected_components", refused)
+    chain = [(i, i, i + 1) for i in range(999)]
+    ring = [(1000 + i, 2000 + i, 2000 + (i + 1) % 500) for i in range(500)]
+    edges = spark.createDataFrame(chain + ring, "edge_id long, src long, dst long")
+    found = {r["node"]: r["component"] for r in graph.linked(edges, task_edges=100, piece=150).collect()}
+    assert found == {n: 0 for n in range(1000)} | {2000 + n: 2000 for n in range(500)}
+    one = graph.cycle_count(edges, graph.linked(edges, task_edges=100, piece=150)).first()
+    assert tuple(one) == (1499, 1500, 2, 1)
+
+
+def test_pieces_in_no_order(spark):
+    """Random streets: the same components whether a task joins them up or pieces and stars do."""
+    import random
+
+    from strandplan.operators import graph
+
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(i, rng.randrange(900), rng.randrange(900)) for i in range(600)], "edge_id long, src long, dst long")
+    plain = {tuple(r) for r in graph.linked(edges).collect()}
+    assert {tuple(r) for r in graph.linked(edges, task_edges=20, piece=40).collect()} == plain
