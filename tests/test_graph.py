@@ -212,3 +212,20 @@ def test_pieces_in_no_order(spark):
     edges = spark.createDataFrame([(i, rng.randrange(900), rng.randrange(900)) for i in range(600)], "edge_id long, src long, dst long")
     plain = {tuple(r) for r in graph.linked(edges).collect()}
     assert {tuple(r) for r in graph.linked(edges, task_edges=20, piece=40).collect()} == plain
+
+
+def test_nearest_meets_rows_and_not_nodes(spark, monkeypatch):
+    """Crowded nodes stand in several rows: the nearest of all, ties to the lower id, points without one left out."""
+    import random
+
+    from strandplan.operators import spatial
+
+    monkeypatch.setattr(spatial, "NEAR_NODES", 8)
+    rng = random.Random(3)
+    nodes = [(i, rng.randrange(-300, 300), rng.randrange(-300, 300)) for i in range(400)] + [(400 + i, 5, 5) for i in range(40)]
+    points = [(i, rng.randrange(-300, 300), rng.randrange(-300, 300)) for i in range(150)] + [(150, 5, 6), (151, 9000, 9000)]
+    n, p = spark.createDataFrame(nodes, "node_id long, x long, y long"), spark.createDataFrame(points, "id long, x long, y long")
+    best = {i: min(((x - a) ** 2 + (y - b) ** 2, k) for k, a, b in nodes) for i, x, y in points}
+    near = spatial._nearest_within(p, n, "id", 16)
+    assert {r["id"]: tuple(r["best"]) for r in near.collect()} == {i: b for i, b in best.items() if b[0] <= 256}
+    assert {r["id"]: (r["sq"], r["node_id"]) for r in spatial.nearest(p, n, "id", 16).collect()} == best
