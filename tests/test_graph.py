@@ -229,3 +229,15 @@ def test_nearest_meets_rows_and_not_nodes(spark, monkeypatch):
     near = spatial._nearest_within(p, n, "id", 16)
     assert {r["id"]: tuple(r["best"]) for r in near.collect()} == {i: b for i, b in best.items() if b[0] <= 256}
     assert {r["id"]: (r["sq"], r["node_id"]) for r in spatial.nearest(p, n, "id", 16).collect()} == best
+
+
+def test_only_points_that_face_another_group_meet(spark):
+    """One piece alone meets nobody at any radius; of two far apart only the sides that face each other do."""
+    from strandplan.operators import spatial
+
+    left = [(i, 0, i % 20 * 30, i // 20 * 30) for i in range(400)]
+    one = spark.createDataFrame(left, "id long, grp long, x long, y long")
+    assert spatial._facing(one, one, "grp", 2000).isEmpty()
+    two = spark.createDataFrame(left + [(1000 + i, 1, 670 + i % 20 * 30, i // 20 * 30) for i in range(400)], "id long, grp long, x long, y long")
+    assert spatial._facing(two, two, "grp", 120).count() < 400
+    assert sorted(tuple(r) for r in spatial.nearest_between(two, "id", "grp", 2000).select("grp", "sq", "a", "b").collect()) == [(0, 10000, 19, 1000), (1, 10000, 1000, 19)]
