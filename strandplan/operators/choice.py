@@ -51,6 +51,10 @@ def _rounds(spark, rest: DataFrame, at: str, step, name: str, log: list | None,
     raise RuntimeError(f"{name} did not settle in {max_rounds} rounds")
 
 
+#: Pairs that a task of the packing sorts, about.
+TASK_PAIRS = 500_000
+
+
 def pack_terminals(pairs: DataFrame, sizes: tuple = TERMINALS, metre: int = RULES.drop_cable_m, log: list | None = None, max_rounds: int = 10_000) -> DataFrame:
     """``(prem_id, node_id, terminal, dist_m)`` of ``pairs (prem_id, node_id, dist_m)``: every premises in one terminal at a node in its reach.
 
@@ -67,6 +71,9 @@ def pack_terminals(pairs: DataFrame, sizes: tuple = TERMINALS, metre: int = RULE
 
     def step(rest):
         k = next(rounds)
+        if (tasks := -(-rest.count() // TASK_PAIRS)) > 1:
+            # A task's part doesn't grow with the input, whatever number of partitions is set.
+            rest = rest.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "node_id")
         near = rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= ports)
         near = near.withColumn("drops", F.sum("dist_m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         price = (F.col("drops") * metre + cost) * F.element_at(F.array(*[F.lit(each // n) for n in range(1, ports + 1)]), F.col("k"))
