@@ -484,3 +484,18 @@ def test_exchanges_leave_none_that_helps(spark):
     assert log and all(x > 0 for x in log) and cost(taken) <= cost(poor) - sum(log)
     assert graph.tree_check(e.where(F.col("edge_id").isin(*taken)), need).first()["ok"]
     assert best_exchange(edges, taken, required) == 0
+
+
+def test_packing_in_bounded_tasks_is_the_same(spark, monkeypatch):
+    """Pairs dealt to more tasks are packed alike, in rounds that are dealt anew."""
+    from strandplan.operators import choice
+
+    pairs = spark.createDataFrame([(p, n, abs(7 * p - 31 * n) % 50) for p in range(60) for n in range(p % 4, p % 4 + 3)], "prem_id long, node_id long, dist_m long")
+    dealt = []
+    whole = type(pairs).repartition
+    monkeypatch.setattr(type(pairs), "repartition", lambda df, *a: dealt.append(a) or whole(df, *a))
+    plain = sorted(tuple(r) for r in choice.pack_terminals(pairs).collect())
+    assert not dealt
+    monkeypatch.setattr(choice, "TASK_PAIRS", 20)
+    assert sorted(tuple(r) for r in choice.pack_terminals(pairs).collect()) == plain
+    assert dealt and all(n >= 2 and k == "node_id" for n, k in dealt)
