@@ -373,6 +373,55 @@ def test_auction_is_within_epsilon_of_the_least_cost(spark):
         auction(costs, rooms.where("area_id < 3"), 40)
 
 
+def test_auction_of_areas_that_outbid_each_other_takes_few_rounds(spark):
+    """Two near areas for far too many: their prices climb to the far one's cost inside a task, not by a round each."""
+    from strandplan.operators.auction import Unsettled, auction, least_cost_bound
+
+    cost = {p: {0: 100 * (p % 2), 1: 100 - 100 * (p % 2), 2: 6000} for p in range(40)}
+    room = {0: 8, 1: 8, 2: 30}
+    costs = spark.createDataFrame([(p, a, c) for p, row in cost.items() for a, c in row.items()], "prem_id long, area_id long, cost long")
+    rooms = spark.createDataFrame(list(room.items()), "area_id long, room long")
+    log = []
+    held, prices = auction(costs, rooms, 100, log)
+    assert log == [40] and held.agg(F.sum("cost")).first()[0] == 24 * 6000
+    assert 24 * 6000 - least_cost_bound(costs, rooms, prices) <= 100 * 40
+    # Everybody's lists end before there is room for all of them.
+    with pytest.raises(Unsettled):
+        auction(costs.where("prem_id >= 20 or area_id < 2"), rooms, 100)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_auction_by_blocks_is_within_epsilon_of_the_least_cost(spark, seed):
+    """Areas on a line, dealt to tasks in two ways: premises pass from block to block, all still placed near the least cost."""
+    from strandplan.operators.auction import auction, least_cost_bound
+
+    rnd = random.Random(seed)
+    room = {a: rnd.randrange(2, 6) for a in range(8)}
+    at = [min(700, int(rnd.expovariate(1 / 200))) for _ in range(sum(room.values()) - 3)]
+    cost = {p: {a: abs(x - 100 * a) // 10 * 10 for a in room} for p, x in enumerate(at)}
+    costs = spark.createDataFrame([(p, a, c) for p, row in cost.items() for a, c in row.items()], "prem_id long, area_id long, cost long")
+    rooms = spark.createDataFrame(list(room.items()), "area_id long, room long")
+    blocks = [spark.createDataFrame([(a, (a + k) // 3) for a in room], "area_id long, block long") for k in (0, 1)]
+    log = []
+    held, prices = auction(costs, rooms, 10, log, blocks=blocks)
+    got = held.collect()
+    assert len(log) > 1 and sorted(r["prem_id"] for r in got) == sorted(cost) and all(cost[r["prem_id"]][r["area_id"]] == r["cost"] for r in got)
+    assert all(sum(r["area_id"] == a for r in got) <= n for a, n in room.items())
+    total, least = sum(r["cost"] for r in got), least_assignment(cost, room)
+    assert least <= total <= least + 10 * len(cost) and total - least_cost_bound(costs, rooms, prices) <= 10 * len(cost)
+
+
+def test_searches_that_set_out_at_a_distance(spark):
+    """A start's ``dist`` counts from the beginning, over cells as in one search."""
+    rnd = random.Random(31)
+    nodes, edges = grid(7, 7, lambda e: rnd.randrange(5, 40))
+    n, e = frames(spark, nodes, edges)
+    starts = [(rnd.randrange(49), k, rnd.randrange(0, 150)) for k in range(6)]
+    found = overlay.overlay_paths(e, overlay.quad_cells(n, 10), spark.createDataFrame([(0, *s) for s in starts], "source long, node_id long, owner long, dist long"), F.col("len_m"))
+    want = graph.label_nodes(near_of(edges), [(v, d, 0, k, -1, -1) for v, k, d in starts], None)
+    assert {r["node_id"]: (r["dist"], r["owner"]) for r in found.collect()} == {v: (x[0], x[2]) for v, x in want.items()}
+
+
 def test_first_fit_of_premises_with_several_units(spark):
     from strandplan.operators.auction import first_fit
 
