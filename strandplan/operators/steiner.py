@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandplan.operators.components import connected_components
+from strandplan.operators.graph import linked
 from strandplan.operators.overlay import overlay_paths, pack_cells
 from strandplan.plans.session import remove, written, written_at
 
@@ -65,7 +65,7 @@ def steiner_tree(edges: DataFrame, cells: DataFrame, required: DataFrame, weight
             log.append(trees.select("tree").distinct().count())
         ways = written(marked_back(labels, picks.select(F.explode(F.array("src", "dst")).alias("node_id"))), "ways")
         taken.append(picks.select("edge_id").unionByName(ways.where("prev_edge is not null").select(F.col("prev_edge").alias("edge_id"))))
-        joined = written(connected_components(picks, "src_o", "dst_o"), "joined")
+        joined = written(linked(picks.select(F.col("src_o").alias("src"), F.col("dst_o").alias("dst"))), "joined")
         grown = trees.unionByName(ways.join(labels.select("node_id", F.col("owner").alias("tree")), "node_id").select("node_id", "tree")).distinct()
         grown = grown.join(joined, grown["tree"] == joined["node"], "left").select("node_id", F.coalesce("component", "tree").alias("tree"))
         nxt, nxt_at = written_at(grown, "trees")

@@ -535,6 +535,37 @@ def test_exchanges_leave_none_that_helps(spark):
     assert best_exchange(edges, taken, required) == 0
 
 
+@pytest.mark.parametrize("task_edges", [0, 1000])
+def test_exchanges_of_a_tree_in_a_task_and_in_rounds(spark, monkeypatch, task_edges):
+    """A small tree is walked in one task, without the rounds of a tour; either way no exchange is left that gains."""
+    from strandplan.operators import exchange
+
+    rnd = random.Random(43)
+    nodes, edges = grid(6, 6, lambda e: rnd.randrange(5, 40))
+    n, e = frames(spark, nodes, edges)
+    required = rnd.sample(range(36), 5)
+    need = spark.createDataFrame([(x,) for x in required], "node_id long")
+    spanning = spanning_tree(edges, required)
+    tours, whole = [], exchange.euler_tour
+    monkeypatch.setattr(exchange, "euler_tour", lambda *a: tours.append(a) or whole(*a))
+    assert best_exchange(edges, spanning, required) > 0
+    taken = {r["edge_id"] for r in exchange.exchanged(e, overlay.quad_cells(n, 60), spark.createDataFrame([(x,) for x in spanning], "edge_id long"), need, F.col("len_m"), task_edges=task_edges).collect()}
+    assert bool(tours) == (task_edges == 0)
+    assert graph.tree_check(e.where(F.col("edge_id").isin(*taken)), need).first()["ok"]
+    assert best_exchange(edges, taken, required) == 0
+
+
+def spanning_tree(edges, required):
+    """A poor tree: fewest streets from the first required node to the others, whatever they cost."""
+    hops = graph.label_nodes(near_of([(x, a, b, 1) for x, a, b, _ in edges]), [(required[0], 0, 0, 0, -1, -1)], None)
+    poor = set()
+    for x in required:
+        while hops[x][4] >= 0:
+            poor.add(hops[x][4])
+            x = hops[x][3]
+    return poor
+
+
 def test_packing_in_bounded_tasks_is_the_same(spark, monkeypatch):
     """Pairs dealt to more tasks are packed alike, in rounds that are dealt anew."""
     from strandplan.operators import choice
