@@ -200,6 +200,18 @@ def test_steiner_cost_near_sequential_growth(spark):
     assert sum(w for x, _, _, w in edges if x in taken) <= 1.05 * grown_tree(edges, required)
 
 
+def test_steiner_rounds_join_trees_in_one_task(spark, monkeypatch):
+    """Trees that met are linked at once, not contracted in rounds of their own."""
+    n, e = frames(spark, *grid(6, 6, lambda e: 10 + e * 7 % 5))
+    calls, whole = [], steiner.linked
+    monkeypatch.setattr(steiner, "linked", lambda links: calls.append(links.columns) or whole(links))
+    log = []
+    required = spark.createDataFrame([(x,) for x in (0, 5, 14, 30, 35)], "node_id long")
+    taken = {r["edge_id"] for r in steiner.steiner_tree(e, overlay.quad_cells(n, 10), required, F.col("len_m"), log).collect()}
+    assert log and calls == [["src", "dst"]] * len(log)
+    assert graph.tree_check(e.where(F.col("edge_id").isin(*taken)), required).first()["ok"]
+
+
 def test_steiner_of_parts_and_of_one_node(spark, town):
     _, _, n, e = town
     cells = overlay.quad_cells(n, 50)
