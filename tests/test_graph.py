@@ -1,6 +1,7 @@
 """Graph and spatial operators against brute force on random inputs."""
 
 import random
+import re
 from math import isqrt
 
 import pytest
@@ -241,3 +242,44 @@ def test_only_points_that_face_another_group_meet(spark):
     two = spark.createDataFrame(left + [(1000 + i, 1, 670 + i % 20 * 30, i // 20 * 30) for i in range(400)], "id long, grp long, x long, y long")
     assert spatial._facing(two, two, "grp", 120).count() < 400
     assert sorted(tuple(r) for r in spatial.nearest_between(two, "id", "grp", 2000).select("grp", "sq", "a", "b").collect()) == [(0, 10000, 19, 1000), (1, 10000, 1000, 19)]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_nearest_brings_columns_and_broadcasts_no_points(spark, monkeypatch, few):
+    """Columns of the points come along at any radius; points are never the side that is sent to all tasks."""
+    monkeypatch.setattr(spatial, "FEW_NODES", few)
+    plans, plain = [], spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, label))
+    rnd = random.Random(6)
+    nodes = [(i, rnd.randrange(900), rnd.randrange(900)) for i in range(60)]
+    points = [(i, rnd.randrange(900), rnd.randrange(900), rnd.randrange(9)) for i in range(90)]
+    n, p = spark.createDataFrame(nodes, "node_id long, x long, y long"), spark.createDataFrame(points, "k long, x long, y long, units long")
+    best = {k: (*min(((x - a) ** 2 + (y - b) ** 2, i) for i, a, b in nodes), u, x) for k, x, y, u in points}
+    got = spatial.nearest(p, n, "k", 64, keep=("units", "x"))
+    assert got.columns == ["k", "node_id", "sq", "drop_m", "units", "x"]
+    assert {r["k"]: (r["sq"], r["node_id"], r["units"], r["x"]) for r in got.collect()} == best
+    met = [re.search(r"(\w+Join) \[cx.*", x).group() for x in plans]
+    assert len(met) > 1 and all(x.startswith("BroadcastHashJoin") and "BuildRight" in x if few else x.startswith("SortMergeJoin") for x in met)
+    assert spatial.nearest(p.limit(0), n, "k", keep=("units",)).columns == ["k", "node_id", "sq", "drop_m", "units"]
+
+
+@pytest.mark.parametrize("name", ["transport_arc_costs", "road_tree_paths", "road_uncrossing"])
+def test_premises_are_read_once(spark, monkeypatch, name):
+    """After their nearest node is found, no step joins the customers to it again."""
+    import __spark_entry__
+    from pyspark.sql import DataFrame, DataFrameWriter
+
+    from strandplan.operators.spatial import nearest
+
+    late, done, plain = [], [], DataFrameWriter.parquet
+    monkeypatch.setattr(spatial, "nearest", lambda *a, **k: (nearest(*a, **k), done.append(1))[0])
+
+    def seen(self, *a, **k):
+        if done:
+            late.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return plain(self, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    got: DataFrame = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    late.append(got._jdf.queryExecution().executedPlan().toString())
+    assert done and not any("customer.parquet" in x for x in late)
